@@ -108,7 +108,7 @@ class Capture:
                     elif tp == STRING:
                         found_values = found
                     else:
-                        found_values = F.transform(found, convert)
+                        found_values = F.transform(found, lambda v: convert(v))
                     value = F.when(F.size(found) > 0, found_values)
                 else:
                     value = F.try_element_at(found, F.lit(1 if self.mode == "first" else -1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,33 +28,33 @@ def count_not_above(df: DataFrame, value: Column, sorted_values: Column, limit:
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, int]], weight: str, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, int | None]], weight: str, out: str
 ) -> DataFrame:
     """Add the sum of ``weight`` over the earlier rows of the same key.
 
     ``order`` lists the sort columns with a bound on the number of values each
-    can take under one prefix of the others. No window ever holds more rows than
-    such a bound or ``BLOCK``: a longer order is summed level by level, the
-    totals of one level being the weights of the next.
+    can take under one prefix of the others, or None where only few are expected
+    and no bound is known. No window holds more rows than such a bound or
+    ``BLOCK``: a longer order is summed level by level, the totals of one level
+    being the weights of the next.
     """
-    total = 1
-    for _, bound in order:
-        total *= bound
-    if total <= BLOCK or not order:
-        before = Window.partitionBy(*keys).orderBy(*(c for c, _ in order) or [F.lit(0)])
+    whole = all(bound is not None for _, bound in order) and math.prod(bound for _, bound in order) <= BLOCK
+    if whole or (len(order) == 1 and order[0][1] is None):
+        before = Window.partitionBy(*keys).orderBy(*([c for c, _ in order] or [F.lit(0)]))
         return df.withColumn(out, F.sum(weight).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
 
     *outer, (last, bound) = order
-    depth = len(keys) + len(order)
-    high = f"_block_{depth}_{bound.bit_length()}"
-    if bound > BLOCK:
-        df = df.withColumn(high, F.expr(f"`{last}` div {BLOCK}"))
-        outer = [*outer, (high, bound // BLOCK + 1)]
+    inner = bound
+    block = f"{last}_block"
+    if bound is not None and bound > BLOCK:
+        df = df.withColumn(block, F.expr(f"`{last}` div {BLOCK}"))
+        outer, inner = [*outer, (block, bound // BLOCK + 1)], BLOCK
     prefix = [c for c, _ in outer]
-    local = running_total(df, [*keys, *prefix], [(last, min(bound, BLOCK))], weight, out)
+    local = running_total(df, [*keys, *prefix], [(last, inner)], weight, out)
     # Read off the windowed rows, so both sides share one shuffle.
     totals = local.groupBy(*keys, *prefix).agg(F.max(F.col(out) + F.col(weight)).alias("_weight"))
-    starts = running_total(totals, keys, outer, "_weight", "_start").drop("_weight")
+    start = f"{out}_start"
+    starts = running_total(totals, keys, outer, "_weight", start).drop("_weight")
     # Sort columns and keys hold no nulls, so the join keeps the windows' partitioning.
     joined = local.join(starts, [*keys, *prefix])
-    return joined.withColumn(out, F.col(out) + F.col("_start")).drop("_start", high)
+    return joined.withColumn(out, F.col(out) + F.col(start)).drop(start, block)

@@ -23,9 +23,6 @@ FIXED, CATEGORY, VARIATE, MEAN, IGNORE = "fixed", "category", "variate", "mean",
 MODES = (FIXED, CATEGORY, VARIATE, MEAN, IGNORE)
 
 _FEW_VALUES = 64
-# Bound on the means one axis can leave under a prefix of the other axes. Means
-# differ only where conditions left the axis with different values.
-_MEAN_VALUES = 2**12
 
 
 @dataclass(frozen=True)
@@ -165,7 +162,7 @@ class SeriesQuery:
             previous, order = name, [(a, self.space[a]) for a in others]
 
         means = self.of_kind(MEAN)
-        data = data.select(*([] if order else ["g_index"]), *axes, *extra)
+        data = data.select(*(["g_index"] if order is None else []), *axes, *extra)
         for group in [means] if self.plot.pooled and means else [[m] for m in means]:
             others = [a for a in axes if a not in group]
             data = data.where(
@@ -231,11 +228,11 @@ class SeriesQuery:
             return self.table.schema[self.plot.ycolumns[0]].dataType
         return T.ArrayType(T.DoubleType()) if self.lists else T.DoubleType()
 
-    def _ranked(self, data: DataFrame, order: list[tuple[str, Axis | None]]) -> tuple[DataFrame, list[tuple[str, int]]]:
+    def _ranked(self, data: DataFrame, order: list[tuple[str, Axis | None]]) -> tuple[DataFrame, list[tuple[str, int | None]]]:
         """Add the order as columns of known bound, each axis by the rank of its values."""
         if order and order[0] == ("g_index", None):
             return data.withColumn("_rank_index", F.col("g_index")), [("_rank_index", max(1, self.space.full_size()))]
-        ranks: list[tuple[str, int]] = []
+        ranks: list[tuple[str, int | None]] = []
         merged: tuple[Column, int] | None = None
 
         def flush() -> None:
@@ -252,7 +249,8 @@ class SeriesQuery:
             if axis is None:
                 flush()
                 data = data.withColumn(f"_rank_{len(ranks)}", F.col(name))
-                ranks.append((f"_rank_{len(ranks)}", _MEAN_VALUES))
+                # Means differ only where conditions left an axis with different values.
+                ranks.append((f"_rank_{len(ranks)}", None))
                 continue
             data, rank = rank_of(data, name, axis, f"_place_{number}")
             size = len(axis)

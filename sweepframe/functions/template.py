@@ -84,12 +84,21 @@ def _float_text(value: Column) -> Column:
     """Shortest decimal text, with an exponent below 1e-4 and from 1e16 on.
 
     Spark writes an exponent below 1e-3 and from 1e7 on, so only those texts are
-    taken apart and put together again.
+    taken apart and put together again. Older Java versions may give a 17th or 18th
+    digit that is not needed; fewer are taken if they stand for the same number.
     """
     text = value.cast("string")
+    count = F.length(F.regexp_replace(F.regexp_replace(text, "E.*$", ""), "[^0-9]", ""))
+    shorter = [F.format_string(f"%.{digits - 1}e", value) for digits in (16, 17)]
+    text = (
+        F.when((count > 16) & (shorter[0].try_cast("double") == value), F.upper(shorter[0]))
+        .when((count > 17) & (shorter[1].try_cast("double") == value), F.upper(shorter[1]))
+        .otherwise(text)
+    )
     sign = F.when(text.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9]\.[0-9]+)E", 1), r"\.0$|\.", "")
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.replace(F.regexp_extract(text, r"^-?([0-9]\.[0-9]+)E", 1), F.lit("."))
+    digits = F.regexp_replace(digits, r"(?<=[0-9])0+$", "")
+    exponent = F.regexp_extract(text, r"E([+-]?[0-9]+)$", 1).try_cast("int")
     fraction = F.substring(digits, 2, 40)
     mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(fraction) > 0, F.concat(F.lit("."), fraction)).otherwise(""))
     with_exponent = F.concat(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import StudyError
+from ..session import ship_package
 from ..types import WALLTIME_PREFIX
 
 DEFAULT_ATTEMPTS = 3
@@ -97,6 +98,7 @@ def map_instances(contexts: DataFrame, steps: Steps, partitions: int | None = No
     """
     if not callable(steps):
         check_steps(steps)
+    ship_package(contexts.sparkSession)
     count = partitions or contexts.sparkSession.sparkContext.defaultParallelism * 4
     columns = STEP_SCHEMA.replace(",", "").split()[::2]
 

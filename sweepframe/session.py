@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 ANSI_KEY = "spark.sql.ansi.enabled"
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,3 +65,17 @@ def ansi_mode(spark: SparkSession, enabled: bool) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(ANSI_KEY, before)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable where Python functions run, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sweepframe-package-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "sweepframe"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

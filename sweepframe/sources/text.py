@@ -6,6 +6,7 @@ import fnmatch
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.regex import to_java
 
 # Defaults for the folder a run keeps its records in, and the key=value file in it.
-BOOK = ".records"
+BOOK = "records"
 INFO_FILE = "info.txt"
 
 
@@ -23,26 +24,43 @@ def _relative(root: str) -> Column:
     return F.regexp_replace(path, r"^[a-z0-9]+:/*(?=/)", "").substr(F.lit(len(root.rstrip("/")) + 2), F.lit(2**31 - 1))
 
 
+def _read_whole(spark: SparkSession, root: str, book: str, name: str, depth: int) -> DataFrame:
+    """Whole files called ``name`` in the book folders below ``root``: ``(_text, _path)``.
+
+    Spark lists visible folders with as many tasks as needed. Hidden ones it skips,
+    so those are named by a glob, for labels of up to ``depth`` folders.
+    """
+    if book[0] in "._":
+        levels = ",".join("/".join("*" * level) for level in range(1, depth + 1))
+        try:
+            files = spark.read.text(f"{root.rstrip('/')}/{{{levels}}}/{book}/{name}", wholetext=True)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], "_text string, _path string")
+    else:
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+        files = reader.text(root, wholetext=True)
+    return files.select(F.col("value").alias("_text"), _relative(root).alias("_path"))
+
+
 def _in_book(book: str, name: str) -> str:
     return rf"^(.*)/{re.escape(book)}/{name}$"
 
 
-def read_stdout(spark: SparkSession, root: str, stream: str = "stdout", book: str = BOOK) -> DataFrame:
+def read_stdout(
+    spark: SparkSession, root: str, stream: str = "stdout", book: str = BOOK, depth: int = 4
+) -> DataFrame:
     """One row per instance and command: ``(logdir, command, text)``.
 
     Reads ``<root>/<logdir>/<book>/<command>.<stream>``. Missing files give no row.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{stream}")
-        .text(root, wholetext=True)
-    )
     path = _in_book(book, rf"([^/]+)[.]{re.escape(stream)}")
-    located = files.select(F.col("value").alias("text"), _relative(root).alias("_path"))
-    return located.where(F.col("_path").rlike(path)).select(
+    files = _read_whole(spark, root, book, f"*.{stream}", depth)
+    return files.where(F.col("_path").rlike(path)).select(
         F.regexp_extract("_path", path, 1).alias("logdir"),
         F.regexp_extract("_path", path, 2).alias("command"),
-        "text",
+        F.col("_text").alias("text"),
     )
 
 
@@ -56,17 +74,12 @@ def parse_info(lines: DataFrame, keys: Sequence[str], order: str, line: str = "l
     return pairs.groupBy(*keys, "key").agg(F.max_by("value", "_order").alias("value"))
 
 
-def read_info(spark: SparkSession, root: str, filename: str = INFO_FILE, book: str = BOOK) -> DataFrame:
+def read_info(
+    spark: SparkSession, root: str, filename: str = INFO_FILE, book: str = BOOK, depth: int = 4
+) -> DataFrame:
     """Key=value records of every instance below ``root``, as ``(logdir, key, value)``."""
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", filename)
-        .text(root, wholetext=True)
-        .select("value", _relative(root).alias("_path"))
-    )
-    lines = files.select(
-        F.regexp_extract("_path", _in_book(book, "[^/]+"), 1).alias("logdir"),
-        F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line_no", "line"),
+    lines = read_records(spark, root, filename, book, depth).select(
+        "logdir", F.posexplode(F.split(F.rtrim("record"), "\n")).alias("line_no", "line")
     )
     return parse_info(lines.where(F.length("line") > 0), ["logdir"], "line_no")
 
@@ -76,17 +89,14 @@ def parse_records(df: DataFrame, column: str, schema: T.StructType | str, out: s
     return df.withColumn(out, F.from_json(column, schema, {"mode": "FAILFAST"}))
 
 
-def read_records(spark: SparkSession, root: str, filename: str, book: str = BOOK) -> DataFrame:
-    """Raw JSON records kept per instance, as ``(logdir, json)``."""
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", filename)
-        .text(root, wholetext=True)
-        .select(F.col("value").alias("json"), _relative(root).alias("_path"))
-    )
+def read_records(
+    spark: SparkSession, root: str, filename: str, book: str = BOOK, depth: int = 4
+) -> DataFrame:
+    """A file kept per instance, as ``(logdir, record)``."""
     path = _in_book(book, "[^/]+")
+    files = _read_whole(spark, root, book, filename, depth)
     return files.where(F.col("_path").rlike(path)).select(
-        F.regexp_extract("_path", path, 1).alias("logdir"), "json"
+        F.regexp_extract("_path", path, 1).alias("logdir"), F.col("_text").alias("record")
     )
 
 
@@ -96,25 +106,29 @@ def rebuild_instances(
     context_schema: T.StructType | str,
     captured_schema: T.StructType | str | None = None,
     book: str = BOOK,
+    depth: int = 4,
 ) -> DataFrame:
     """Instance table from a storage tree; folders without a status are left out.
 
     ``captured_schema`` is given when the tree is known to hold captured records.
     """
-    status = read_records(spark, root, "status.txt", book).select("logdir", F.lower(F.trim("json")).alias("status"))
-    context = read_records(spark, root, "context.json", book).select("logdir", F.col("json").alias("context_json"))
-    rows = parse_records(status.join(context, "logdir"), "context_json", context_schema, "context")
+
+    def records(filename: str, name: str) -> DataFrame:
+        return read_records(spark, root, filename, book, depth).withColumnRenamed("record", name)
+
+    rows = records("status.txt", "status").join(records("context.json", "context_json"), "logdir")
+    rows = parse_records(rows, "context_json", context_schema, "context")
     if captured_schema is None:
         rows = rows.withColumn("captured", F.lit(None).cast("string"))
     else:
-        captured = read_records(spark, root, "captured.json", book).withColumnRenamed("json", "captured_json")
-        rows = parse_records(rows.join(captured, "logdir", "left"), "captured_json", captured_schema, "captured")
+        rows = rows.join(records("captured.json", "captured_json"), "logdir", "left")
+        rows = parse_records(rows, "captured_json", captured_schema, "captured")
     return rows.select(
         F.col("context.g_index").alias("g_index"),
         F.col("context.g_logdir").alias("logdir"),
         "context",
         "captured",
-        "status",
+        F.lower(F.regexp_replace("status", r"\s+", "")).alias("status"),
     )
 
 

@@ -150,3 +150,20 @@ def render(df: DataFrame, template: Any) -> Any:
     filled = iter(holes)
     parts = [as_text(next(filled), next(types)) if is_expr else F.lit(text) for is_expr, text in pieces]
     return F.concat(F.lit(""), *parts) if parts else F.lit("")
+
+
+def render_files(contexts: DataFrame, files: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """One document per context and file: ``(g_index, target, text)``.
+
+    ``files`` lists ``(target, text, is template)``. Targets are always templates,
+    texts only if they say so. The files belong to the study, so each row lists
+    its documents itself; nothing is joined.
+    """
+    documents = [
+        F.struct(
+            render(contexts, target).alias("target"),
+            (render(contexts, text) if is_template else F.lit(text)).alias("text"),
+        )
+        for target, text, is_template in files
+    ]
+    return contexts.select("g_index", F.inline(F.array(*documents)))

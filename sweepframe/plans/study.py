@@ -136,6 +136,19 @@ class Study:
         self.create_instances()
         return self._run(self.contexts())
 
+    def run_sweep(self, table: DataFrame, on: Sequence[Condition], aggs: Mapping[str, Aggregate]) -> DataFrame:
+        """Sweep a table and store the result of every grid point as a finished instance."""
+        context_rows = self.contexts()
+        rows = sweep(context_rows, table, on, aggs, grid_size=self.space.full_size())
+        done = rows.select(
+            "g_index",
+            F.col("g_logdir").alias("logdir"),
+            F.struct(*context_rows.columns).alias("context"),
+            F.struct(*rows.columns).alias("captured"),
+            F.lit("downloaded").alias("status"),
+        )
+        return self._put_instances(done, has_collected=False, has_plotted=False)
+
     def run_single(self, index: int = 0, **values: Any) -> DataFrame:
         """Run the steps at one explicitly given point."""
         return self._run(self.context(index, **values))
@@ -189,7 +202,11 @@ class Study:
     def load_table(self) -> DataFrame:
         """The collected table; before collecting, 0 rows of the types it will have."""
         state = self.store.state()
-        return load_table(self.spark, state["table"] if state["has_collected"] else None, self.result_schema())
+        if state["has_collected"]:
+            return load_table(self.spark, state["table"])
+        known = self.store.read("instances")
+        schema = self.result_schema() if known is None else known.schema["captured"].dataType
+        return load_table(self.spark, None, schema)
 
     def collect(self) -> DataFrame:
         """Upsert all finished instances into the collected table, in index order."""

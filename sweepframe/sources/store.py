@@ -65,8 +65,8 @@ def save_table(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def load_table(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
+def load_table(spark: SparkSession, path: str | None, schema: T.StructType | None = None) -> DataFrame:
     """Read a collected table; without one, a table of 0 rows with the given types."""
-    if path is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
+    if path is not None:
+        return spark.read.parquet(path)
+    return spark.createDataFrame([], schema or T.StructType())

@@ -11,6 +11,7 @@ join against cells that were added up the same way.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -23,6 +24,7 @@ from .ranking import count_not_above
 
 MAX_BROADCAST_POINTS = 200_000
 MAX_THRESHOLDS = 2**20
+MAX_LITERALS = 1000
 FEW_PLACES = 256
 
 Condition = tuple[str | Column, str, str | Column]
@@ -99,6 +101,8 @@ def sweep(
     """
     if not on:
         raise StudyError("a sweep needs at least one condition")
+    if clashing := sorted(set(aggs) & set(grid.columns)):
+        raise StudyError(f"aggregates named as grid columns: {clashing}")
     partials = _Partials(aggs)
     equal = [(_column(left), _column(right)) for left, op, right in on if op in ("=", "==")]
     ranged: dict[str, list[tuple[Column, str, Column]]] = {}
@@ -127,8 +131,7 @@ def sweep(
         rows = rows.join(F.broadcast(points.select(*keys).distinct()), keys, "left_semi")
 
     dimensions = [
-        _Dimension(i, conditions, table, grid, points, grid_size)
-        for i, conditions in enumerate(ranged.values())
+        _Dimension(i, conditions, table, grid, points) for i, conditions in enumerate(ranged.values())
     ]
     oversized = [d for d in dimensions if d.limit > MAX_THRESHOLDS]
     if oversized:
@@ -158,9 +161,11 @@ class _Dimension:
 
     With the distinct thresholds sorted, place 2k is the gap above the k-th of
     them and place 2k - 1 the k-th itself, so open and closed ends differ by one.
+    The thresholds depend on the grid alone; few of them become literals, so that
+    the scan can skip what lies outside all ranges.
     """
 
-    def __init__(self, number, conditions, table, grid, points, grid_size):
+    def __init__(self, number, conditions, table, grid, points):
         self.number = number
         self.cell = f"_c{number}"
         self.conditions = conditions
@@ -171,33 +176,48 @@ class _Dimension:
         self.distinct = points.select(
             F.explode(F.array(*(F.col(n).cast(self.type) for n in self.names))).alias("_t")
         ).where(F.col("_t").isNotNull()).distinct()
-        self.limit = grid_size * len(self.names)
-        if self.limit > MAX_THRESHOLDS:
-            self.limit = self.distinct.count()
+        few = self.distinct.orderBy("_t").limit(MAX_LITERALS + 1).select(F.col("_t").cast("string")).collect()
+        self.few = [row[0] for row in few] if len(few) <= MAX_LITERALS else None
+        self.limit = self.distinct.count() if self.few is None else len(self.few)
         self.places = 2 * self.limit + 1
         self.levels = self.places.bit_length()
 
-    def thresholds(self) -> Column:
-        """All thresholds as one sorted array; at most ``MAX_THRESHOLDS`` values."""
-        return self.distinct.agg(F.array_sort(F.collect_list("_t")).alias("_sorted")).scalar()
+    def with_thresholds(self, df: DataFrame) -> DataFrame:
+        """Add all thresholds as one sorted array; at most ``MAX_THRESHOLDS`` values."""
+        if self.few is not None:
+            return df
+        array = self.distinct.agg(F.array_sort(F.collect_list("_t")).alias("_sorted")).scalar()
+        return df.withColumn("_sorted", array)
+
+    def sorted(self) -> Column:
+        if self.few is None:
+            return F.col("_sorted")
+        # One text, so that the plan stays small until it is folded to an array.
+        return F.from_json(F.lit(json.dumps(self.few)), "array<string>").cast(T.ArrayType(self.type))
 
     def place_rows(self, rows: DataFrame) -> DataFrame:
         value, below = self.value.cast(self.type), f"_b{self.number}"
-        placed = rows.where(value.isNotNull()).withColumn("_sorted", self.thresholds())
-        placed = count_not_above(placed, value, F.col("_sorted"), self.limit, below)
-        on_threshold = F.get("_sorted", F.col(below) - 1) == value
+        rows = rows.where(value.isNotNull())
+        if self.few:
+            operators = {op for _, op, _ in self.conditions}
+            if operators & {">", ">="}:
+                rows = rows.where(value >= F.lit(self.few[0]).cast(self.type))
+            if operators & {"<", "<="}:
+                rows = rows.where(value <= F.lit(self.few[-1]).cast(self.type))
+        placed = count_not_above(self.with_thresholds(rows), value, self.sorted(), self.limit, below)
+        on_threshold = F.get(self.sorted(), F.col(below) - 1) == value
         return placed.withColumn(
             self.cell, F.col(below) * 2 - F.when((F.col(below) > 0) & on_threshold, 1).otherwise(0)
         ).drop("_sorted", below)
 
     def place_points(self, points: DataFrame) -> DataFrame:
         """Turn the thresholds of every point into a run ``[from, to)`` of places."""
-        points = points.withColumn("_sorted", self.thresholds())
+        points = self.with_thresholds(points)
         lows, highs = [F.lit(0)], [F.lit(self.places)]
         known = F.lit(True)
         for name, (_, op, _) in zip(self.names, self.conditions):
             points = count_not_above(
-                points, F.col(name).cast(self.type), F.col("_sorted"), self.limit, f"_r{name}"
+                points, F.col(name).cast(self.type), self.sorted(), self.limit, f"_r{name}"
             )
             place = F.col(f"_r{name}") * 2 - (1 if op in (">=", "<") else 0)
             (lows if op in (">=", ">") else highs).append(place)

@@ -13,7 +13,7 @@ OPS = {
     "=": lambda a, b: a == b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b,
     "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
 }
-AGGS = {"n": ("count", None), "nv": ("count", "v"), "s": ("sum", "v"), "lo": ("min", "v"), "hi": ("max", "v"), "m": ("mean", "v")}
+AGGS = {"n": ("count", None), "nv": ("count", "v"), "s": ("sum", "v"), "least": ("min", "v"), "most": ("max", "v"), "m": ("mean", "v")}
 
 
 def brute(points, table, on):
@@ -41,13 +41,17 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("few,limit,broadcast", [(256, 2**20, 10**5), (0, 2**20, 10**5), (0, 2**20, 0), (0, 16, 0)])
+@pytest.mark.parametrize(
+    "few,limit,broadcast,literals",
+    [(256, 2**20, 10**5, 1000), (0, 2**20, 10**5, 1000), (0, 2**20, 0, 2), (256, 2**20, 10**5, 2), (0, 6, 0, 2)],
+)
 @pytest.mark.parametrize("case", range(len(CASES)))
-def test_same_as_brute_force(spark, monkeypatch, case, few, limit, broadcast):
+def test_same_as_brute_force(spark, monkeypatch, case, few, limit, broadcast, literals):
     monkeypatch.setattr(sweep_module, "FEW_PLACES", few)
     monkeypatch.setattr(sweep_module, "MAX_THRESHOLDS", limit)
+    monkeypatch.setattr(sweep_module, "MAX_LITERALS", literals)
     monkeypatch.setattr(sweep_module, "MAX_BROADCAST_POINTS", broadcast)
-    if limit == 16 and case not in (1, 3):
+    if limit == 6 and case not in (1, 3):
         pytest.skip("slices are covered by two cases")
     rng = random.Random(case)
     table = [

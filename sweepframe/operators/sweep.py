@@ -15,17 +15,19 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import StudyError
+from ..functions.template import expression_types
 from .ranking import count_not_above
 
 MAX_BROADCAST_POINTS = 200_000
 MAX_THRESHOLDS = 2**20
 MAX_LITERALS = 1000
 FEW_PLACES = 256
+FEW_COMPARISONS = 32
 
 Condition = tuple[str | Column, str, str | Column]
 Aggregate = tuple[str, str | Column | None]
@@ -38,10 +40,6 @@ def _column(value: str | Column) -> Column:
     return F.expr(value) if isinstance(value, str) else value
 
 
-def _type_in(df: DataFrame, value: Column) -> T.DataType:
-    return df.select(value.alias("_v")).schema["_v"].dataType
-
-
 def _common_type(left: T.DataType, right: T.DataType) -> T.DataType:
     if left == right:
         return left
@@ -114,8 +112,11 @@ def sweep(
     if grid_size is None:
         grid_size = grid.count()
 
+    conditions = [c for group in ranged.values() for c in group]
+    table_types = iter(expression_types(table, [left for left, _ in equal] + [left for left, _, _ in conditions]))
+    grid_types = iter(expression_types(grid, [right for _, right in equal] + [right for _, _, right in conditions]))
     keys = [f"_k{i}" for i in range(len(equal))]
-    types = [_common_type(_type_in(table, left), _type_in(grid, right)) for left, right in equal]
+    types = [_common_type(next(table_types), next(grid_types)) for _ in equal]
     rows = table.withColumns({k: left.cast(tp) for k, (left, _), tp in zip(keys, equal, types)})
     points = grid.select(
         "g_index",
@@ -131,7 +132,8 @@ def sweep(
         rows = rows.join(F.broadcast(points.select(*keys).distinct()), keys, "left_semi")
 
     dimensions = [
-        _Dimension(i, conditions, table, grid, points) for i, conditions in enumerate(ranged.values())
+        _Dimension(i, group, [_common_type(next(table_types), next(grid_types)) for _ in group], points)
+        for i, group in enumerate(ranged.values())
     ]
     oversized = [d for d in dimensions if d.limit > MAX_THRESHOLDS]
     if oversized:
@@ -165,14 +167,13 @@ class _Dimension:
     the scan can skip what lies outside all ranges.
     """
 
-    def __init__(self, number, conditions, table, grid, points):
-        self.number = number
+    def __init__(self, number: int, conditions: list, types: list[T.DataType], points: DataFrame):
         self.cell = f"_c{number}"
+        self.ends = f"_from{number}", f"_to{number}"
         self.conditions = conditions
         self.value = conditions[0][0]
         self.names = [f"_t{number}_{j}" for j in range(len(conditions))]
-        types = [_type_in(grid, right) for _, _, right in conditions]
-        self.type = reduce(_common_type, types, _type_in(table, self.value))
+        self.type = reduce(_common_type, types)
         self.distinct = points.select(
             F.explode(F.array(*(F.col(n).cast(self.type) for n in self.names))).alias("_t")
         ).where(F.col("_t").isNotNull()).distinct()
@@ -182,51 +183,53 @@ class _Dimension:
         self.places = 2 * self.limit + 1
         self.levels = self.places.bit_length()
 
-    def with_thresholds(self, df: DataFrame) -> DataFrame:
-        """Add all thresholds as one sorted array; at most ``MAX_THRESHOLDS`` values."""
-        if self.few is not None:
-            return df
-        array = self.distinct.agg(F.array_sort(F.collect_list("_t")).alias("_sorted")).scalar()
-        return df.withColumn("_sorted", array)
+    def _literal(self, text: str) -> Column:
+        return F.lit(text).cast(self.type)
 
-    def sorted(self) -> Column:
-        if self.few is None:
-            return F.col("_sorted")
+    def _literals(self) -> Column:
         # One text, so that the plan stays small until it is folded to an array.
         return F.from_json(F.lit(json.dumps(self.few)), "array<string>").cast(T.ArrayType(self.type))
 
     def place_rows(self, rows: DataFrame) -> DataFrame:
-        value, below = self.value.cast(self.type), f"_b{self.number}"
+        """Replace every row's value by its place; rows outside all ranges go first."""
+        value = self.value.cast(self.type)
         rows = rows.where(value.isNotNull())
         if self.few:
             operators = {op for _, op, _ in self.conditions}
             if operators & {">", ">="}:
-                rows = rows.where(value >= F.lit(self.few[0]).cast(self.type))
+                rows = rows.where(value >= self._literal(self.few[0]))
             if operators & {"<", "<="}:
-                rows = rows.where(value <= F.lit(self.few[-1]).cast(self.type))
-        placed = count_not_above(self.with_thresholds(rows), value, self.sorted(), self.limit, below)
-        on_threshold = F.get(self.sorted(), F.col(below) - 1) == value
-        return placed.withColumn(
-            self.cell, F.col(below) * 2 - F.when((F.col(below) > 0) & on_threshold, 1).otherwise(0)
-        ).drop("_sorted", below)
+                rows = rows.where(value <= self._literal(self.few[-1]))
+        if self.limit <= FEW_COMPARISONS and self.few is not None:
+            steps = [test.cast("int") for text in self.few for test in (value >= self._literal(text), value > self._literal(text))]
+            return rows.withColumn(self.cell, reduce(Column.__add__, steps, F.lit(0)))
+        if self.few is None:
+            rows = rows.withColumn("_sorted", self.distinct.agg(F.array_sort(F.collect_list("_t")).alias("_a")).scalar())
+        thresholds = F.col("_sorted") if self.few is None else self._literals()
+        placed = count_not_above(rows, value, thresholds, self.limit, "_below")
+        on_threshold = F.get(thresholds, F.col("_below") - 1) == value
+        place = F.col("_below") * 2 - F.when((F.col("_below") > 0) & on_threshold, 1).otherwise(0)
+        return placed.withColumn(self.cell, place).drop("_sorted", "_below")
 
     def place_points(self, points: DataFrame) -> DataFrame:
         """Turn the thresholds of every point into a run ``[from, to)`` of places."""
-        points = self.with_thresholds(points)
         lows, highs = [F.lit(0)], [F.lit(self.places)]
-        known = F.lit(True)
         for name, (_, op, _) in zip(self.names, self.conditions):
-            points = count_not_above(
-                points, F.col(name).cast(self.type), self.sorted(), self.limit, f"_r{name}"
-            )
-            place = F.col(f"_r{name}") * 2 - (1 if op in (">=", "<") else 0)
+            threshold = F.col(name).cast(self.type)
+            if self.few is not None:
+                rank = F.array_position(self._literals(), threshold).cast("int")
+            else:
+                ranks = self.distinct.select("_t", F.row_number().over(Window.orderBy("_t")).alias(f"_r{name}"))
+                points = points.join(ranks, threshold == F.col("_t"), "left").drop("_t")
+                rank = F.col(f"_r{name}")
+            place = rank * 2 - (1 if op in (">=", "<") else 0)
             (lows if op in (">=", ">") else highs).append(place)
-            known = known & F.col(name).isNotNull()
-        low = F.greatest(*lows) if len(lows) > 1 else lows[0]
-        high = F.least(*highs) if len(highs) > 1 else highs[0]
-        return points.where(known).withColumns(
-            {f"_from{self.number}": low, f"_to{self.number}": high}
-        ).drop("_sorted", *(f"_r{n}" for n in self.names))
+        # A missing threshold matches nothing: with a null end there are no tiles.
+        ends = [
+            reduce(lambda a, b: F.when(a.isNotNull() & b.isNotNull(), combine(a, b)), places)
+            for combine, places in ((F.greatest, lows), (F.least, highs))
+        ]
+        return points.withColumns(dict(zip(self.ends, ends))).drop(*self.names, *(f"_r{n}" for n in self.names))
 
     def add_up(self, cells: DataFrame, keys: Sequence[str], partials: _Partials) -> DataFrame:
         """Replace places by the blocks of 1, 2, 4, .. places they belong to."""
@@ -241,20 +244,19 @@ class _Dimension:
 
     def split_points(self, points: DataFrame) -> DataFrame:
         """Replace a run of places by the largest blocks that tile it exactly."""
-        low, high = F.col(f"_from{self.number}"), F.col(f"_to{self.number}")
+        low, high = map(F.col, self.ends)
         if self.places <= FEW_PLACES:
-            return points.where(low < high).withColumn(self.cell, F.explode(F.sequence(low, high - 1)))
-        blocks = []
-        for level in range(self.levels):
-            first = F.shiftright(low + (2**level - 1), level)
-            last = F.shiftright(high, level)
-            fits = first < last
-            for taken, block in ((first % 2 == 1, first), (last % 2 == 1, last - 1)):
-                blocks.append(
-                    F.when(fits & taken, F.struct(F.lit(level).alias("level"), block.alias("block")))
-                )
-        tiles = F.filter(F.array(*blocks), lambda b: b.isNotNull())
-        return points.withColumn(self.cell, F.explode(tiles))
+            tiles = F.sequence(low, high - 1)
+        else:
+            blocks = []
+            for level in range(self.levels):
+                first = F.shiftright(low + (2**level - 1), level)
+                last = F.shiftright(high, level)
+                for taken, block in ((first % 2 == 1, first), (last % 2 == 1, last - 1)):
+                    tile = F.struct(F.lit(level).alias("level"), block.alias("block"))
+                    blocks.append(F.when((first < last) & taken, tile))
+            tiles = F.filter(F.array(*blocks), lambda b: b.isNotNull())
+        return points.withColumn(self.cell, F.explode(F.when(low < high, tiles))).drop(*self.ends)
 
 
 def _in_slices(grid, table, on, aggs, dimension: _Dimension) -> DataFrame:

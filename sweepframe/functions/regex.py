@@ -12,8 +12,14 @@ try:  # Widths of groups; without it empty and absent groups are not told apart.
 except ImportError:  # pragma: no cover
     _regex_parser = None
 
-# Unicode classes, and only "\n" as a line end, as in Python.
-_FLAGS = "(?Ud)"
+# Only "\n" ends a line, as in Python.
+_LINES = "(?d)"
+# Unicode word characters and case folding, where a pattern has any: they are slow.
+_UNICODE = "(?Ud)"
+# The characters Python counts as white space. Single ones come first,
+# as Java looks those up in one table.
+_SPACES = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\p{Z}"
+_ASCII_FLAG = re.compile(r"\(\?[iLmsux]*a")
 _QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
 
 
@@ -36,7 +42,9 @@ def to_java(pattern: str) -> JavaPattern:
     if compiled.flags & re.VERBOSE:
         raise StudyError("verbose patterns are not supported")
     nonempty, optional = _group_facts(pattern, dict(compiled.groupindex))
-    return JavaPattern(_FLAGS + _Rewriter(pattern, compiled.groupindex).run(), dict(compiled.groupindex), nonempty, optional)
+    rewriter = _Rewriter(pattern, compiled.groupindex)
+    body = rewriter.run()
+    return JavaPattern((_UNICODE if rewriter.unicode else _LINES) + body, dict(compiled.groupindex), nonempty, optional)
 
 
 def _group_facts(pattern: str, groups: dict[str, int]) -> tuple[frozenset[str], frozenset[str]]:
@@ -74,6 +82,9 @@ class _Rewriter:
 
     def __init__(self, pattern: str, groups):
         self.pattern, self.groups, self.at = pattern, groups, 0
+        # Classes that change their meaning within the pattern are left to the flags.
+        self.flagged = bool(_ASCII_FLAG.search(pattern))
+        self.unicode = self.flagged
 
     def run(self) -> str:
         out = []
@@ -109,12 +120,15 @@ class _Rewriter:
         if char == "b" and in_class:
             self.take(2)
             return r"\x08"
-        if char == "s":
+        if char in "wWbB" and not (char == "b" and in_class):
+            self.unicode = True
+        elif char in "sd" and not self.flagged:
             self.take(2)
-            return r"\s\x1c-\x1f" if in_class else r"[\s\x1c-\x1f]"
-        if char == "S" and not in_class:
+            plain = _SPACES if char == "s" else r"\p{Nd}"
+            return plain if in_class or char == "d" else f"[{plain}]"
+        elif char in "SD" and not self.flagged:
             self.take(2)
-            return r"[^\s\x1c-\x1f]"
+            return rf"[^{_SPACES}]" if char == "S" else r"\P{Nd}"
         if char == "U":
             return r"\x{" + self.take(10)[2:] + "}"
         octal = re.match(r"0[0-7]{0,2}|[1-3][0-7]{2}", rest)
@@ -161,6 +175,7 @@ class _Rewriter:
         flags = re.match(r"\(\?([aiLmsux]*)(?:-([imsx]+))?([:)])", rest)
         if flags and (flags[1] or flags[2]):
             self.at += len(flags[0])
+            self.unicode = self.unicode or "i" in flags[1]
             turned_on = flags[1].replace("u", "").replace("a", "")
             turned_off = ("U" if "a" in flags[1] else "") + (flags[2] or "")
             if not turned_on and not turned_off:

@@ -62,8 +62,12 @@ class Capture:
             raise StudyError(f"unknown capture kind {kind!r}, expected one of {sorted(NUMBER_PATTERNS)}")
         words = prefix.split() if flexible_prefix else [prefix]
         start = r"\s+".join(map(re.escape, words))
-        skipped = rf"(?:\S+\s+){{{skip_words}}}"
-        return cls(rf"{start}\s*[:=]?\s*{skipped}(?P<{name}>{NUMBER_PATTERNS[kind]})", mode, kind, command)
+        # Spaces are never given back, nor is the sign unless a skipped word may begin
+        # with it: whatever follows cannot match them, so this only saves retries.
+        sign, skipped = "[:=]?+", ""
+        if skip_words:
+            sign, skipped = "[:=]?", rf"(?:\S+\s+){{{skip_words}}}"
+        return cls(rf"{start}\s*+{sign}\s*+{skipped}(?P<{name}>{NUMBER_PATTERNS[kind]})", mode, kind, command)
 
     @cached_property
     def java(self) -> JavaPattern:

@@ -41,19 +41,21 @@ CASES = [
 ]
 
 
+# Settings: places listed one by one, thresholds in one scan, broadcast points, literal thresholds.
+SMALL, LARGE, SLICED, BLOCKS = (256, 2**20, 10**5, 1000), (0, 2**20, 0, 2), (0, 6, 0, 2), (0, 2**20, 10**5, 1000)
+
+
 @pytest.mark.parametrize(
-    "few,limit,broadcast,literals",
-    [(256, 2**20, 10**5, 1000), (0, 2**20, 10**5, 1000), (0, 2**20, 0, 2), (256, 2**20, 10**5, 2), (0, 6, 0, 2)],
+    "case,few,limit,broadcast,literals",
+    [(case, *s) for s in (SMALL, LARGE) for case in range(len(CASES))]
+    + [(case, *s) for s in (SLICED, BLOCKS) for case in (1, 3)],
 )
-@pytest.mark.parametrize("case", range(len(CASES)))
 def test_same_as_brute_force(spark, monkeypatch, case, few, limit, broadcast, literals):
     monkeypatch.setattr(sweep_module, "FEW_PLACES", few)
     monkeypatch.setattr(sweep_module, "MAX_THRESHOLDS", limit)
     monkeypatch.setattr(sweep_module, "MAX_LITERALS", literals)
     monkeypatch.setattr(sweep_module, "FEW_COMPARISONS", 32 if few else 0)
     monkeypatch.setattr(sweep_module, "MAX_BROADCAST_POINTS", broadcast)
-    if limit == 6 and case not in (1, 3):
-        pytest.skip("slices are covered by two cases")
     rng = random.Random(case)
     table = [
         {"k": rng.choice("ABC"), "x": rng.choice([None, *range(12)]), "y": rng.randrange(12) / 2.0, "v": rng.choice([None, 1, 2, 5])}

@@ -27,7 +27,7 @@ MAX_BROADCAST_POINTS = 200_000
 MAX_THRESHOLDS = 2**20
 MAX_LITERALS = 1000
 FEW_PLACES = 256
-FEW_COMPARISONS = 32
+FEW_KEYS = 200
 
 Condition = tuple[str | Column, str, str | Column]
 Aggregate = tuple[str, str | Column | None]
@@ -127,14 +127,20 @@ def sweep(
             for j, (_, _, right) in enumerate(conditions)
         ),
     )
-    if keys and grid_size <= MAX_BROADCAST_POINTS:
-        # Rows no point asks for never reach an aggregation buffer.
-        rows = rows.join(F.broadcast(points.select(*keys).distinct()), keys, "left_semi")
-
     dimensions = [
-        _Dimension(i, group, [_common_type(next(table_types), next(grid_types)) for _ in group], points)
+        _Dimension(i, group, [_common_type(next(table_types), next(grid_types)) for _ in group])
         for i, group in enumerate(ranged.values())
     ]
+    compared = [([key], tp) for key, tp in zip(keys, types)] + [(d.names, d.type) for d in dimensions]
+    found = _few_values(points, compared, grid_size)
+    # Rows no point asks for never reach an aggregation buffer.
+    for key, (left, _), tp, few in zip(keys, equal, types, found):
+        if few is not None and len(few) <= FEW_KEYS:
+            rows = rows.where(left.cast(tp).isin([F.lit(text).cast(tp) for text in few]))
+        elif grid_size <= MAX_BROADCAST_POINTS:
+            rows = rows.join(F.broadcast(points.select(key).distinct()), key, "left_semi")
+    for dimension, few in zip(dimensions, found[len(keys) :]):
+        dimension.read_thresholds(points, few)
     oversized = [d for d in dimensions if d.limit > MAX_THRESHOLDS]
     if oversized:
         return _in_slices(grid, table, on, aggs, oversized[0])
@@ -158,6 +164,30 @@ def sweep(
     )
 
 
+def _few_values(
+    points: DataFrame, compared: Sequence[tuple[Sequence[str], T.DataType]], grid_size: int
+) -> list[list[str] | None]:
+    """Distinct values of groups of columns of the grid as text, or None for too many.
+
+    What reaches the driver is bounded: by the size of the grid, or by counts taken first.
+    """
+    entries = [
+        F.struct(F.lit(number).alias("number"), F.col(name).cast(tp).cast("string").alias("text"))
+        for number, (names, tp) in enumerate(compared)
+        for name in names
+    ]
+    distinct = points.select(F.inline(F.array(*entries))).where(F.col("text").isNotNull()).distinct()
+    wanted = set(range(len(compared)))
+    if grid_size * len(entries) > MAX_BROADCAST_POINTS:
+        counts = distinct.groupBy("number").count().where(F.col("count") <= MAX_LITERALS).collect()
+        wanted = {row["number"] for row in counts}
+        distinct = distinct.where(F.col("number").isin(*wanted)) if wanted else distinct.limit(0)
+    found: list[list[str]] = [[] for _ in compared]
+    for row in distinct.collect():
+        found[row["number"]].append(row["text"])
+    return [texts if n in wanted and len(texts) <= MAX_LITERALS else None for n, texts in enumerate(found)]
+
+
 class _Dimension:
     """One table expression compared by range with thresholds of the grid.
 
@@ -167,42 +197,37 @@ class _Dimension:
     the scan can skip what lies outside all ranges.
     """
 
-    def __init__(self, number: int, conditions: list, types: list[T.DataType], points: DataFrame):
+    def __init__(self, number: int, conditions: list, types: list[T.DataType]):
         self.cell = f"_c{number}"
         self.ends = f"_from{number}", f"_to{number}"
         self.conditions = conditions
         self.value = conditions[0][0]
         self.names = [f"_t{number}_{j}" for j in range(len(conditions))]
         self.type = reduce(_common_type, types)
+
+    def read_thresholds(self, points: DataFrame, few: list[str] | None) -> None:
+        self.few = few
         self.distinct = points.select(
             F.explode(F.array(*(F.col(n).cast(self.type) for n in self.names))).alias("_t")
         ).where(F.col("_t").isNotNull()).distinct()
-        few = self.distinct.orderBy("_t").limit(MAX_LITERALS + 1).select(F.col("_t").cast("string")).collect()
-        self.few = [row[0] for row in few] if len(few) <= MAX_LITERALS else None
-        self.limit = self.distinct.count() if self.few is None else len(self.few)
+        self.limit = self.distinct.count() if few is None else len(few)
         self.places = 2 * self.limit + 1
         self.levels = self.places.bit_length()
 
-    def _literal(self, text: str) -> Column:
-        return F.lit(text).cast(self.type)
-
     def _literals(self) -> Column:
         # One text, so that the plan stays small until it is folded to an array.
-        return F.from_json(F.lit(json.dumps(self.few)), "array<string>").cast(T.ArrayType(self.type))
+        return F.sort_array(F.from_json(F.lit(json.dumps(self.few)), "array<string>").cast(T.ArrayType(self.type)))
 
     def place_rows(self, rows: DataFrame) -> DataFrame:
-        """Replace every row's value by its place; rows outside all ranges go first."""
+        """Add the place of every row's value, dropping rows outside all ranges."""
         value = self.value.cast(self.type)
         rows = rows.where(value.isNotNull())
         if self.few:
             operators = {op for _, op, _ in self.conditions}
             if operators & {">", ">="}:
-                rows = rows.where(value >= self._literal(self.few[0]))
+                rows = rows.where(value >= F.array_min(self._literals()))
             if operators & {"<", "<="}:
-                rows = rows.where(value <= self._literal(self.few[-1]))
-        if self.limit <= FEW_COMPARISONS and self.few is not None:
-            steps = [test.cast("int") for text in self.few for test in (value >= self._literal(text), value > self._literal(text))]
-            return rows.withColumn(self.cell, reduce(Column.__add__, steps, F.lit(0)))
+                rows = rows.where(value <= F.array_max(self._literals()))
         if self.few is None:
             rows = rows.withColumn("_sorted", self.distinct.agg(F.array_sort(F.collect_list("_t")).alias("_a")).scalar())
         thresholds = F.col("_sorted") if self.few is None else self._literals()

@@ -54,7 +54,7 @@ def test_same_as_brute_force(spark, monkeypatch, case, few, limit, broadcast, li
     monkeypatch.setattr(sweep_module, "FEW_PLACES", few)
     monkeypatch.setattr(sweep_module, "MAX_THRESHOLDS", limit)
     monkeypatch.setattr(sweep_module, "MAX_LITERALS", literals)
-    monkeypatch.setattr(sweep_module, "FEW_COMPARISONS", 32 if few else 0)
+    monkeypatch.setattr(sweep_module, "FEW_KEYS", 200 if few else 1)
     monkeypatch.setattr(sweep_module, "MAX_BROADCAST_POINTS", broadcast)
     rng = random.Random(case)
     table = [

@@ -107,13 +107,12 @@ class Capture:
             else:
                 found = F.regexp_extract_all(text, pattern, F.lit(group))
                 if self.keeps_list():
+                    # nullif looks for matches once; a test with size would do it twice.
+                    value = F.nullif(found, F.array().cast("array<string>"))
                     if absent_is_empty:
-                        found_values = F.transform(found, lambda v: convert(F.nullif(v, F.lit(""))))
-                    elif tp == STRING:
-                        found_values = found
-                    else:
-                        found_values = F.transform(found, lambda v: convert(v))
-                    value = F.when(F.size(found) > 0, found_values)
+                        value = F.transform(value, lambda v: convert(F.nullif(v, F.lit(""))))
+                    elif tp != STRING:
+                        value = F.transform(value, lambda v: convert(v))
                 else:
                     value = F.try_element_at(found, F.lit(1 if self.mode == "first" else -1))
                     value = convert(F.nullif(value, F.lit("")) if absent_is_empty else value)

@@ -32,9 +32,18 @@ _EMPTY = {"version": 0, "instances": None, "logs": None, "table": None, "has_col
 class StudyStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: dict[str, Any] | None = None
 
     def state(self) -> dict[str, Any]:
-        """The current state; that of a study nothing was written for if there is none."""
+        """The current state; that of a study nothing was written for if there is none.
+
+        Read once: from then on this object is the study's one writer.
+        """
+        if self._known is None:
+            self._known = self._read_state()
+        return dict(self._known)
+
+    def _read_state(self) -> dict[str, Any]:
         try:
             rows = self.spark.read.schema(_STATE).json(f"{self.root}/state")
         except AnalysisException:
@@ -48,6 +57,7 @@ class StudyStore:
         state["version"] += 1
         row = tuple(state[name] for name in _STATE.names)
         self.spark.createDataFrame([row], _STATE).coalesce(1).write.mode("append").json(f"{self.root}/state")
+        self._known = state
 
     def write(self, kind: str, df: DataFrame) -> str:
         """Write a new version of a table and give its path; it is not current yet."""

@@ -98,6 +98,8 @@ def test_store_versions(spark, tmp_path):
     store.commit(table=second, has_collected=True)
     assert store.read("table").columns == ["g_index", "x"] and store.state()["has_collected"]
     assert spark.read.parquet(first).columns == ["g_index"]
+    again = StudyStore(spark, str(tmp_path / "s"))
+    assert again.state() == store.state() and again.read("table").count() == 3
 
 
 def test_captures_on_a_stream(spark, tmp_path, tables):

@@ -129,7 +129,11 @@ def contexts(
     logdir: Label = None,
     with_logdir: bool = False,
 ) -> DataFrame:
-    """Grid points that survive the conditions, densely numbered in product order."""
+    """Grid points that survive the conditions, densely numbered in product order.
+
+    Expressions must depend on the values of their own row only: numbering relies on
+    the partitions of the range, which a window function would change.
+    """
     axes = list(space) if names is None else list(names)
     points = space.product(spark, *axes)
     derived = evaluate(add_constants(points, constants), evaluables)

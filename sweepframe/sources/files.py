@@ -1,10 +1,25 @@
-"""Writing many small files, one per row."""
+"""Reading and writing many small files from tasks, on any file system."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as Spark's file systems spell it; local ones with three slashes."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = name.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = system.makeQualified(name).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def file_system(root: str):
+    """The Arrow file system of a qualified path, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root)
 
 
 def write_files(files: DataFrame, root: str, path: str = "path", text: str = "text") -> None:
@@ -13,14 +28,12 @@ def write_files(files: DataFrame, root: str, path: str = "path", text: str = "te
     Tasks write where the rows are, to any file system Arrow reaches. A task that
     runs again writes the same files again.
     """
+    root = qualified(files.sparkSession, root)
 
     def write(rows: Iterator[Row]) -> None:
         from pyarrow import fs
 
-        if "://" in root:
-            system, base = fs.FileSystem.from_uri(root)
-        else:
-            system, base = fs.LocalFileSystem(), root
+        system, base = fs.FileSystem.from_uri(root)
         made = set()
         for row in rows:
             target = f"{base.rstrip('/')}/{row[0]}"

@@ -27,7 +27,7 @@ UNKNOWN = "und"
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of all subwords of a run of texts, and where each text's begin; none reaches into the next text."""
+    """Hash buckets of all subwords of a run of texts, and where each text's begin; none reaches the next text's letters."""
     low = lowered(data, accents=True)
     inside = LETTER[low]
     first = np.zeros(len(low) + 1, bool)
@@ -39,18 +39,18 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     letters = np.where(inside[at], low[at], 32).astype(np.uint64)
     bounds = np.searchsorted(at, offsets)
     n = len(offsets) - 1
-    # Two spaces of margin before each text.
-    place = np.arange(len(at)) + 2 * np.repeat(np.arange(1, n + 1), np.diff(bounds))
-    padded = np.full(len(at) + 2 * n + 2, 32, np.uint64)
+    # Three spaces of margin before each text and after the last.
+    place = np.arange(len(at)) + 3 * np.repeat(np.arange(1, n + 1), np.diff(bounds))
+    padded = np.full(len(at) + 3 * n + 3, 32, np.uint64)
     padded[place] = letters
-    edge = bounds + 2 * np.arange(n + 1)
+    edge = bounds + 3 * np.arange(n + 1)
     codes = []
     whole = padded
     three = whole[:-2] | (whole[1:-1] << np.uint64(8)) | (whole[2:] << np.uint64(16))
     four = three[:-1] | (whole[3:] << np.uint64(24)) | np.uint64(1 << 40)
     for grams in (three, four):
         codes.append((mixed(grams) & np.uint64(BUCKETS - 1)).astype(np.int32))
-    # Text i owns the grams that start in its margin or letters and end before the next text's margin is over.
+    # Text i owns the grams that start in its margin or letters; the next margin is as far as they reach.
     size = len(four)
     both = np.empty(2 * size, np.int32)
     both[0::2], both[1::2] = codes[0][:size], codes[1]

@@ -14,7 +14,7 @@ from ..session import fresh_path, ship_package
 #: Most rows that are sent to every worker; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Bytes of text that are worked on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ END = np.uint64(0xE17A1465D5A11B0C)
 _UNIGRAM = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams that a task gathers before it hands them on.
-_GATHER = 4 << 20
+_GATHER = 2 << 20
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, small, stored, text_bytes
+from .common import chunks, map_arrow, stored, text_bytes
 from .tokens import encoder
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048,
     chosen = stored(lacking.groupBy("digest").agg(F.min("doc_id").alias("chosen")), "misses")
     if not chosen.isEmpty():
         same = keyed["digest"].eqNullSafe(chosen["digest"]) & keyed["doc_id"].eqNullSafe(chosen["chosen"])
-        misses = keyed.join(small(chosen), same, "left_semi").select("content", "digest")
+        misses = keyed.join(chosen, same, "left_semi").select("content", "digest")
         counted = map_arrow(misses, _counts(spec), "digest binary, n_tokens long")
         fresh = counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
         fresh.write.mode("append").parquet(cache)

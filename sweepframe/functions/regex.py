@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+# Widths of groups tell empty from absent ones; without this module the import fails, as results would change.
+from re import _parser as _regex_parser
 
 from ..errors import StudyError
 
-try:  # Widths of groups; without it empty and absent groups are not told apart.
-    from re import _parser as _regex_parser
-except ImportError:  # pragma: no cover
-    _regex_parser = None
-
 # Only "\n" ends a line, as in Python.
 _LINES = "(?d)"
 # Unicode word characters and case folding, where a pattern has any: they are slow.

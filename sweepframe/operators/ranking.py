@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +56,9 @@ def running_total(
     totals = local.groupBy(*keys, *prefix).agg(F.max(F.col(out) + F.col(weight)).alias("_weight"))
     start = f"{out}_start"
     starts = running_total(totals, keys, outer, "_weight", start).drop("_weight")
-    # Sort columns and keys hold no nulls, so the join keeps the windows' partitioning.
-    joined = local.join(starts, [*keys, *prefix])
-    return joined.withColumn(out, F.col(out) + F.col(start)).drop(start, block)
+    # A null key is a key like any other, in the windows and here.
+    names = {c: f"{c}_{out}_start" for c in [*keys, *prefix]}
+    starts = starts.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, (local[c].eqNullSafe(starts[n]) for c, n in names.items()), F.lit(True))
+    joined = local.join(starts, same)
+    return joined.withColumn(out, F.col(out) + F.col(start)).drop(start, block, *names.values())

@@ -151,15 +151,15 @@ class SeriesQuery:
             if self.modes[name].value is not None:
                 continue
             others = [a for a in axes if a != name]
-            # Rows of a group differ in the axis collapsed just before, if any.
-            rank = "g_index" if order is None else previous
+            # Once an axis is collapsed there is no index; rows of a group differ in the axis being collapsed.
+            rank = "g_index" if order is None else name
             data = data.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in others), F.lit(True)))
             first = {
                 c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(rank))) for c in [name, *extra]
             }
             data = data.groupBy(*others).agg(*(column.alias(c) for c, column in first.items()))
             data = data.select(*axes, *extra)
-            previous, order = name, [(a, self.space[a]) for a in others]
+            order = [(a, self.space[a]) for a in others]
 
         means = self.of_kind(MEAN)
         data = data.select(*(["g_index"] if order is None else []), *axes, *extra)

@@ -174,9 +174,15 @@ class Study:
         return self._put_instances(done, has_collected=False, has_plotted=False)
 
     def capture(self) -> DataFrame:
-        """Capture again from the stored texts; the same however often it is done."""
-        done = self.instances("downloaded").select("context.*")
-        rows = self.captured(done, self.store.read("logs"))
+        """Capture again from the stored texts; the same however often it is done.
+
+        Instances without stored texts, such as swept ones, stay as they are.
+        """
+        logs = self.store.read("logs")
+        if logs is None:
+            return self.instances()
+        done = self.instances("downloaded").select("context.*").join(logs.select("g_index"), "g_index", "left_semi")
+        rows = self.captured(done, logs)
         merged = self.instances("downloaded").drop("captured").join(
             rows.select("g_index", F.struct(*rows.columns).alias("captured")), "g_index"
         )

@@ -41,17 +41,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage at a point where recomputing would be expensive or would
-    not be repeatable, and survives the loss of executors.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def ansi_mode(spark: SparkSession, enabled: bool) -> Iterator[None]:
     """Resolve expressions with the given error behaviour.

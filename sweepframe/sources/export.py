@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Nulls are part of a record, so that every record has the same keys.
-_JSON = {"ignoreNullFields": "false"}
+# Times keep their microseconds.
+_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def record_json(df: DataFrame, without: tuple[str, ...] = ()) -> Column:

@@ -46,7 +46,10 @@ class StudyStore:
     def _read_state(self) -> dict[str, Any]:
         try:
             rows = self.spark.read.schema(_STATE).json(f"{self.root}/state")
-        except AnalysisException:
+        except AnalysisException as error:
+            # Only a missing folder is a new study; any other fault must not restart its versions.
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return dict(_EMPTY)
         last = rows.agg(F.max_by(F.struct(*_STATE.names), "version").alias("last")).first()["last"]
         return dict(_EMPTY) if last is None else last.asDict()

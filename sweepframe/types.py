@@ -89,13 +89,13 @@ def type_of_value(value: Any) -> T.DataType:
 
 def merge_types(left: T.DataType, right: T.DataType) -> T.DataType:
     """Least type that holds both, or an error if there is none."""
-    if left == ANY:
-        return right
+    if left == ANY or right == ANY:
+        return right if left == ANY else left
     if isinstance(left, T.ArrayType) and isinstance(right, T.ArrayType):
         return T.ArrayType(merge_types(left.elementType, right.elementType))
     if isinstance(left, T.ArrayType) or isinstance(right, T.ArrayType):
         raise StudyError(f"cannot merge {left.simpleString()} with {right.simpleString()}")
-    if right == ANY or left == right:
+    if left == right:
         return left
     merged = _MERGES.get(frozenset((left, right)))
     if merged is None:

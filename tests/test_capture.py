@@ -12,33 +12,25 @@ from sweepframe.functions.regex import to_java
 from sweepframe.operators.capture import as_captures, capture_instances, capture_long, capture_text
 from sweepframe.types import declared_types
 
-TEMPLATE = "".join(
-    f"{word} instance of {name}: {{{name}{k}}}\n"
-    for name in ("alpha", "bravo")
-    for k, word in enumerate(("First", "Second", "Third", "Fourth"), 1)
-)
+def solver_log(residuals, cells):
+    """A solver's output: one line per step, with a residual and a number of cells."""
+    steps = zip(residuals, cells)
+    return "start\n" + "".join(f"step {n}: residual= {r!r}, {c} cells\n" for n, (r, c) in enumerate(steps)) + "done\n"
 
 
 def test_modes_and_types(spark):
-    data = []
-    for index, (alpha, bravo) in enumerate([(1.234, 1), (2.345, 2), (3.456, 3)]):
-        values = {f"alpha{k}": k * alpha for k in range(1, 5)} | {f"bravo{k}": k * bravo for k in range(1, 5)}
-        data.append((index, TEMPLATE.format(**values)))
-    df = spark.createDataFrame(data, "g_index long, text string")
-    captures = [
-        Capture.simple(kind, mode + name, name + ":", mode=mode)
-        for name, kind in (("alpha", "float"), ("bravo", "integer"))
-        for mode in ("first", "last", "all")
-    ]
+    runs = {10: ([0.5, 0.125, 3e-3], [40, 44, 52]), 11: ([2.0], [7]), 12: ([], [])}
+    df = spark.createDataFrame([(i, solver_log(*run)) for i, run in runs.items()], "g_index long, text string")
+    captures = [Capture.simple("float", f"res_{mode}", "residual=", mode=mode) for mode in ("first", "last", "all")]
+    captures += [Capture.simple("integer", f"step_{mode}", "step", mode=mode) for mode in ("first", "last", "all")]
     found = capture_text(df, "text", captures).drop("text").orderBy("g_index")
-    assert [f.dataType.simpleString() for f in found.schema] == [
-        "bigint", "double", "double", "array<double>", "bigint", "bigint", "array<bigint>",
-    ]
-    first = found.first()
-    assert first["firstalpha"] == 1.234 and first["lastalpha"] == 4 * 1.234
-    assert first["allalpha"] == [k * 1.234 for k in range(1, 5)]
-    assert [r["lastbravo"] for r in found.collect()] == [4, 8, 12]
-    assert [r["allbravo"] for r in found.collect()] == [[b, 2 * b, 3 * b, 4 * b] for b in (1, 2, 3)]
+    kinds = [f.dataType.simpleString() for f in found.schema][1:]
+    assert kinds == ["double", "double", "array<double>", "bigint", "bigint", "array<bigint>"]
+    many, one, empty = found.collect()
+    assert (many["res_first"], many["res_last"], many["res_all"]) == (0.5, 0.003, [0.5, 0.125, 0.003])
+    assert (many["step_first"], many["step_last"], many["step_all"]) == (0, 2, [0, 1, 2])
+    assert (one["res_all"], one["step_last"]) == ([2.0], 0)
+    assert empty["res_first"] is None and empty["step_last"] is None
 
 
 def test_regex_capture_with_declared_types(spark):

@@ -19,13 +19,12 @@ def test_axes():
     assert list(Axis([True, False])) == [True, False]
 
 
-def test_graded_gaps_follow_the_iteration():
-    lo, hi, num, g = -1.0, 2.5, 9, 0.7
-    step, expected = (hi - lo) * (1 - g) / (1 - g ** (num - 1)), [lo]
-    for _ in range(num - 1):
-        expected.append(expected[-1] + step)
-        step *= g
-    assert list(GradedAxis(lo, hi, num, g)) == expected
+@pytest.mark.parametrize("ratio", [0.4, 0.95, 1.5])
+def test_graded_gaps_keep_their_ratio(ratio):
+    values = list(GradedAxis(-4, 6, 12, ratio))
+    gaps = [b - a for a, b in zip(values, values[1:])]
+    assert len(values) == 12 and values[0] == -4 and values[-1] == pytest.approx(6)
+    assert [b / a for a, b in zip(gaps, gaps[1:])] == pytest.approx([ratio] * 10)
 
 
 @pytest.mark.parametrize("bad", [1, "abc", [1, "a"], {"c": 1}, {"type": "uniform", "num": 3}, [[1]], [True, 1]])

@@ -37,6 +37,21 @@ def test_variate_with_ignores(table):
     assert rows(found.series()) == [(0, 0, "isq", "isq")]
 
 
+def test_several_ignored_axes(spark):
+    space = Space({"i": [1, 2, 3], "j": [7, 8, 9], "k": ["k", "l", "m"]})
+    made = contexts(spark, space, None, {}, {"y": "1000 * i + 10 * j + ord(k)"})
+    for parts in (1, 7):
+        found = SeriesQuery(Plot("f", "y", {"i": "variate"}), space, made.repartition(parts), {}, {})
+        assert [r["y"] for r in found.points().orderBy("pos").collect()] == [1000 * i + 70 + ord("k") for i in (1, 2, 3)]
+
+
+def test_blocks_keep_null_keys(spark, monkeypatch):
+    frame = spark.createDataFrame([(c, n, 1.0) for c in ("a", None) for n in range(6)], "c string, n long, w double")
+    whole = rows(running_total(frame, ["c"], [("n", 6)], "w", "t"), "c", "n")
+    monkeypatch.setattr(ranking, "BLOCK", 2)
+    assert rows(running_total(frame, ["c"], [("n", 6)], "w", "t").select("c", "n", "w", "t"), "c", "n") == whole
+
+
 def test_fixed_and_mean(table):
     found = query(
         table, yaxis="misc", axes={"i": "variate", "j": "mean", "k": "fixed"}, filename="misc-vs-i-${k}",

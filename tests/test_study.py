@@ -84,23 +84,32 @@ def test_whole_life(spark, tmp_path):
     assert study.flags() == expected_flags(has_captured=True)
 
 
-def test_failing_points(spark, tmp_path):
-    def returning(context):
-        if context["retcode"] == 1:
-            raise StepFailed("return 1\n")
-        return "return 0\nnext 0\n"
+def test_points_fail_on_their_own(spark, tmp_path):
+    def solve(context):
+        if context["load"] > 2:
+            raise StepFailed(f"load {context['load']} is too much\niterations= 99\n")
+        return f"iterations= {3 * context['load']}\n"
 
     study = Study(
-        spark, {"retcode": [0, 1]}, root=str(tmp_path / "f"),
-        steps=[Step("before", lambda c: "before 12"), Step("middle", returning), Step("after", lambda c: "after 13")],
-        captures=[Capture.simple("integer", n, n, mode="first", command=c) for n, c in
-                  (("before", "before"), ("return", "middle"), ("next", "middle"), ("after", "after"))],
+        spark, {"load": [1, 2, 3]}, root=str(tmp_path / "f"),
+        steps=[Step("mesh", lambda c: "nodes= 64"), Step("solve", solve), Step("report", lambda c: "pages= 5")],
+        captures=[Capture.simple("integer", name, f"{name}=", mode="first", command=step)
+                  for name, step in (("nodes", "mesh"), ("iterations", "solve"), ("pages", "report"))],
     )
     study.run()
-    found = study.collect().select("before", "return", "next", "after", "g_success", "g_index")
-    assert rows(found, "g_index") == [(12, 0, 0, 13, True, 0), (12, 1, None, None, False, 1)]
-    table = study.load_table().orderBy("g_index").collect()
-    assert table[0]["g_walltime_after"] is not None and table[1]["g_walltime_after"] is None
+    found = study.collect().select("load", "nodes", "iterations", "pages", "g_success")
+    assert rows(found, "load") == [(1, 64, 3, 5, True), (2, 64, 6, 5, True), (3, 64, 99, None, False)]
+    times = study.load_table().orderBy("g_index").select("g_walltime_report").collect()
+    assert [t[0] is None for t in times] == [False, False, True]
+
+
+def test_capture_leaves_swept_instances(spark, tmp_path, tables):
+    orders = spark.read.parquet(f"{tables}/orders.parquet")
+    study = Study(spark, {"status": ["F", "O"]}, root=str(tmp_path / "w"))
+    study.run_sweep(orders, on=[("o_orderstatus", "=", "status")], aggs={"n": ("count", None)})
+    before = study.instances().select("g_index", "captured").orderBy("g_index").collect()
+    study.capture()
+    assert study.instances().select("g_index", "captured").orderBy("g_index").collect() == before
 
 
 def test_retry_allow_failure_and_context_steps(spark, tmp_path):

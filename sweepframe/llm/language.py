@@ -124,11 +124,11 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7) -> Model | None:
         chance = model.softmax(means)
         losses.append((-np.log(np.maximum(chance[np.arange(len(check)), target[check]], 1e-12)).mean(), model.sharpness))
     # Of nearly equal fits the mildest: rows that are all right would ask for certainty.
-    model.sharpness = min(s for loss, s in losses if loss <= min(losses)[0] + 0.01)
+    model.sharpness = min(s for loss, s in losses if loss <= min(losses)[0] + 0.001)
     right = model.softmax(means)
     sure = right.max(axis=1)[right.argmax(axis=1) == target[check]]
-    # Reject what is less sure than nearly all held-back rows that were right, and never above one half.
-    model.least = float(min(0.5, np.quantile(sure, 0.002))) if len(sure) else 0.0
+    # Reject what is less sure than nearly all held-back rows that were right, and never above two fifths.
+    model.least = float(min(0.4, np.quantile(sure, 0.002))) if len(sure) else 0.0
     return model
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from ..errors import StudyError
 from ..types import FLOATING, STRING, type_of_value
 
+_FEW_LITERALS = 64
+
 
 class Axis(Sequence):
     """Listed axis: the values as given, all numbers, all texts or all booleans."""
@@ -43,7 +46,9 @@ class Axis(Sequence):
         return type_of_value(self.values[0]) if len(self) else STRING
 
     def literal(self) -> Column:
-        """The values as one array literal."""
+        """The values as one array literal; many of them as one text, which the optimizer turns into an array."""
+        if len(self) > _FEW_LITERALS:
+            return F.from_json(F.lit(json.dumps(list(self.values))), T.ArrayType(self.element_type))
         return F.array(*(F.lit(v) for v in self.values)).cast(T.ArrayType(self.element_type))
 
     def at(self, position: Column) -> Column:

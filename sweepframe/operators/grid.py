@@ -15,7 +15,8 @@ from .axes import Axis, as_axis
 ORDINAL = "g_ordinal"
 POINTS_PER_PARTITION = 1_000_000
 MAX_GRID_PARTITIONS = 10_000
-MAX_POINTS = 2**62
+# A place within a partition has 33 bits.
+MAX_POINTS = MAX_GRID_PARTITIONS * 2**33
 
 
 class Space(Mapping):

@@ -29,7 +29,12 @@ def count_not_above(df: DataFrame, value: Column, sorted_values: Column, limit:
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, int | None]], weight: str, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[tuple[str, int | None]],
+    weight: str,
+    out: str,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add the sum of ``weight`` over the earlier rows of the same key.
 
@@ -37,11 +42,11 @@ def running_total(
     can take under one prefix of the others, or None where only few are expected
     and no bound is known. No window holds more rows than such a bound or
     ``BLOCK``: a longer order is summed level by level, the totals of one level
-    being the weights of the next.
+    being the weights of the next. ``ties`` order what is equal in ``order``.
     """
     whole = all(bound is not None for _, bound in order) and math.prod(bound for _, bound in order) <= BLOCK
     if whole or (len(order) == 1 and order[0][1] is None):
-        before = Window.partitionBy(*keys).orderBy(*([c for c, _ in order] or [F.lit(0)]))
+        before = Window.partitionBy(*keys).orderBy(*([*(c for c, _ in order), *ties] or [F.lit(0)]))
         return df.withColumn(out, F.sum(weight).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
 
     *outer, (last, bound) = order
@@ -51,7 +56,7 @@ def running_total(
         df = df.withColumn(block, F.expr(f"`{last}` div {BLOCK}"))
         outer, inner = [*outer, (block, bound // BLOCK + 1)], BLOCK
     prefix = [c for c, _ in outer]
-    local = running_total(df, [*keys, *prefix], [(last, inner)], weight, out)
+    local = running_total(df, [*keys, *prefix], [(last, inner)], weight, out, ties)
     # Read off the windowed rows, so both sides share one shuffle.
     totals = local.groupBy(*keys, *prefix).agg(F.max(F.col(out) + F.col(weight)).alias("_weight"))
     start = f"{out}_start"

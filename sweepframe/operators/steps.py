@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import StudyError
 from ..session import ship_package
@@ -25,6 +27,9 @@ STEP_SCHEMA = (
     "allow_failure boolean, started timestamp_ntz, finished timestamp_ntz, walltime double"
 )
 
+#: Records, and characters of their texts, that a task hands on at once.
+_RECORDS, _CHARACTERS = 1000, 4 << 20
+
 
 class StepFailed(Exception):
     """Raised by a step to fail while keeping the text it has written."""
@@ -94,20 +99,30 @@ def map_instances(contexts: DataFrame, steps: Steps, partitions: int | None = No
 
     Points are spread by index, so slow functions keep all executors busy. A
     failure is recorded and never stops other points. Steps are run again if the
-    result is used again, so callers store it once.
+    result is used again, so callers store it once. A step sees the values of the
+    context as they are: integers stay integers next to nulls, lists are lists.
     """
     if not callable(steps):
         check_steps(steps)
     ship_package(contexts.sparkSession)
     count = partitions or contexts.sparkSession.sparkContext.defaultParallelism * 4
-    columns = STEP_SCHEMA.replace(",", "").split()[::2]
+    schema = to_arrow_schema(T.StructType.fromDDL(STEP_SCHEMA))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, held = [], 0
         for batch in batches:
-            records = [r for context in batch.to_dict("records") for r in run_point(steps, context)]
-            yield pd.DataFrame(records, columns=columns)
-
-    return contexts.repartition(count, "g_index").mapInPandas(run, STEP_SCHEMA)
+            for row in range(batch.num_rows):
+                (context,) = batch.slice(row, 1).to_pylist()
+                for record in run_point(steps, context):
+                    records.append(record)
+                    held += len(record["text"]) + len(record["error"] or "")
+                    if len(records) >= _RECORDS or held >= _CHARACTERS:
+                        yield pa.RecordBatch.from_pylist(records, schema)
+                        records, held = [], 0
+        if records:
+            yield pa.RecordBatch.from_pylist(records, schema)
+
+    return contexts.repartition(count, "g_index").mapInArrow(run, STEP_SCHEMA)
 
 
 def fail_fast(records: DataFrame) -> DataFrame:

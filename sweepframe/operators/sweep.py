@@ -136,7 +136,7 @@ def sweep(
     # Rows no point asks for never reach an aggregation buffer.
     for key, (left, _), tp, few in zip(keys, equal, types, found):
         if few is not None and len(few) <= FEW_KEYS:
-            rows = rows.where(left.cast(tp).isin([F.lit(text).cast(tp) for text in few]))
+            rows = rows.where(left.cast(tp).isin([_from_text(F.lit(text), tp) for text in few]))
         elif grid_size <= MAX_BROADCAST_POINTS:
             rows = rows.join(F.broadcast(points.select(key).distinct()), key, "left_semi")
     for dimension, few in zip(dimensions, found[len(keys) :]):
@@ -148,9 +148,10 @@ def sweep(
         rows = dimension.place_rows(rows)
         points = dimension.place_points(points)
     cells = rows.groupBy(*keys, *(d.cell for d in dimensions)).agg(*partials.first.values())
-    for dimension in dimensions:
-        cells = dimension.add_up(cells, [*keys, *(d.cell for d in dimensions)], partials)
+    for number, dimension in enumerate(dimensions, 1):
         points = dimension.split_points(points)
+        asked = points.select(*keys, *(d.cell for d in dimensions[:number])).distinct()
+        cells = dimension.add_up(cells, [*keys, *(d.cell for d in dimensions)], partials, asked)
 
     block_keys = [*keys, *(d.cell for d in dimensions)]
     matched = points.select("g_index", *block_keys).join(cells, block_keys)
@@ -164,6 +165,24 @@ def sweep(
     )
 
 
+def _as_text(value: Column, tp: T.DataType) -> Column:
+    """An exact text: instants as seconds since 1970 (local times repeat), both zeros as one."""
+    if isinstance(tp, T.TimestampType):
+        return (F.unix_micros(value).cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("string")
+    if isinstance(tp, (T.DoubleType, T.FloatType)):
+        return F.when(value == 0, F.lit(0.0)).otherwise(value).cast("string")
+    return value.cast("string")
+
+
+def _from_text(text: Column, tp: T.DataType) -> Column:
+    """What ``_as_text`` was made from; ``text`` may be an array."""
+    if isinstance(tp, T.ArrayType):
+        steps = [T.ArrayType(T.DecimalType(26, 6))] if isinstance(tp.elementType, T.TimestampType) else []
+    else:
+        steps = [T.DecimalType(26, 6)] if isinstance(tp, T.TimestampType) else []
+    return reduce(lambda column, step: column.cast(step), [*steps, tp], text)
+
+
 def _few_values(
     points: DataFrame, compared: Sequence[tuple[Sequence[str], T.DataType]], grid_size: int
 ) -> list[list[str] | None]:
@@ -172,7 +191,7 @@ def _few_values(
     What reaches the driver is bounded: by the size of the grid, or by counts taken first.
     """
     entries = [
-        F.struct(F.lit(number).alias("number"), F.col(name).cast(tp).cast("string").alias("text"))
+        F.struct(F.lit(number).alias("number"), _as_text(F.col(name).cast(tp), tp).alias("text"))
         for number, (names, tp) in enumerate(compared)
         for name in names
     ]
@@ -216,7 +235,7 @@ class _Dimension:
 
     def _literals(self) -> Column:
         # One text, so that the plan stays small until it is folded to an array.
-        return F.sort_array(F.from_json(F.lit(json.dumps(self.few)), "array<string>").cast(T.ArrayType(self.type)))
+        return F.sort_array(_from_text(F.from_json(F.lit(json.dumps(self.few)), "array<string>"), T.ArrayType(self.type)))
 
     def place_rows(self, rows: DataFrame) -> DataFrame:
         """Add the place of every row's value, dropping rows outside all ranges."""
@@ -256,8 +275,8 @@ class _Dimension:
         ]
         return points.withColumns(dict(zip(self.ends, ends))).drop(*self.names, *(f"_r{n}" for n in self.names))
 
-    def add_up(self, cells: DataFrame, keys: Sequence[str], partials: _Partials) -> DataFrame:
-        """Replace places by the blocks of 1, 2, 4, .. places they belong to."""
+    def add_up(self, cells: DataFrame, keys: Sequence[str], partials: _Partials, asked: DataFrame) -> DataFrame:
+        """Replace places by the blocks of 1, 2, 4, .. places they belong to, as far as a point asks for them."""
         if self.places <= FEW_PLACES:
             return cells
         place = F.col(self.cell)
@@ -265,7 +284,8 @@ class _Dimension:
             *(F.struct(F.lit(level).alias("level"), F.shiftright(place, level).alias("block"))
               for level in range(self.levels))
         )
-        return cells.withColumn(self.cell, F.explode(blocks)).groupBy(*keys).agg(*partials.again.values())
+        blocks = cells.withColumn(self.cell, F.explode(blocks)).join(asked, asked.columns, "left_semi")
+        return blocks.groupBy(*keys).agg(*partials.again.values())
 
     def split_points(self, points: DataFrame) -> DataFrame:
         """Replace a run of places by the largest blocks that tile it exactly."""

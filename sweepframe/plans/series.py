@@ -22,8 +22,6 @@ from ..operators.ranking import count_not_above, running_total
 FIXED, CATEGORY, VARIATE, MEAN, IGNORE = "fixed", "category", "variate", "mean", "ignore"
 MODES = (FIXED, CATEGORY, VARIATE, MEAN, IGNORE)
 
-_FEW_VALUES = 64
-
 
 @dataclass(frozen=True)
 class Mode:
@@ -144,6 +142,10 @@ class SeriesQuery:
         values = list(dict.fromkeys([*self.plot.ycolumns, *([self.xaxis] if self.xaxis else [])]))
         extra = [c for c in values if c not in axes]
         data = self.table.select("g_index", *axes, *extra)
+        # Plots and series are those of the axes, so rows with other values belong to none.
+        for key in self.keys:
+            data, place = place_of(data, key, self.space[key], "_key")
+            data = data.where(place % 2 == 1).drop("_key")
         order: list[tuple[str, Axis | None]] | None = None
         constant_axes: set[str] = set()
 
@@ -198,12 +200,13 @@ class SeriesQuery:
         ]
         keys = self.keys
         key_columns = [F.col(k).alias(f"_key_{k}") for k in keys]
-        rows = data.select(*key_columns, *(r for r, _ in ranks), F.inline(F.array(*entries)))
+        ties = [F.col(a).alias(f"_tie_{a}") for a, axis in order if axis is not None and a not in keys]
+        rows = data.select(*key_columns, *(r for r, _ in ranks), *ties, F.inline(F.array(*entries)))
         if self.lists:
             rows = rows.withColumn("_n", F.coalesce(F.size("_y"), F.lit(0)).cast("long"))
         else:
             rows = rows.withColumn("_n", F.lit(1).cast("long"))
-        rows = running_total(rows, [*(f"_key_{k}" for k in keys), "yaxis"], ranks, "_n", "_before")
+        rows = running_total(rows, [*(f"_key_{k}" for k in keys), "yaxis"], ranks, "_n", "_before", [c for c in rows.columns if c.startswith("_tie_")])
         if self.lists:
             zipped = F.arrays_zip("_y", "_x") if self.xaxis else F.arrays_zip("_y")
             rows = rows.select("*", F.posexplode(zipped).alias("_at", "_point"))
@@ -229,7 +232,7 @@ class SeriesQuery:
         return T.ArrayType(T.DoubleType()) if self.lists else T.DoubleType()
 
     def _ranked(self, data: DataFrame, order: list[tuple[str, Axis | None]]) -> tuple[DataFrame, list[tuple[str, int | None]]]:
-        """Add the order as columns of known bound, each axis by the rank of its values."""
+        """Add the order as columns of known bound, each axis by the place of its values."""
         if order and order[0] == ("g_index", None):
             return data.withColumn("_rank_index", F.col("g_index")), [("_rank_index", max(1, self.space.full_size()))]
         ranks: list[tuple[str, int | None]] = []
@@ -252,8 +255,8 @@ class SeriesQuery:
                 # Means differ only where conditions left an axis with different values.
                 ranks.append((f"_rank_{len(ranks)}", None))
                 continue
-            data, rank = rank_of(data, name, axis, f"_place_{number}")
-            size = len(axis)
+            data, rank = place_of(data, name, axis, f"_place_{number}")
+            size = 2 * len(axis) + 1
             if merged is not None and merged[1] * size < 2**62:
                 merged = (merged[0] * size + rank, merged[1] * size)
             else:
@@ -356,14 +359,17 @@ class SeriesQuery:
         return points.groupBy("pos").agg(*cells)
 
 
-def rank_of(df: DataFrame, name: str, axis: Axis, out: str) -> tuple[DataFrame, Column]:
-    """Rank of a column's value among the sorted values of its axis."""
-    values = sorted(set(axis)) if not isinstance(axis, UniformAxis) or len(axis) <= _FEW_VALUES else sorted(axis)
-    literal = Axis(values).literal()
-    if len(values) <= _FEW_VALUES:
-        return df, (F.array_position(literal, F.col(name).cast(axis.element_type)) - 1).cast("long")
-    df = count_not_above(df, F.col(name).cast(axis.element_type), literal, len(values), out)
-    return df, (F.col(out) - 1).cast("long")
+def place_of(df: DataFrame, name: str, axis: Axis, out: str) -> tuple[DataFrame, Column]:
+    """Place of a column's value among the sorted values of its axis, whatever their number.
+
+    The k-th value (from 0) has place 2k + 1, what lies between two values the even place there,
+    null place 0. The column ``out`` is added to the data.
+    """
+    literal = Axis(sorted(set(axis))).literal()
+    value = F.col(name).cast(axis.element_type)
+    df = count_not_above(df, value, literal, len(axis), out)
+    found = F.coalesce(F.get(literal, F.col(out) - 1) == value, F.lit(False))
+    return df, (F.col(out) * 2 - found.cast("int")).cast("long")
 
 
 def all_points(queries: Sequence[SeriesQuery]) -> DataFrame:

@@ -6,61 +6,32 @@ import fnmatch
 import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.regex import to_java
+from .files import read_files, walk
 
 # Defaults for the folder a run keeps its records in, and the key=value file in it.
 BOOK = "records"
 INFO_FILE = "info.txt"
 
 
-def _relative(root: str) -> Column:
-    """Path of a file below ``root``, however the file system spells its name."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(path, r"^[a-z0-9]+:/*(?=/)", "").substr(F.lit(len(root.rstrip("/")) + 2), F.lit(2**31 - 1))
-
-
-def _read_whole(spark: SparkSession, root: str, book: str, name: str, depth: int) -> DataFrame:
-    """Whole files called ``name`` in the book folders below ``root``: ``(_text, _path)``.
-
-    Spark lists visible folders with as many tasks as needed. Hidden ones it skips,
-    so those are named by a glob, for labels of up to ``depth`` folders.
-    """
-    if book[0] in "._":
-        levels = ",".join("/".join("*" * level) for level in range(1, depth + 1))
-        try:
-            files = spark.read.text(f"{root.rstrip('/')}/{{{levels}}}/{book}/{name}", wholetext=True)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], "_text string, _path string")
-    else:
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-        files = reader.text(root, wholetext=True)
-    return files.select(F.col("value").alias("_text"), _relative(root).alias("_path"))
-
-
 def _in_book(book: str, name: str) -> str:
     return rf"^(.*)/{re.escape(book)}/{name}$"
 
 
 def read_stdout(
-    spark: SparkSession, root: str, stream: str = "stdout", book: str = BOOK, depth: int = 4
+    spark: SparkSession, root: str, stream: str = "stdout", book: str = BOOK
 ) -> DataFrame:
     """One row per instance and command: ``(logdir, command, text)``.
 
-    Reads ``<root>/<logdir>/<book>/<command>.<stream>``. Missing files give no row.
+    Reads ``<root>/<logdir>/<book>/<command>.<stream>``, at any depth. Missing files give no row.
     """
     path = _in_book(book, rf"([^/]+)[.]{re.escape(stream)}")
-    files = _read_whole(spark, root, book, f"*.{stream}", depth)
-    return files.where(F.col("_path").rlike(path)).select(
-        F.regexp_extract("_path", path, 1).alias("logdir"),
-        F.regexp_extract("_path", path, 2).alias("command"),
-        F.col("_text").alias("text"),
+    return read_files(walk(spark, root).where(F.col("path").rlike(path)), root).select(
+        F.regexp_extract("path", path, 1).alias("logdir"), F.regexp_extract("path", path, 2).alias("command"), "text"
     )
 
 
@@ -75,10 +46,10 @@ def parse_info(lines: DataFrame, keys: Sequence[str], order: str, line: str = "l
 
 
 def read_info(
-    spark: SparkSession, root: str, filename: str = INFO_FILE, book: str = BOOK, depth: int = 4
+    spark: SparkSession, root: str, filename: str = INFO_FILE, book: str = BOOK
 ) -> DataFrame:
     """Key=value records of every instance below ``root``, as ``(logdir, key, value)``."""
-    lines = read_records(spark, root, filename, book, depth).select(
+    lines = read_records(spark, root, filename, book).select(
         "logdir", F.posexplode(F.split(F.rtrim("record"), "\n")).alias("line_no", "line")
     )
     return parse_info(lines.where(F.length("line") > 0), ["logdir"], "line_no")
@@ -90,13 +61,16 @@ def parse_records(df: DataFrame, column: str, schema: T.StructType | str, out: s
 
 
 def read_records(
-    spark: SparkSession, root: str, filename: str, book: str = BOOK, depth: int = 4
+    spark: SparkSession, root: str, filename: str, book: str = BOOK
 ) -> DataFrame:
     """A file kept per instance, as ``(logdir, record)``."""
-    path = _in_book(book, "[^/]+")
-    files = _read_whole(spark, root, book, filename, depth)
-    return files.where(F.col("_path").rlike(path)).select(
-        F.regexp_extract("_path", path, 1).alias("logdir"), F.col("_text").alias("record")
+    return _records(walk(spark, root), root, filename, book)
+
+
+def _records(files: DataFrame, root: str, filename: str, book: str) -> DataFrame:
+    path = _in_book(book, re.escape(filename))
+    return read_files(files.where(F.col("path").rlike(path)), root).select(
+        F.regexp_extract("path", path, 1).alias("logdir"), F.col("text").alias("record")
     )
 
 
@@ -106,15 +80,15 @@ def rebuild_instances(
     context_schema: T.StructType | str,
     captured_schema: T.StructType | str | None = None,
     book: str = BOOK,
-    depth: int = 4,
 ) -> DataFrame:
     """Instance table from a storage tree; folders without a status are left out.
 
     ``captured_schema`` is given when the tree is known to hold captured records.
     """
+    files = walk(spark, root)
 
     def records(filename: str, name: str) -> DataFrame:
-        return read_records(spark, root, filename, book, depth).withColumnRenamed("record", name)
+        return _records(files, root, filename, book).withColumnRenamed("record", name)
 
     rows = records("status.txt", "status").join(records("context.json", "context_json"), "logdir")
     rows = parse_records(rows, "context_json", context_schema, "context")
@@ -142,15 +116,7 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None, folde
 
     Only names and sizes are read, not contents.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select(_relative(root).alias("path"), "length")
-    )
-    if pattern is not None:
-        return files.where(F.col("path").rlike(glob_regex(pattern)))
     if folder is not None:
-        name = folder.rstrip("/")
-        return files.where((F.col("path") == name) | F.col("path").startswith(name + "/"))
-    return files
+        return walk(spark, root, folder)
+    files = walk(spark, root)
+    return files if pattern is None else files.where(F.col("path").rlike(glob_regex(pattern)))

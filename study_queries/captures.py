@@ -134,7 +134,9 @@ def long_form(spark, sf):
 
 @add("C11_capture_again", f"SELECT doc_id AS g_index, TRY_CAST(list_extract({found('text', INTEGER)}, -1) AS BIGINT) AS n FROM documents")
 def capture_again(spark, sf):
-    texts = load(spark, sf, "documents").withColumnRenamed("doc_id", "g_index").withColumn("cmd_no", F.lit(0))
+    root = fresh_path(spark, "tree")
+    write_files(load(spark, sf, "documents").select(F.concat("doc_id", F.lit("/records/sh.stdout")).alias("path"), "text"), root)
+    texts = sources.read_stdout(spark, root).select(F.col("logdir").cast("long").alias("g_index"), "text", F.lit(0).alias("cmd_no"))
     once = cap.capture_instances(texts, [_integers("first")], strict=False)
     again = cap.capture_instances(texts, [_integers("last")], strict=False)
     return upsert(upsert(once, again), again)
@@ -201,10 +203,10 @@ def system_columns(spark, sf):
 
 
 @add("T5_apply_merged_schema", """
-SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS DOUBLE) AS v, NULL AS s FROM orders WHERE o_orderkey % 2 = 0
+SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS DOUBLE) AS v, NULL AS s FROM orders
 UNION ALL SELECT p_partkey, p_retailprice, p_brand FROM part""")
 def merged(spark, sf):
-    left = load(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    left = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
     right = load(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), F.col("p_brand").alias("s"))
     schema = merged_schema(left.schema, right.schema)
     return apply_schema(left, schema).unionByName(apply_schema(right, schema))
@@ -230,10 +232,11 @@ def axis_types(spark, sf):
 
 
 @add("S5_scan_stdout", """
-SELECT 'conv-' || conv_id AS logdir, role || turn AS command, length(text) AS n, md5(text) AS hash FROM conversations""")
+SELECT 'conv-' || conv_id || repeat('/_level/.hidden', CAST(conv_id % 4 AS BIGINT)) AS logdir, role || turn AS command, length(text) AS n, md5(text) AS hash FROM conversations""")
 def scan_stdout(spark, sf):
     root = fresh_path(spark, "tree")
-    path = F.concat(F.lit("conv-"), "conv_id", F.lit("/records/"), "role", "turn", F.lit(".stdout"))
+    deep = F.expr("repeat('/_level/.hidden', cast(conv_id % 4 as int))")
+    path = F.concat(F.lit("conv-"), "conv_id", deep, F.lit("/records/"), "role", "turn", F.lit(".stdout"))
     write_files(load(spark, sf, "conversations").select(path.alias("path"), "text"), root)
     return sources.read_stdout(spark, root).select("logdir", "command", F.length("text").cast("long").alias("n"), F.md5("text").alias("hash"))
 
@@ -255,12 +258,12 @@ def json_records(spark, sf):
 
 
 @add("S8_rebuild_instances", """
-SELECT s_suppkey AS g_index, 's' || s_suppkey AS logdir, s_nationkey AS nation,
+SELECT s_suppkey AS g_index, 's' || s_suppkey || repeat('/.d', CAST(s_nationkey % 7 AS BIGINT)) AS logdir, s_nationkey AS nation,
        CASE WHEN s_nationkey % 3 = 0 THEN s_acctbal END AS balance, CASE WHEN s_nationkey % 3 = 0 THEN 'downloaded' ELSE 'finished' END AS status
 FROM supplier WHERE s_nationkey % 2 = 0""")
 def rebuild(spark, sf):
     root = fresh_path(spark, "tree")
-    rows = load(spark, sf, "supplier").withColumn("dir", F.concat(F.lit("s"), "s_suppkey"))
+    rows = load(spark, sf, "supplier").withColumn("dir", F.expr("concat('s', s_suppkey, repeat('/.d', cast(s_nationkey % 7 as int)))"))
     third = F.col("s_nationkey") % 3 == 0
     context = F.to_json(F.struct(F.col("s_suppkey").alias("g_index"), F.col("dir").alias("g_logdir"), F.col("s_nationkey").alias("nation")))
     captured = F.to_json(F.struct(F.col("s_acctbal").alias("balance")))
@@ -273,17 +276,18 @@ def rebuild(spark, sf):
         ),
     )
     listed = rows.select("dir", F.inline(F.filter(files, lambda f: f.isNotNull())))
-    write_files(listed.select(F.concat("dir", F.lit("/records/"), "name").alias("path"), "text"), root)
-    built = sources.rebuild_instances(spark, root, "g_index long, g_logdir string, nation int", "balance double")
+    write_files(listed.select(F.concat("dir", F.lit("/.book/"), "name").alias("path"), "text"), root)
+    built = sources.rebuild_instances(spark, root, "g_index long, g_logdir string, nation int", "balance double", book=".book")
     return built.select("g_index", "logdir", "context.nation", "captured.balance", "status")
 
 
 @add("S12_list_files", """
-SELECT 'r' || n_regionkey || '/' || n_name || '.txt' AS path, CAST(length(n_name) AS BIGINT) AS length, 'walk' AS how FROM nation WHERE n_regionkey = 2
-UNION ALL SELECT 'r' || n_regionkey || '/' || n_name || '.txt', length(n_name), 'glob' FROM nation WHERE n_name LIKE 'NATION_1%'""")
+WITH f AS (SELECT 'r' || n_regionkey || repeat('/.h', CAST(n_nationkey % 3 AS BIGINT)) || '/_' || n_name || '.txt' AS path, length(n_name) AS length, * FROM nation)
+SELECT path, length, 'walk' AS how FROM f WHERE n_regionkey = 2
+UNION ALL SELECT path, length, 'glob' FROM f WHERE n_name LIKE 'NATION_1%'""")
 def list_files(spark, sf):
     root = fresh_path(spark, "tree")
-    path = F.concat(F.lit("r"), "n_regionkey", F.lit("/"), "n_name", F.lit(".txt"))
+    path = F.expr("concat('r', n_regionkey, repeat('/.h', cast(n_nationkey % 3 as int)), '/_', n_name, '.txt')")
     write_files(load(spark, sf, "nation").select(path.alias("path"), "n_name"), root, text="n_name")
     walked = sources.list_files(spark, root, folder="r2").withColumn("how", F.lit("walk"))
     return walked.unionByName(sources.list_files(spark, root, pattern="*_1*.txt").withColumn("how", F.lit("glob")))

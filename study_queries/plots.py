@@ -121,6 +121,13 @@ def pooled(spark, sf):
     return rounded(SeriesQuery(plot, TRIANGLE, triangle(spark, sf)).points())
 
 
+@add("P7_several_ignores", cells_sql() + """
+, o AS (SELECT status, year, arg_min(qty, g_index) FILTER (qty IS NOT NULL) AS qty FROM cells GROUP BY status, year),
+t AS (SELECT year, arg_min(qty, status) FILTER (qty IS NOT NULL) AS qty FROM o GROUP BY year) """ + numbered("", "year", "t"))
+def several_ignores(spark, sf):
+    return rounded(series(cells(spark, sf).repartition(7, "n"), "qty", {"year": "variate"}).points())
+
+
 @add("P8_variate", TRIANGLE_SQL + numbered("", "g_index"))
 def variate(spark, sf):
     plot = Plot("scatter", "qty", dict.fromkeys(TRIANGLE, "variate"))
@@ -153,7 +160,7 @@ def several_y(spark, sf):
     return rounded(series(cells(spark, sf), ["qty", "n", "disc"], LINE).points())
 
 
-UNSORTED = Space({"year": [2001, 1995, 1998, 1996], "flag": ["R", "A", "N"], "status": ["O", "F"]})
+UNSORTED = Space({"year": [2001, 1995, 1998, 1996, 2000, 1997, 1999], "flag": ["R", "A", "N"], "status": ["O", "F"]})
 
 
 @add("P12_point_order", f"""
@@ -163,7 +170,7 @@ LEFT JOIN lineitem ON year(l_shipdate) = y.v AND l_returnflag = f.v AND l_linest
 cells AS (SELECT year, flag, avg(qty) AS qty FROM c GROUP BY year, flag) """ + numbered("", "year, flag"))
 def point_order(spark, sf):
     on = [("year(l_shipdate)", "=", "year"), ("l_returnflag", "=", "flag"), ("l_linestatus", "=", "status")]
-    table = sweep(contexts(spark, UNSORTED), load(spark, sf, "lineitem"), on, {"qty": ("sum", "l_quantity")}, 24)
+    table = sweep(contexts(spark, UNSORTED), load(spark, sf, "lineitem"), on, {"qty": ("sum", "l_quantity")}, 42)
     plot = Plot("order", "qty", {"year": "variate", "flag": "variate", "status": "mean"})
     return rounded(SeriesQuery(plot, UNSORTED, table).points())
 

@@ -72,15 +72,32 @@ def two_ranges(spark, sf):
     return sweep(contexts(spark, space, evaluables=dates), table, on, aggs, 30).select("g_index", "n", "least")
 
 
+@add("X1_two_wide_ranges", """
+SELECT i AS g_index, count(o_orderkey) AS n, max(o_orderkey) AS last FROM generate_series(0, 1199) t(i)
+LEFT JOIN orders ON o_totalprice > 900.5 + i * 350 AND o_totalprice <= 900.5 + i * 350 + 90000
+     AND o_orderdate >= TIMESTAMP '1992-01-01' + INTERVAL (i * 40) HOUR AND o_orderdate < TIMESTAMP '1992-01-01' + INTERVAL (i * 40 + 8000) HOUR GROUP BY i""")
+def two_wide_ranges(spark, sf):
+    space = Space({"i": list(range(1200))})
+    ends = {
+        "low": "900.5D + i * 350", "high": "low + 90000",
+        "start": "timestamp_ntz'1992-01-01' + make_dt_interval(0, i * 40)", "stop": "start + make_dt_interval(0, 8000)",
+    }
+    on = [("o_totalprice", ">", "low"), ("o_totalprice", "<=", "high"), ("o_orderdate", ">=", "start"), ("o_orderdate", "<", "stop")]
+    aggs = {"n": ("count", None), "last": ("max", "o_orderkey")}
+    return sweep(contexts(spark, space, evaluables=ends), load(spark, sf, "orders"), on, aggs, 1200).select("g_index", "n", "last")
+
+
 def _parts(spark, sf):
-    return load(spark, sf, "part").withColumnRenamed("p_partkey", "g_index")
+    parts = load(spark, sf, "part").withColumnRenamed("p_partkey", "g_index")
+    return parts.withColumns({"size": F.expr("if(p_size % 3 = 0, null, p_size)"), "sizes": F.expr("array(p_size, null)")})
 
 
 @add("X2_map_instances", """
-SELECT p_partkey AS g_index, 0 AS step_no, 'size' AS command, 'size=' || p_size AS text, true AS ok FROM part
+SELECT p_partkey AS g_index, 0 AS step_no, 'size' AS command,
+       'size=' || CASE WHEN p_size % 3 = 0 THEN 'None' ELSE p_size::VARCHAR END || ' list=[' || p_size || ', None]' AS text, true AS ok FROM part
 UNION ALL SELECT p_partkey, 1, 'name', upper(p_name), true FROM part""")
 def map_instances(spark, sf):
-    steps = [Step("size", lambda c: f"size={c['p_size']}"), Step("name", lambda c: c["p_name"].upper())]
+    steps = [Step("size", lambda c: f"size={c['size']} list={c['sizes']}"), Step("name", lambda c: c["p_name"].upper())]
     return running.map_instances(_parts(spark, sf), steps).select("g_index", "step_no", "command", "text", "ok")
 
 
@@ -163,13 +180,13 @@ def assemble(spark, sf):
 
 
 @add("V4_steps_function", """
-SELECT p_partkey AS g_index, 0 AS step_no, 'small' AS command, p_brand AS text FROM part WHERE p_size < 20
-UNION ALL SELECT p_partkey, 0, 'large', p_type FROM part WHERE p_size >= 20
-UNION ALL SELECT p_partkey, 1, 'again', CAST(p_size AS VARCHAR) FROM part WHERE p_size >= 20""")
+SELECT p_partkey AS g_index, 0 AS step_no, 'none' AS command, p_brand AS text FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 0, 'size', p_type FROM part WHERE p_size % 3 <> 0
+UNION ALL SELECT p_partkey, 1, 'again', CAST(p_size AS VARCHAR) FROM part WHERE p_size % 3 <> 0""")
 def steps_function(spark, sf):
     def steps(context):
-        if context["p_size"] < 20:
-            return [Step("small", lambda c: c["p_brand"])]
-        return [Step("large", lambda c: c["p_type"]), Step("again", lambda c: str(c["p_size"]))]
+        if context["size"] is None:
+            return [Step("none", lambda c: c["p_brand"])]
+        return [Step("size", lambda c: c["p_type"]), Step("again", lambda c: str(c["size"]))]
 
     return running.map_instances(_parts(spark, sf), steps).select("g_index", "step_no", "command", "text")

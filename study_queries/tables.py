@@ -9,6 +9,7 @@ from sweepframe.operators import collect as col
 from sweepframe.session import fresh_path
 from sweepframe.sources.export import captured_records, dump_records, write_captured
 from sweepframe.sources.store import load_table, save_table
+from sweepframe.sources.text import parse_records
 
 from .common import CELLS, RAGGED, Registry, cells, cells_sql, load
 
@@ -70,9 +71,13 @@ def records(spark, sf):
 
 
 @add("S10_dump_records", f"""{cells_sql()}
-SELECT '{{"flag":"' || flag || '","n":' || n || ',"status":"' || status || '","year":' || year || '}}' AS record FROM cells""")
+SELECT flag, n, status, year, round(qty, 4) AS qty, round(disc, 6) AS disc FROM cells""")
 def dumped(spark, sf):
-    return dump_records(cells(spark, sf).drop("qty", "disc"))
+    rows = cells(spark, sf)
+    texts = dump_records(rows)
+    (column,) = texts.columns
+    read = parse_records(texts, column, rows.drop("g_index").schema, "_row").select("_row.*")
+    return read.withColumns({"qty": F.round("qty", 4), "disc": F.round("disc", 6)})
 
 
 @add("U1_upsert", """

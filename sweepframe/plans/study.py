@@ -74,19 +74,26 @@ class Study:
 
     def contexts(self) -> DataFrame:
         """Surviving grid points with index, label, constants and derived columns."""
-        made = contexts(
-            self.spark, self.space, None, self.constants, self.evaluables, self.conditions, self.logdir, True
+        given = self._given()
+        return self._ordered(
+            contexts(self.spark, self.space, None, given, self.evaluables, self.conditions, self.logdir, True)
         )
-        return made.withColumn("g_sourcedir", F.lit(self.sourcedir))
+
+    def _given(self) -> dict[str, Any]:
+        """What every expression and label may use besides the axes."""
+        return {**self.constants, "g_sourcedir": self.sourcedir}
+
+    @staticmethod
+    def _ordered(rows: DataFrame) -> DataFrame:
+        return rows.select(*(c for c in rows.columns if c != "g_sourcedir"), "g_sourcedir")
 
     def context(self, index: int = 0, **values: Any) -> DataFrame:
         """The context of one explicitly given point; axes and conditions play no part."""
-        made = single_context(self.spark, values, self.constants, self.evaluables, self.logdir, index)
-        return made.withColumn("g_sourcedir", F.lit(self.sourcedir))
+        return self._ordered(single_context(self.spark, values, self._given(), self.evaluables, self.logdir, index))
 
     def contexts_of(self, overrides: DataFrame) -> DataFrame:
         """Contexts of explicitly given points, one per row."""
-        return override_contexts(overrides, self.constants, self.evaluables, self.logdir)
+        return self._ordered(override_contexts(overrides, self._given(), self.evaluables, self.logdir))
 
     def sweep(self, table: DataFrame, on: Sequence[Condition], aggs: Mapping[str, Aggregate]) -> DataFrame:
         """Aggregate the matching rows of a table for every grid point."""
@@ -154,13 +161,17 @@ class Study:
         return self._run(self.context(index, **values))
 
     def _run(self, context_rows: DataFrame) -> DataFrame:
+        # Points that run are listed beside the instances, so that no phase rewrites those.
+        points = self.store.write("running", context_rows.select("g_index"))
+        self.store.commit(running=points, phase="prepared")
+        self.store.commit(phase="started")
         # Steps may be slow or unrepeatable: their records are written before use.
         new_logs = running.map_instances(context_rows, self.steps)
         old_logs = self.store.read("logs")
         if old_logs is not None:
             replaced = old_logs.join(context_rows.select("g_index"), "g_index", "left_anti")
             new_logs = replaced.unionByName(new_logs)
-        self.store.commit(logs=self.store.write("logs", new_logs))
+        self.store.commit(logs=self.store.write("logs", new_logs), phase="finished")
         return self._capture(context_rows)
 
     def _capture(self, context_rows: DataFrame) -> DataFrame:
@@ -171,7 +182,7 @@ class Study:
             .join(rows.select("g_index", F.struct(*rows.columns).alias("captured")), "g_index")
             .withColumn("status", F.lit("downloaded"))
         )
-        return self._put_instances(done, has_collected=False, has_plotted=False)
+        return self._put_instances(done, running=None, phase=None, has_collected=False, has_plotted=False)
 
     def capture(self) -> DataFrame:
         """Capture again from the stored texts; the same however often it is done.
@@ -200,6 +211,12 @@ class Study:
         rows = self.store.read("instances")
         if rows is None:
             rows = self._created(self.contexts()).limit(0)
+        points = self.store.read("running")
+        if points is not None:
+            # A run that has not ended, or died: its points are as far as it came.
+            at = points.select("g_index", F.lit(self.store.state()["phase"]).alias("_phase"))
+            rows = rows.join(at, "g_index", "left")
+            rows = rows.withColumn("status", F.coalesce("_phase", "status")).drop("_phase")
         return collecting.with_status(rows, statuses)
 
     def instance(self, index: int) -> DataFrame:
@@ -243,7 +260,7 @@ class Study:
 
     def clear(self) -> None:
         """Forget instances and collected table; earlier versions stay on disk."""
-        self.store.commit(instances=None, logs=None, table=None, has_collected=False, has_plotted=False)
+        self.store.commit(instances=None, logs=None, table=None, running=None, phase=None, has_collected=False, has_plotted=False)
 
     def clear_table(self) -> None:
         self.store.commit(table=None, has_collected=False)

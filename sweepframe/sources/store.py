@@ -22,11 +22,14 @@ _STATE = T.StructType(
         T.StructField("instances", T.StringType()),
         T.StructField("logs", T.StringType()),
         T.StructField("table", T.StringType()),
+        # Points that are being run, and how far they are.
+        T.StructField("running", T.StringType()),
+        T.StructField("phase", T.StringType()),
         T.StructField("has_collected", T.BooleanType()),
         T.StructField("has_plotted", T.BooleanType()),
     ]
 )
-_EMPTY = {"version": 0, "instances": None, "logs": None, "table": None, "has_collected": False, "has_plotted": False}
+_EMPTY = {name: None for name in _STATE.names} | {"version": 0, "has_collected": False, "has_plotted": False}
 
 
 class StudyStore:

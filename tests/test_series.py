@@ -225,3 +225,14 @@ def test_long_axes_are_ranked(spark):
     assert [r["y"] for r in found.points().orderBy("pos").collect()] == pytest.approx(sorted(space["u"]))
     both = all_points([found, SeriesQuery(Plot("f", "y", {"u": "mean", "s": "variate"}), space, frame)])
     assert both.groupBy("plot").count().orderBy("plot").collect() == [(0, 400), (1, 70)]
+
+
+def test_values_off_the_axes(spark):
+    """Plots and series are those of the axes; values off a variate lie between those on it, on long axes too."""
+    data = [(0, 1, 0.0, 1.0), (1, 1, 0.5, 2.0), (2, 1, 1.0, 3.0), (3, 7, 0.0, 4.0), (4, None, 0.0, 5.0)]
+    table = spark.createDataFrame(data, "g_index long, a long, b double, y double").withColumn("m", F.lit(0.0))
+    for many in (2, 200):
+        space = Space({"a": [1, 2], "b": [float(i) for i in range(many)], "m": [0.0]})
+        plot = Plot("p", "y", {"a": "category", "b": "variate", "m": "mean"})
+        found = SeriesQuery(plot, space, table).points()
+        assert rows(found.select("a", "pos", "y"), "a", "pos") == [(1, 1, 1.0), (1, 2, 2.0), (1, 3, 3.0)]

@@ -115,3 +115,22 @@ def test_captures_on_a_stream(spark, tmp_path, tables):
     running.awaitTermination(120)
     batch = capture_text(spark.read.parquet(str(source)), "props", capture)
     assert rows(spark.table("captured"), "event_id") == rows(batch, "event_id")
+
+
+def test_any_root_depth_and_name(spark, tmp_path):
+    root = tmp_path / "a b%20+"
+    for name in ("d1/d2/d3/d4/d5/d6", "_u/.h", "plain"):
+        book = root / name / ".book"
+        book.mkdir(parents=True)
+        (book / "_cmd.stdout").write_text(name)
+    for spelled in (str(root), f"{root}/"):
+        texts = read_stdout(spark, spelled, book=".book")
+        assert rows(texts.select("logdir", "command", "text"), "logdir") == [
+            (n, "_cmd", n) for n in ("_u/.h", "d1/d2/d3/d4/d5/d6", "plain")
+        ]
+    plain = tmp_path / "p"
+    (plain / "x").mkdir(parents=True)
+    (plain / "x" / "_f").write_text("12")
+    assert rows(list_files(spark, f"file://{plain}")) == [("x/_f", 2)]
+    with pytest.raises(Exception, match="nowhere"):
+        list_files(spark, str(tmp_path / "nowhere"))

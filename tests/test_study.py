@@ -197,3 +197,28 @@ def test_assemble(spark):
     left = spark.createDataFrame([(0, 1, "a"), (1, 2, "b")], "g_index long, x long, s string")
     right = spark.createDataFrame([(0, 9, True)], "g_index long, x long, t boolean")
     assert rows(assemble(left, right).select("g_index", "x", "s", "t"), "g_index") == [(0, 9, "a", True), (1, 2, "b", None)]
+
+
+def test_life_cycle(spark, tmp_path, monkeypatch):
+    study = Study(spark, {"a": [1, 2]}, evaluate={"home": "concat(g_sourcedir, '/', a)"}, steps=[Step("say", lambda c: c["home"])],
+                  captures=[Capture("(?P<said>.+)")], root=str(tmp_path / "l"), sourcedir="/src", logdir="${home}")
+    seen = []
+
+    def note():
+        seen.append({r["status"] for r in study.instances().collect()})
+        assert study.flags()["is_running"] == (seen[-1] <= {"prepared", "started"})
+
+    def noting(function):
+        def run(*args, **kwargs):
+            if args[:1] == ("logs",) or "phase" in kwargs:
+                note()
+            return function(*args, **kwargs)
+        return run
+
+    monkeypatch.setattr(study.store, "write", noting(study.store.write))
+    monkeypatch.setattr(study.store, "commit", noting(study.store.commit))
+    study.run()
+    note()
+    order = [s for s, before in zip(seen, [None, *seen]) if s != before and s]
+    assert order == [{"created"}, {"prepared"}, {"started"}, {"finished"}, {"downloaded"}]
+    assert rows(study.collect().select("a", "said", "g_logdir"), "a") == [(1, "/src/1", "/src/1"), (2, "/src/2", "/src/2")]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from sweepframe import Space, StudyError, sweep
@@ -88,3 +89,26 @@ def test_plan_shuffles_no_rows(spark, tables):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" not in plan.split("partial_count")[-1]
     assert found.count() == 12
+
+
+@pytest.mark.parametrize("literals", [0, 1000])
+def test_repeated_hours_and_signed_zeros(spark, monkeypatch, literals):
+    """Literal and stored thresholds agree where texts of values do not tell them apart, or too well."""
+    monkeypatch.setattr("sweepframe.operators.sweep.MAX_LITERALS", literals)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        # 2024-10-27 02:30 local time comes twice, an hour apart.
+        first = 1729989000
+        grid = spark.createDataFrame([(0, first), (1, first + 3600)], "g_index long, s long").selectExpr("g_index", "timestamp_seconds(s) AS t")
+        table = spark.range(6).selectExpr(f"timestamp_seconds({first} - 3600 + id * 1800) AS t")
+        found = sweep(grid, table, [("t", "<=", "t")], {"n": ("count", None)})
+        assert rows(found.select("g_index", "n"), "g_index") == [(0, 3), (1, 5)]
+        found = sweep(grid, table, [("t", "=", "t")], {"n": ("count", None)})
+        assert rows(found.select("g_index", "n"), "g_index") == [(0, 1), (1, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    grid = spark.createDataFrame([(0, 0.0), (1, -0.0)], "g_index long, lo double")
+    table = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")
+    for op, n in ((">", 1), (">=", 3), ("=", 2)):
+        found = sweep(grid, table, [("x", op, "lo")], {"n": ("count", None)})
+        assert rows(found.select("g_index", "n"), "g_index") == [(0, n), (1, n)]

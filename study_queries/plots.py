@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sweepframe import Plot, SeriesQuery, Space
+from sweepframe import Plot, SeriesQuery, Space, Study
 from sweepframe.operators.context import contexts
 from sweepframe.operators.sweep import sweep
 from sweepframe.plans.series import all_points
+from sweepframe.session import fresh_path
 
-from .common import LIST_CELLS_SQL, Registry, cells, cells_sql, list_cells, load, series, values
+from .common import CELLS, LIST_CELLS_SQL, RAGGED, Registry, cells, cells_sql, list_cells, load, series, values
 
 registry = Registry()
 add = registry.add
@@ -232,3 +233,19 @@ def wide(spark, sf):
     query = series(cells(spark, sf), "qty", {"flag": "category", "status": "mean", "year": "variate"}, legend="${flag}")
     found = query.wide()
     return found.withColumns({name: F.round(name, 4) for name in ("A", "N", "R")})
+
+
+@add("S11_written_plots", cells_sql() + """
+, p AS (SELECT flag, status, year, qty AS y, row_number() OVER (PARTITION BY flag, status ORDER BY year) AS pos FROM cells)
+SELECT 'qty-' || flag AS plot, max(pos) FILTER (status = 'F') AS xf, round(max(y) FILTER (status = 'F'), 4) AS f,
+       max(pos) FILTER (status = 'O') AS xo, round(max(y) FILTER (status = 'O'), 4) AS o FROM p GROUP BY flag, pos""")
+def written_plots(spark, sf):
+    plot = Plot("qty-${flag}", "qty", {**LINE, "flag": "fixed"}, legend="${status}")
+    study = Study(spark, dict(CELLS), where=RAGGED, plots=[plot], root=fresh_path(spark, "study"), sourcedir="/")
+    on = [("l_returnflag", "=", "flag"), ("l_linestatus", "=", "status"), ("year(l_shipdate)", "=", "year")]
+    study.run_sweep(load(spark, sf, "lineitem"), on, {"qty": ("sum", "l_quantity")})
+    study.collect()
+    files = study.write_plots(fresh_path(spark, "plots"))
+    read = spark.read.schema("xf long, f double, xo long, o double").option("header", True).csv(files)
+    name = F.regexp_extract(F.input_file_name(), "(qty-.)[.]csv", 1)
+    return read.select(name.alias("plot"), "xf", F.round("f", 4).alias("f"), "xo", F.round("o", 4).alias("o"))

@@ -21,6 +21,8 @@ from ..operators.ranking import count_not_above, running_total
 
 FIXED, CATEGORY, VARIATE, MEAN, IGNORE = "fixed", "category", "variate", "mean", "ignore"
 MODES = (FIXED, CATEGORY, VARIATE, MEAN, IGNORE)
+#: Most series of a wide table, which has two columns for each.
+MAX_SERIES = 5_000
 
 
 @dataclass(frozen=True)
@@ -340,23 +342,23 @@ class SeriesQuery:
         """Two columns per series for one plot, named by the legends; short series end in nulls.
 
         ``fixed`` gives the value of every fixed axis. The series are known from the
-        axes, so nothing is looked up in the data to name the columns.
+        axes, so nothing is looked up in the data to name the columns. More than
+        ``MAX_SERIES`` of them are an error, as a table cannot be that wide.
         """
         if set(fixed) != set(self.of_kind(FIXED)):
             raise StudyError(f"give a value for each of {self.of_kind(FIXED)}")
         points, series = self.points(), self.series()
         for name, value in fixed.items():
             points, series = points.where(F.col(name) == value), series.where(F.col(name) == value)
-        known = series.orderBy("series_no").collect()
+        known = series.orderBy("series_no").limit(MAX_SERIES + 1).collect()
+        if len(known) > MAX_SERIES:
+            raise StudyError(f"a plot of more than {MAX_SERIES} series has no wide form")
         on = [*self.of_kind(CATEGORY), "yaxis"]
-        cells = []
-        for row in known:
-            here = reduce(lambda a, b: a & b, (F.col(c) == F.lit(row[c]) for c in on))
-            cells += [
-                F.max(F.when(here, F.col("x"))).alias(f"{row['legend']} (x-axis)"),
-                F.max(F.when(here, F.col("y"))).alias(row["legend"]),
-            ]
-        return points.groupBy("pos").agg(*cells)
+        numbered = points.join(F.broadcast(series.select(*on, "series_no")), on)
+        numbers = [row["series_no"] for row in known]
+        cells = numbered.groupBy("pos").pivot("series_no", numbers).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+        named = [(f"{n}_{c}", row["legend"] + end) for n, row in zip(numbers, known) for c, end in (("x", " (x-axis)"), ("y", ""))]
+        return cells.select("pos", *(F.col(cell).alias(name) for cell, name in named))
 
 
 def place_of(df: DataFrame, name: str, axis: Axis, out: str) -> tuple[DataFrame, Column]:

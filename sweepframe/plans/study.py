@@ -29,7 +29,7 @@ from ..operators.sweep import Aggregate, Condition, sweep
 from ..sources import export
 from ..sources.store import StudyStore, load_table
 from ..types import declared_types, writable
-from .series import Plot, SeriesQuery
+from .series import FIXED, Plot, SeriesQuery
 
 
 class Study:
@@ -247,6 +247,19 @@ class Study:
         self.store.commit(has_plotted=True)
         return queries
 
+    def write_plots(self, folder: str) -> list[str]:
+        """Write the wide table of every plot and combination of its fixed axes; returns their paths.
+
+        Each goes to a CSV folder named by the plot's rendered file name, by a job of its own.
+        """
+        paths = []
+        for query in self.plot():
+            keys = query.of_kind(FIXED)
+            for row in query.plots().toLocalIterator():
+                paths.append(f"{folder.rstrip('/')}/{row['filename']}.csv")
+                export.write_csv(query.wide(**{k: row[k] for k in keys}), paths[-1])
+        return paths
+
     def dump(self, path: str) -> None:
         export.write_dump(self.load_table(), path)
 

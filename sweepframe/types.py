@@ -88,14 +88,17 @@ def type_of_value(value: Any) -> T.DataType:
 
 
 def merge_types(left: T.DataType, right: T.DataType) -> T.DataType:
-    """Least type that holds both, or an error if there is none."""
-    if left == ANY or right == ANY:
-        return right if left == ANY else left
+    """Least type that holds both, or an error if there is none.
+
+    The order matters for a list and an unknown type only: the list cannot come first.
+    """
+    if left == ANY:
+        return right
     if isinstance(left, T.ArrayType) and isinstance(right, T.ArrayType):
         return T.ArrayType(merge_types(left.elementType, right.elementType))
     if isinstance(left, T.ArrayType) or isinstance(right, T.ArrayType):
         raise StudyError(f"cannot merge {left.simpleString()} with {right.simpleString()}")
-    if left == right:
+    if right == ANY or left == right:
         return left
     merged = _MERGES.get(frozenset((left, right)))
     if merged is None:
@@ -103,8 +106,16 @@ def merge_types(left: T.DataType, right: T.DataType) -> T.DataType:
     return merged
 
 
+def _known(tp: T.DataType) -> tuple[bool, int]:
+    depth = 0
+    while isinstance(tp, T.ArrayType):
+        tp, depth = tp.elementType, depth + 1
+    return tp != ANY, depth
+
+
 def merge_all(types: Iterable[T.DataType]) -> T.DataType:
-    return reduce(merge_types, types, ANY)
+    """Least type that holds a set of types, which has no order: unknown ones come first, the shallowest before deeper ones."""
+    return reduce(merge_types, sorted(types, key=_known), ANY)
 
 
 # --- inference over JSON records -------------------------------------------------------------

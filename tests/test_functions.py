@@ -117,6 +117,9 @@ def test_merging():
         with pytest.raises(StudyError):
             merge_types(left, right)
     assert merge_all([INTEGER, INTEGER, FLOATING, ANY]) == FLOATING
+    nested = [listed(listed(INTEGER)), listed(ANY), ANY, listed(listed(ANY))]
+    for start in range(4):
+        assert merge_all(nested[start:] + nested[:start]) == listed(listed(INTEGER))
 
 
 def test_inference(spark):

@@ -24,7 +24,7 @@ INTEGER = r"\s*[:=]?\s*([-+]?[0-9]+)"
 FLOAT = r"\s*[:=]?\s*([-+]?(?:(?:\d*\.\d+)|(?:\d+\.?))(?:[Ee][+-]?\d+)?)"
 
 SKIPPED = r"e\s*[:=]?\s*(\S+\s+){2}([-+]?[0-9]+)"
-FLEXIBLE = r'a\s+href="/fr/'
+FLEXIBLE = r'--\s+ad'
 COMMENT = r"<!--\s+ad"
 
 
@@ -71,7 +71,7 @@ SELECT page_id, CAST(list_extract({found("html", FLEXIBLE + INTEGER)}, 1) AS BIG
 def flexible_prefix(spark, sf):
     return captured(
         spark, sf, "pages", "page_id", "html",
-        Capture.simple("integer", "n", 'a   href="/fr/', flexible_prefix=True, mode="first"),
+        Capture.simple("integer", "n", "--    ad", flexible_prefix=True, mode="first"),
         Capture.simple("integer", "ad", "<!-- ad", flexible_prefix=True),
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,9 @@ from .common import map_arrow, stored, text_bytes
 from .components import components
 
 #: Most fingerprints of a tile, but for the spread of a hash.
-TILE = 2048
+TILE = 16_384
+#: From so many fingerprints on, quarters are counted in place of halves: fewer pairs of tiles, but smaller tiles.
+QUARTERED = 1 << 21
 SEED = 42
 
 _bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -41,17 +43,19 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(x.as_py(), width) for x in batch.column("content")]
-            signed = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed)], ["doc_id", "fp"])
+            values = [fingerprint(x.as_py(), width) for x in batch.column("_content")]
+            signed = pa.array(np.array(values, np.uint64).view(np.int64))
+            names = [name for name in batch.schema.names if name != "_content"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), signed], [*names, "_fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row; A-Z count as a-z, words are split at ASCII white space."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("content"))
-    return map_arrow(plain, _fingerprints(width), "doc_id long, fp long")
+def fingerprints(rows: DataFrame, width: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and ``_fp`` of every row; A-Z count as a-z, words are split at ASCII white space."""
+    plain = rows.select(*keep)
+    schema = plain.schema.add("_fp", "long")
+    return map_arrow(rows.select(*keep, text_bytes(text).alias("_content")), _fingerprints(width), schema)
 
 
 def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -71,12 +75,16 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     nodes = np.concatenate([a, b])
     label = np.arange(len(nodes))
     rows = max(1, (1 << 20) // max(1, len(b)))
+    us, vs, held = [], [], 0
     for i in range(0, len(a), rows):
         near = np.bitwise_count(a[i : i + rows, None] ^ b[None, :]) <= radius
         x, y = np.nonzero(near)
-        if len(x):
-            u, v = np.concatenate([x + i, np.arange(len(nodes))]), np.concatenate([y + len(a), label])
-            label = forest(u, v, len(nodes))
+        us.append(x + i)
+        vs.append(y + len(a))
+        held += len(x)
+        if held > len(nodes) or i + rows >= len(a):
+            label = forest(np.concatenate([*us, np.arange(len(nodes))]), np.concatenate([*vs, label]), len(nodes))
+            us, vs, held = [], [], 0
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
@@ -84,13 +92,15 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for left, right in zip(batch.column("left_fps"), batch.column("right_fps")):
-                a, b = (np.array(x.values, np.int64) for x in (left, right))
-                u, v = linked(a.view(np.uint64), b.view(np.uint64), radius)
+                a, b = (x.values.to_numpy().view(np.uint64) for x in (left, right))
+                u, v = linked(a, b, radius)
                 keep = u != v
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u[keep].view(np.int64)), pa.array(v[keep].view(np.int64))], ["u", "v"]
-                )
+                us.append(u[keep])
+                vs.append(v[keep])
+            found = [pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]
+            yield pa.RecordBatch.from_arrays(found, ["u", "v"])
 
     return run
 
@@ -98,42 +108,55 @@ def _compare(radius: int):
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect all pairs within ``radius`` bits.
 
-    Fingerprints are sorted into classes by the population counts of their two halves. Two fingerprints
-    within the radius have counts that differ by no more than it in sum, so only such pairs of tiles meet;
-    each pair is compared whole with exclusive-or and bit counts.
+    Fingerprints are sorted into classes by the population counts of their two halves (of their quarters, from
+    ``QUARTERED`` on). Two fingerprints within the radius have counts that differ by no more than it in sum, so
+    only such pairs of tiles meet; each pair is compared whole with exclusive-or and bit counts.
     """
-    spark = nodes.sparkSession
-    high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    classed = nodes.select("fp", (high * 33 + low).alias("class"))
-    # At most 33 x 33 classes, so these two lists are small however many fingerprints there are.
-    sizes = {row["class"]: row["count"] for row in classed.groupBy("class").count().collect()}
-    starts, total = {}, 0
-    for key in sorted(sizes):
-        starts[key] = (total, -(-sizes[key] // TILE))
-        total += starts[key][1]
-    ranges = [(key, first, parts) for key, (first, parts) in starts.items()]
-    near = []
-    for a, (first, parts) in starts.items():
-        for b, (other, more) in starts.items():
-            if a <= b and abs(a // 33 - b // 33) + abs(a % 33 - b % 33) <= radius:
-                near.append((first, first + parts - 1, other, other + more - 1))
-    if not near:
-        return spark.createDataFrame([], "u long, v long")
-    tile_of = F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts").cast("long"))
-    placed = classed.join(F.broadcast(spark.createDataFrame(ranges, "class int, first long, parts long")), "class")
-    tiles = placed.groupBy(tile_of.alias("tile")).agg(F.collect_list("fp").alias("fps"))
+    parts = 2 if nodes.count() < QUARTERED else 4
+    width = 64 // parts
+    base = width + 1
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)]
+    key = sum((count * F.lit(base**i) for i, count in enumerate(counts)), F.lit(0)).cast("long")
+    classed = nodes.select("fp", key.alias("class"))
+    # At most 33 x 33 or 17^4 classes, so this table is small however many fingerprints there are.
+    sized = stored(classed.groupBy("class").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "classes")
+    tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
+    tiles = classed.join(F.broadcast(sized), "class").groupBy("class", tile.alias("tile")).agg(F.collect_list("fp").alias("fps"))
     tiles = stored(tiles, "tiles")
-    spans = spark.createDataFrame(near, "a long, a_end long, b long, b_end long").repartition(spark.sparkContext.defaultParallelism)
-    pairs = spans.select(F.explode(F.sequence("a", "a_end")).alias("left"), "a", "b", "b_end")
-    pairs = pairs.select("left", "a", "b", F.explode(F.sequence("b", "b_end")).alias("right"))
-    pairs = pairs.where("a != b or left <= right").select("left", "right")
-    both = pairs.join(tiles.select(F.col("tile").alias("left"), F.col("fps").alias("left_fps")), "left")
-    both = both.join(tiles.select(F.col("tile").alias("right"), F.col("fps").alias("right_fps")), "right")
+    # Steps from a class to those within the radius, each pair of classes once.
+    steps = [step for step in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, step)) <= radius]
+    moves = [[sum(d * base**i for i, d in enumerate(step)), *step] for step in steps]
+    around = sized.repartition(nodes.sparkSession.sparkContext.defaultParallelism).select(
+        F.col("class").alias("a"), F.col("tiles").alias("a_tiles"), F.explode(F.lit([m for m in moves if m[0] >= 0])).alias("move")
+    )
+    digits = [F.pmod(F.floor(F.col("a") / base**i), F.lit(base)) + F.col("move")[i + 1] for i in range(parts)]
+    for digit in digits:
+        around = around.where(digit.between(0, width))
+    other = F.broadcast(sized.select(F.col("class").alias("b"), F.col("tiles").alias("b_tiles")))
+    near = around.withColumn("b", F.col("a") + F.col("move")[0]).join(other, "b")
+    pairs = near.select("a", "b", "b_tiles", F.explode(F.sequence(F.lit(0), F.col("a_tiles") - 1)).alias("s"))
+    pairs = pairs.select("a", "s", "b", F.explode(F.sequence(F.lit(0), F.col("b_tiles") - 1)).alias("t"))
+    pairs = pairs.where("a != b or s <= t")
+    both = pairs.join(tiles.select(F.col("class").alias("a"), F.col("tile").alias("s"), F.col("fps").alias("left_fps")), ["a", "s"])
+    both = both.join(tiles.select(F.col("class").alias("b"), F.col("tile").alias("t"), F.col("fps").alias("right_fps")), ["b", "t"])
     # Spread evenly: a pair of full tiles is as much work as any other.
-    dealt = both.select("left_fps", "right_fps", "left", "right").repartition("left", "right").drop("left", "right")
+    dealt = both.repartition("a", "s", "b", "t").select("left_fps", "right_fps")
     return map_arrow(dealt, _compare(radius), "u long, v long")
 
 
+def _classes(docs: DataFrame, radius: int, width: int, text: str) -> DataFrame:
+    """``doc_id, fp, root, component_id`` of every row; ``root`` is the least fingerprint of its component."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = stored(fingerprints(narrow, width).withColumnRenamed("_fp", "fp"), "fingerprints")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes, radius))
+    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    member = member.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = member.join(found, "root").select("fp", "root", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_copies(docs: DataFrame, radius: int = 3, width: int = 3, text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -142,27 +165,31 @@ def near_copies(docs: DataFrame, radius: int = 3, width: int = 3, text: str = "t
     texts have fingerprint 0 and link like any other. Every repeated row is returned; further columns are
     ignored; an empty table gives no rows.
     """
-    marked = stored(fingerprints(docs, width, text), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius))
-    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    member = member.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(found, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    printed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return _classes(docs, radius, width, text).select("doc_id", printed, "component_id")
 
 
 def first_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; one row where an id is repeated.
+    """One row of ``docs`` for each component, with the component's least id.
 
-    Rows without an id cannot be told apart and stay.
+    Rows of one id may hold different texts; each is kept or dropped by its own. Rows without an id cannot be
+    told apart and stay.
     """
-    found = stored(near_copies(docs, radius, width), "components")
-    other = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = stored(_classes(docs, radius, width, "text").where("doc_id is not null"), "components")
+    heads = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("head"))
+    head_ids = heads.select("doc_id").distinct()
+    other = found.select("doc_id").join(head_ids, "doc_id", "left_anti").select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.join(other, docs["doc_id"] == other["gone"], "left_anti")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    several = found.groupBy("doc_id").count().where("count > 1").join(head_ids, "doc_id", "left_semi")
+    several = stored(several.select(F.col("doc_id").alias("gone")), "repeated")
+    if several.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    same = kept["doc_id"] == several["gone"]
+    # Rows of a repeated id are told apart by their fingerprints.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of_name = dict(zip(docs.columns, names))
+    rows = kept.join(several, same, "left_semi").toDF(*names)
+    printed = fingerprints(rows, width, of_name["text"], tuple(names))
+    match = (printed[of_name["doc_id"]] == heads["doc_id"]) & (printed["_fp"] == heads["head"])
+    chosen = printed.join(heads, match, "left_semi").dropDuplicates([of_name["doc_id"], "_fp"])
+    return kept.join(several, same, "left_anti").union(chosen.select(*names))

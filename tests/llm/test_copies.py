@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 import xxhash
 
 from sweepframe.llm import simhash
@@ -53,8 +54,10 @@ def test_odd_rows(odd, none):
     assert simhash.near_copies(none).count() == 0
 
 
-def test_tiles_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("quartered", [1 << 21, 0])
+def test_tiles_lose_no_link(spark, monkeypatch, quartered):
     monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "QUARTERED", quartered)
     rng = np.random.default_rng(1)
     values = rng.integers(0, 2**63, 300, dtype=np.uint64)
     for _ in range(4):  # chains of near values
@@ -84,3 +87,10 @@ def test_one_of_each_stays(odd, none):
     assert simhash.first_of_each(none).count() == 0
     repeated = odd.where("doc_id = 6")
     assert simhash.first_of_each(repeated).count() == 1
+
+
+def test_repeated_ids_lose_no_text(spark):
+    one, two = "the first text of an id that is used again", "another text about harbours, ships and long winters"
+    rows = [(3, one), (5, one), (5, two), (5, two), (9, two), (9, "a third text that nobody else has written so far")]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(3, one), (5, two), (9, rows[5][1])]

@@ -37,34 +37,37 @@ def mean_of(value: Column, tp: T.DataType, name: str) -> Column:
 def list_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Element-wise means of list columns within each group.
 
-    Elements are averaged by position, partially before the shuffle, so a hot
-    group costs no more than its list length per task. Lists of unequal length
-    in one group are an error.
+    All lists of a row are taken apart together and averaged by position, partially
+    before the shuffle, so a hot group costs no more than its longest list per task.
+    Lists of unequal length in one group are an error; a group without any is null.
     """
-    result = None
-    for column in columns:
-        lists = df.where(F.col(column).isNotNull())
-        sizes = F.size(column)
-        cells = lists.select(
-            *keys, sizes.alias("_size"), F.posexplode_outer(column).alias("_pos", "_value")
-        )
-        means = cells.groupBy(*keys, "_pos").agg(
-            F.avg(F.col("_value").cast("double")).alias("_mean"),
-            F.min("_size").alias("_shortest"),
-            F.max("_size").alias("_longest"),
-        )
-        entries = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_mean"))))
-        grouped = means.groupBy(*keys).agg(
-            entries.alias("_entries"), F.min("_shortest").alias("_shortest"), F.max("_longest").alias("_longest")
-        )
-        checked = F.when(
-            F.col("_shortest") != F.col("_longest"),
-            F.raise_error(F.lit(f"lists of unequal length in {column}")).cast("array<double>"),
-        ).otherwise(F.transform("_entries", lambda e: e["_mean"]))
-        one = grouped.select(*keys, checked.alias(column))
-        result = one if result is None else null_safe_join(result, one, keys, "full_outer")
-    assert result is not None
-    return result
+    numbers = range(len(columns))
+    # Zipping needs lists; a missing one counts as empty and has no size.
+    lists = [F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")).alias(f"_v{i}") for i, c in enumerate(columns)]
+    sizes = [F.when(F.col(c).isNotNull(), F.size(c)).alias(f"_n{i}") for i, c in enumerate(columns)]
+    zipped = F.arrays_zip(*(f"_v{i}" for i in numbers))
+    cells = df.select(*keys, *sizes, *lists).select(
+        *keys, *(f"_n{i}" for i in numbers), F.posexplode_outer(zipped).alias("_pos", "_at")
+    )
+    means = cells.groupBy(*keys, "_pos").agg(
+        *(F.avg(f"_at._v{i}").alias(f"_mean{i}") for i in numbers),
+        *(F.min(f"_n{i}").alias(f"_shortest{i}") for i in numbers),
+        *(F.max(f"_n{i}").alias(f"_longest{i}") for i in numbers),
+    )
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", *(f"_mean{i}" for i in numbers)))
+    grouped = means.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries"),
+        *(F.min(f"_shortest{i}").alias(f"_shortest{i}") for i in numbers),
+        *(F.max(f"_longest{i}").alias(f"_longest{i}") for i in numbers),
+    )
+
+    def checked(i: int) -> Column:
+        longest = F.col(f"_longest{i}")
+        own = F.transform(F.slice("_entries", F.lit(1), longest), lambda e: e[f"_mean{i}"])
+        fault = F.raise_error(F.lit(f"lists of unequal length in {columns[i]}")).cast("array<double>")
+        return F.when(F.col(f"_shortest{i}") != longest, fault).when(longest.isNotNull(), own)
+
+    return grouped.select(*keys, *(checked(i).alias(columns[i]) for i in numbers))
 
 
 def flexible_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -73,23 +76,17 @@ def flexible_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     scalars = [mean_of(F.col(c), df.schema[c].dataType, c).alias(c) for c in columns if c not in lists]
     groups = df.groupBy(*keys).agg(*scalars) if scalars else df.select(*keys).distinct()
     if lists:
-        groups = null_safe_join(groups, list_means(df, keys, lists), keys, "left")
+        groups = null_safe_join(groups, list_means(df, keys, lists), keys)
     return groups.select(*keys, *columns)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys`` where null equals null, keeping one copy of the keys."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` where null equals null, keeping one copy of the keys."""
     if not keys:
-        marked = null_safe_join(
-            left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), ["_one"], how
-        )
+        marked = null_safe_join(left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), ["_one"])
         return marked.drop("_one")
     renamed = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *[c for c in right.columns if c not in keys])
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    joined = left.join(renamed, condition, how)
-    if how in ("left", "inner"):
-        return joined.drop(*(f"_r_{k}" for k in keys))
-    rest = [c for c in joined.columns if c not in keys and not c.startswith("_r_")]
-    return joined.select(*(F.coalesce(k, f"_r_{k}").alias(k) for k in keys), *rest)
+    return left.join(renamed, condition, "left").drop(*(f"_r_{k}" for k in keys))

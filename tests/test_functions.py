@@ -144,3 +144,11 @@ def test_declared_and_applied(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert rows(apply_schema(df, schema)) == [(2.0, "1", None)]
     assert apply_schema(df.limit(0), schema).dtypes == [("b", "double"), ("a", "string"), ("c", "string")]
+
+
+def test_lists_of_different_lengths_are_averaged_together(spark):
+    data = [("x", [1, 2, 3], [0.5], None), ("x", [3, 4, None], None, None), ("y", [], [1.0, 2.0], None), (None, None, [4.0], None)]
+    df = spark.createDataFrame(data, "k string, a array<int>, b array<double>, c array<int>")
+    want = [(None, None, [4.0], None), ("x", [2.0, 3.0, 3.0], [0.5], None), ("y", [], [1.0, 2.0], None)]
+    found = [tuple(r) for r in flexible_mean(df, ["k"], ["a", "b", "c"]).collect()]
+    assert sorted(found, key=lambda r: r[0] or "") == want

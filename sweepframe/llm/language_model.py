@@ -2,7 +2,10 @@
 
 A count c is quantised to 1 + floor(log2 c) levels, and an n-gram is put into the filter once per level, so its
 level is found by probing 1, 2, .. until one is missing. A filter is never too low; it may be too high for a few.
-The filter is cut into blocks by the n-gram's hash, so that each block is built by one group of rows.
+The filter is cut into blocks by the n-gram's hash, so that each block is built by one group of rows. Every block
+has ``BITS_EACH`` bits for each n-gram and level in it, so the rate of false levels is the same for every corpus.
+Workers get the whole filter while it is small; beyond ``MOST_BITS`` the texts' n-grams are shuffled to their blocks
+and the levels back to the texts, with the same results.
 
 Words of high count are kept exactly in a small table that workers get; all other words of a text are
 joined with their exact counts, so the base score is exact however large the vocabulary grows.
@@ -19,13 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import StudyError
 from .common import binary, chunks, map_arrow, mixed, per_text, ship_package, stored, text_bytes, words
 
 #: Most words of the table that workers get, with 16 bytes each.
 HEAD = 1 << 18
-#: Most bits of the filter (64 MB); a larger corpus gets a fuller filter.
+#: Most bits of a filter that workers get whole (64 MB); a larger one is asked by a shuffle.
 MOST_BITS = 1 << 29
 PROBES = 3
+#: Bits for each n-gram and level: with three probes a level is false with probability (1 - exp(-3 / 12))^3 = 0.011.
+BITS_EACH = 12
 #: Strength of the unigram distribution behind the bigram counts.
 PRIOR = 32.0
 END = np.uint64(0xE17A1465D5A11B0C)
@@ -33,6 +39,8 @@ _UNIGRAM = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams that a task gathers before it hands them on.
 _GATHER = 2 << 20
+#: Bytes of the texts that ask together.
+_PART_BYTES = 12 << 20
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,19 +61,38 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["h", "n"])
 
 
-def _packed(grams: np.ndarray, counts: np.ndarray, block_bits: int) -> pa.RecordBatch:
-    """Rows ``block, grams, counts`` of sorted n-grams; the block is the hash's leading bits."""
-    block = grams >> np.uint64(64 - block_bits) if block_bits else np.zeros(len(grams), np.uint64)
-    found, first = np.unique(block, return_index=True)
+def _blocks(grams: np.ndarray, block_bits: int) -> np.ndarray:
+    """The n-grams' blocks, the leading bits of their hashes."""
+    return (grams >> np.uint64(64 - block_bits)).astype(np.int64) if block_bits else np.zeros(len(grams), np.int64)
+
+
+def _cut(grams: np.ndarray, block_bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The blocks of sorted n-grams, and where each block's n-grams start and end."""
+    found, first = np.unique(_blocks(grams, block_bits), return_index=True)
     cuts = [*first.tolist(), len(grams)]
-    rows = list(zip(cuts, cuts[1:]))
+    return found, list(zip(cuts, cuts[1:]))
+
+
+def _steps(grams: np.ndarray) -> bytes:
+    """Sorted n-grams as steps from one to the next, byte by byte, so that a shuffle's compression finds the zeros."""
+    return np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _packed(grams: np.ndarray, counts: np.ndarray, block_bits: int) -> pa.RecordBatch:
+    """Rows ``block, grams, counts`` of sorted n-grams."""
+    found, rows = _cut(grams, block_bits)
     # Most counts are 1, so only the places and sizes of the others are kept.
     large = []
     for a, b in rows:
         at = np.flatnonzero(counts[a:b] > 1).astype("<u4")
         large.append(at.tobytes() + counts[a:b][at].astype("<u8").tobytes())
     return pa.RecordBatch.from_arrays(
-        [pa.array(found.astype(np.int64)), pa.array([grams[a:b].tobytes() for a, b in rows], pa.binary()), pa.array(large, pa.binary())],
+        [pa.array(found), pa.array([_steps(grams[a:b]) for a, b in rows], pa.binary()), pa.array(large, pa.binary())],
         ["block", "grams", "counts"],
     )
 
@@ -96,18 +123,20 @@ def _single_counts(block_bits: int):
     return run
 
 
-def _places(grams: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def _places(grams: np.ndarray, level: int, probe: int, bits: int | np.ndarray) -> np.ndarray:
+    """Places below ``bits``, which is below 2^32."""
     seed = np.uint64((level * PROBES + probe + 1) * int(_PAIR) & (2**64 - 1))
-    return (mixed(grams ^ seed) & np.uint64(bits - 1)).astype(np.int64)
+    half = np.uint64(32)
+    return ((mixed(grams ^ seed) >> half) * np.asarray(bits, np.uint64) >> half).astype(np.int64)
 
 
-def _build(bits: int):
-    """One block's bits from all its n-grams."""
+def _build(bits: int | None = None):
+    """One block's bits from all its n-grams, ``BITS_EACH`` for each level of each if ``bits`` is not given."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams, counts = [], []
         for part, large in zip(table["grams"].to_pylist(), table["counts"].to_pylist()):
-            new = np.frombuffer(part, np.uint64)
+            new = _from_steps(part)
             n = np.ones(len(new), np.int64)
             m = len(large) // 12
             n[np.frombuffer(large, "<u4", m)] = np.frombuffer(large, "<u8", m, 4 * m)
@@ -116,70 +145,94 @@ def _build(bits: int):
         found, place = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts)).astype(np.int64)
         top = np.frexp(total.astype(np.float64))[1]
-        field = np.zeros(bits, bool)
+        size = bits or max(64, -(-BITS_EACH * int(top.sum()) // 8) * 8)
+        field = np.zeros(size, bool)
         for level in range(1, int(top.max()) + 1):
             some = found[top >= level]
             for probe in range(PROBES):
-                field[_places(some, level, probe, bits)] = True
+                field[_places(some, level, probe, size)] = True
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": [np.packbits(field, bitorder="little").tobytes()]})
 
     return run
 
 
 class Filter:
-    """The quantised counts of all n-grams, a flat array of bits."""
+    """The quantised counts of all n-grams, a flat array of bits; blocks are of one size if ``starts`` is not given."""
 
-    def __init__(self, bits: np.ndarray, block_bits: int):
+    def __init__(self, bits: np.ndarray, block_bits: int, starts: np.ndarray | None = None):
         self.bits, self.block_bits = bits, block_bits
-        self.size = len(bits) * 8 >> block_bits
-
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """About the middle of each n-gram's quantised count, 0 if it is in no level."""
-        out = np.zeros(len(grams))
-        alive = np.arange(len(grams))
-        base = (grams >> np.uint64(64 - self.block_bits)).astype(np.int64) * self.size if self.block_bits else np.zeros(len(grams), np.int64)
+        self.starts = np.arange((1 << block_bits) + 1) * (len(bits) * 8 >> block_bits) if starts is None else starts
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """Each n-gram's highest level, 0 if it is in none."""
+        out = np.zeros(len(grams), np.uint8)
+        block = _blocks(grams, self.block_bits)
+        base = self.starts[block]
+        size = self.starts[block + 1] - base
+        # Nothing is in a block without bits.
+        alive = np.flatnonzero(size)
         level = 1
         while len(alive) and level < 64:
             for probe in range(PROBES):
-                at = base[alive] + _places(grams[alive], level, probe, self.size)
+                at = base[alive] + _places(grams[alive], level, probe, size[alive])
                 alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = 1.0 if level == 1 else 1.4 * 2.0 ** (level - 1)
+            out[alive] = level
             level += 1
         return out
 
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        return middles(self.levels(grams))
+
+
+def middles(levels: np.ndarray) -> np.ndarray:
+    """About the middle of the counts of each level, 0 for none."""
+    return np.where(levels > 1, 1.4, 1.0) * np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
+
 
 class Model:
-    """What scoring needs: totals, exact counts of frequent words, the filter's bits (broadcast)."""
+    """What scoring needs: totals, exact counts of frequent words, the filter's bits and starts (broadcast, or None)."""
 
     def __init__(self, total: int, distinct: int, head: np.ndarray, head_counts: np.ndarray, shared, block_bits: int):
         self.total, self.distinct = total, distinct
         self.head, self.head_counts = head, head_counts
         self.shared, self.block_bits = shared, block_bits
 
-    def score(self, data: np.ndarray, offsets: np.ndarray):
-        """Per text: tokens, frequent ones, their base score, the model's log10 probability; hashes of the others."""
-        store = Filter(self.shared.value, self.block_bits)
+    def frequent(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are frequent words, and their exact counts, 0.0 for the others."""
+        if not len(self.head):
+            return np.zeros(len(tokens), bool), np.zeros(len(tokens))
+        at = np.minimum(np.searchsorted(self.head, tokens), len(self.head) - 1)
+        known = self.head[at] == tokens
+        return known, np.where(known, self.head_counts[at], 0).astype(np.float64)
+
+    def asked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The n-grams whose counts :meth:`score` asks for."""
+        tokens, _ = sequence(data, offsets)
+        found = np.unique(tokens)
+        found = found[~self.frequent(found)[0]]
+        return np.concatenate([mixed(found ^ _UNIGRAM), pairs(tokens)])
+
+    def score(self, data: np.ndarray, offsets: np.ndarray, counts):
+        """Per text: tokens, frequent ones, their base score, the model's log10 probability; hashes of the others.
+
+        ``counts`` gives the filter's counts of n-grams.
+        """
         tokens, bounds = sequence(data, offsets)
         even = 1.0 / (self.total + self.distinct + 1)
-        if len(self.head):
-            at = np.minimum(np.searchsorted(self.head, tokens), len(self.head) - 1)
-            known = self.head[at] == tokens
-            count = np.where(known, self.head_counts[at], 0).astype(np.float64)
-        else:
-            known, count = np.zeros(len(tokens), bool), np.zeros(len(tokens))
+        known, count = self.frequent(tokens)
         base = np.where(known, np.log10((count + 1) * even), 0.0)
         rare = np.flatnonzero(~known)
-        count[rare] = store.counts(mixed(tokens[rare] ^ _UNIGRAM))
+        count[rare] = counts(mixed(tokens[rare] ^ _UNIGRAM))
         ends = count[bounds[1:] - 1][:1] if len(bounds) > 1 else np.zeros(1)
         before = np.concatenate([ends, count[:-1]])
-        both = np.minimum(store.counts(pairs(tokens)), np.minimum(before, count))
+        both = np.minimum(counts(pairs(tokens)), np.minimum(before, count))
         chance = (both + PRIOR * (count + 1) * even) / (before + PRIOR)
         score = per_text(np.log10(chance), bounds)
         return np.diff(bounds), per_text(known, bounds).astype(np.int64), per_text(base, bounds), score, tokens, ~known, bounds
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """Count all of ``docs``; the model, and the stored table ``h, n`` of exact word counts."""
+def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """Count all of ``docs``; the model, and the stored tables ``h, n`` of exact word counts and ``block, bits``."""
     spark = docs.sparkSession
     content = docs.select(text_bytes(text).alias("content"))
     counted = map_arrow(content, _word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -198,41 +251,129 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     head = frequent["h"].to_numpy().view(np.uint64) if frequent else np.zeros(0, np.uint64)
     order = np.argsort(head)
     head_counts = frequent["n"].to_numpy()[order] if frequent else np.zeros(0, np.int64)
-    bits = min(MOST_BITS, 1 << max(20, (8 * max(total, 1) - 1).bit_length()))
-    # About half a million n-grams to build a block from, and blocks of at least 4,096 bits.
-    block_bits = min(max(4, (total >> 19).bit_length()), bits.bit_length() - 13)
+    # About half a million n-grams to build a block from.
+    block_bits = max(4, (total >> 19).bit_length())
     ship_package(spark)
     grams = map_arrow(content, _pair_counts(block_bits), "block long, grams binary, counts binary")
     rare = counted.where(step < least) if least < math.inf else counted
     grams = grams.union(map_arrow(rare, _single_counts(block_bits), "block long, grams binary, counts binary"))
-    built = grams.groupBy("block").applyInArrow(_build(bits >> block_bits), "block long, bits binary")
-    field = np.zeros(bits >> 3, np.uint8)
-    size = bits >> block_bits >> 3
-    # At most MOST_BITS in all.
-    for row in stored(built, "filter").toLocalIterator():
-        field[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return Model(total, distinct, head[order], head_counts, spark.sparkContext.broadcast(field), block_bits), counted
+    built = stored(grams.groupBy("block").applyInArrow(_build(), "block long, bits binary"), "filter")
+    size = built.agg(F.sum(F.length("bits"))).first()[0] or 0
+    model = Model(total, distinct, head[order], head_counts, None, block_bits)
+    if size * 8 <= MOST_BITS:
+        parts = {row["block"]: np.frombuffer(row["bits"], np.uint8) for row in built.toLocalIterator()}
+        starts = np.cumsum([0, *(8 * len(parts.get(block, b"")) for block in range(1 << block_bits))])
+        field = np.concatenate([np.zeros(0, np.uint8), *(parts[block] for block in sorted(parts))])
+        model.shared = spark.sparkContext.broadcast((field, starts))
+    return model, counted, built
+
+
+_SCORES = "row long, doc_id long, held_out boolean, n_tokens long, frequent long, base double, score double, rare array<long>"
+
+
+def _scored(model: Model, batch: pa.RecordBatch, rows: pa.Array, counts) -> pa.RecordBatch:
+    n, frequent, base, score, tokens, rare, bounds = model.score(*binary(batch.column("content")), counts)
+    others = per_text(rare, bounds).astype(np.int64)
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32)), pa.array(tokens[rare].view(np.int64))
+    )
+    return pa.RecordBatch.from_arrays(
+        [rows, batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)), pa.array(frequent), pa.array(base), pa.array(score), lists],
+        ["row", "doc_id", "held_out", "n_tokens", "frequent", "base", "score", "rare"],
+    )
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
+        field, starts = model.shared.value
+        store = Filter(field, model.block_bits, starts)
         for batch in chunks(batches, "content"):
-            n, frequent, base, score, tokens, rare, bounds = model.score(*binary(batch.column("content")))
-            others = per_text(rare, bounds).astype(np.int64)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32)), pa.array(tokens[rare].view(np.int64))
-            )
-            ids = np.arange(row, row + batch.num_rows)
+            ids = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)), pa.array(frequent), pa.array(base), pa.array(score), lists],
-                ["row", "doc_id", "held_out", "n_tokens", "frequent", "base", "score", "rare"],
-            )
+            yield _scored(model, batch, ids, store.counts)
+
+    return run
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number and the part they ask in, a run of about ``_PART_BYTES``."""
+    row = part = TaskContext.get().partitionId() << 36
+    size = 0
+    for batch in chunks(batches, "content"):
+        ids = [pa.array(np.full(batch.num_rows, part)), pa.array(np.arange(row, row + batch.num_rows))]
+        row += batch.num_rows
+        size += batch.column("content").nbytes
+        if size >= _PART_BYTES:
+            part, size = part + 1, 0
+        yield pa.RecordBatch.from_arrays([*ids, *batch.columns], ["part", "row", *batch.schema.names])
+
+
+def _ask(model: Model):
+    """Rows ``part, first, last, block, grams``: what a part's rows ``first`` to ``last`` ask of a block."""
+
+    def packed(part: int, rows: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        grams = np.unique(np.concatenate(held))
+        found, cuts = _cut(grams, model.block_bits)
+        same = [pa.array(np.full(len(found), x)) for x in (part, rows[0], rows[-1])]
+        asked = pa.array([_steps(grams[a:b]) for a, b in cuts], pa.binary())
+        return pa.RecordBatch.from_arrays([*same, pa.array(found), asked], ["part", "first", "last", "block", "grams"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, held = None, [], []
+        for batch in chunks(batches, "content"):
+            numbers, ids = batch.column("part").to_numpy(), batch.column("row").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(numbers) != 0) | (np.diff(ids) != 1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and (numbers[a] != part or ids[a] != rows[-1] + 1 or sum(map(len, held)) >= _GATHER):
+                    yield packed(part, rows, held)
+                    rows, held = [], []
+                part = int(numbers[a])
+                rows = [*rows[:1], int(ids[a]), int(ids[b - 1])]
+                held.append(np.unique(model.asked(*binary(batch.slice(a, b - a).column("content")))))
+        if held:
+            yield packed(part, rows, held)
+
+    return run
+
+
+def _answer(key: tuple[pa.Scalar, ...], asked: pa.Table, built: pa.Table) -> pa.Table:
+    """The levels of all that is asked of one block, in the order of the n-grams."""
+    # As the block stands alone, its bits are the whole field.
+    store = Filter(np.frombuffer(built["bits"][0].as_py() if built.num_rows else b"", np.uint8), 0)
+    levels = [store.levels(_from_steps(x.as_py())).tobytes() for x in asked["grams"]]
+    return asked.drop_columns("grams").append_column("levels", pa.array(levels, pa.binary()))
+
+
+def _score_part(model: Model):
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = texts.sort_by("row").combine_chunks()
+        ids, out = texts["row"].to_numpy(), []
+        given: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        for answer in answers.to_pylist():
+            given.setdefault((answer["first"], answer["last"]), []).append((answer["block"], answer["levels"]))
+        for (first, last), blocks in given.items():
+            a, b = np.searchsorted(ids, (first, last + 1))
+            batches = list(chunks(iter(texts.slice(a, b - a).to_batches()), "content"))
+            grams = np.unique(np.concatenate([np.unique(model.asked(*binary(batch.column("content")))) for batch in batches]))
+            found = middles(np.frombuffer(b"".join(levels for _, levels in sorted(blocks)), np.uint8))
+            if len(found) != len(grams):
+                raise StudyError(f"{len(found)} answers to {len(grams)} n-grams of rows {first} to {last}")
+            counts = lambda asked, grams=grams, found=found: found[np.searchsorted(grams, asked)]
+            out += [_scored(model, batch, batch.column("row"), counts) for batch in batches]
+        return pa.Table.from_batches(out)
 
     return run
 
 
+def _by_shuffle(rows: DataFrame, model: Model, built: DataFrame) -> DataFrame:
+    """The scores of ``rows`` under a filter of any size: no task holds more than a block or a part."""
+    texts = stored(map_arrow(rows, _in_parts, "part long, row long, doc_id long, held_out boolean, content binary"), "texts")
+    asked = map_arrow(texts.select("part", "row", "content"), _ask(model), "part long, first long, last long, block long, grams binary")
+    answers = asked.groupBy("block").cogroup(built.groupBy("block")).applyInArrow(_answer, "part long, first long, last long, block long, levels binary")
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score_part(model), _SCORES)
+
+
 def language_model_scores(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -240,10 +381,9 @@ def language_model_scores(docs: DataFrame, held_out, text: str = "text") -> Data
     end; every repeated row counts and has its result; null ids stay null; without rows to learn from all counts
     are 0 and ``base_score`` is 0; an empty table gives no rows; further columns are ignored.
     """
-    model, counted = train(docs.where(~held_out), text)
+    model, counted, built = train(docs.where(~held_out), text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_bytes(text).alias("content"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, frequent long, base double, score double, rare array<long>"
-    scored = stored(map_arrow(rows, _score(model), schema), "scores")
+    scored = stored(map_arrow(rows, _score(model), _SCORES) if model.shared else _by_shuffle(rows, model, built), "scores")
     rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
     even = F.lit(float(model.total + model.distinct + 1))
     exact = rare.join(counted, "h", "left").groupBy("row").agg(

@@ -72,6 +72,24 @@ def test_filter_is_never_too_low():
     assert np.mean(language_model.Filter(field, 3).counts(common.mixed(grams + np.uint64(1))) > 0) < 0.9
 
 
+def test_a_large_filter_keeps_its_rate(spark, tables, monkeypatch):
+    by_id = lambda: sorted((r["doc_id"], *r[1:6], round(r["score"], 6)) for r in QUERIES["op6_language_model"](spark, tables).collect())
+    want = by_id()
+    # A filter beyond what workers get is asked by a shuffle: not one bit less, so the same scores.
+    monkeypatch.setattr(language_model, "MOST_BITS", 1 << 13)
+    monkeypatch.setattr(language_model, "_PART_BYTES", 1 << 14, raising=False)
+    got = by_id()
+    assert [r[:4] + (r[6],) for r in got] == [r[:4] + (r[6],) for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want])
+
+
+def test_shuffled_scores_of_odd_rows(odd, none, monkeypatch):
+    monkeypatch.setattr(language_model, "MOST_BITS", 0)
+    run = lambda df: language_model.language_model_scores(df, common.fold(F.col("doc_id"), 7) == 2)
+    assert scored(run(odd)) == plain_scores([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert run(none).count() == 0
+
+
 def test_word_hashes():
     texts = [b"Ab c", b"", b"  ", b"c\nAB", "É é".encode()]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])

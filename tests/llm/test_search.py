@@ -171,3 +171,21 @@ def test_licenses(spark, tables, odd, none):
     notices = {"apache": "Apache License", "mit": "MIT License", "gpl": "GNU General", "cc-by-nc": "CC BY-NC"}
     want = sorted((d, f) for d, t in texts.items() for line in t.split("\n") for f, n in notices.items() if n in line)
     assert want and sorted((r["doc_id"], r["family"]) for r in rows if r["confirmed"]) == want
+
+
+def test_licenses_beyond_single_cued_lines(spark):
+    scanner = licenses.train(spark)
+    mit = "Permission is hereby granted, free of\ncharge, to any person obtaining\na copy of this software and\nassociated documentation files."
+    bsd = "Redistribution and use\nin source and binary\nforms, with or without\nmodification, are permitted\nprovided that the following\nconditions are met."
+    texts = [
+        ("One.\nAll rights reserved.\nTwo.", 1, "all-rights-reserved", False),
+        ("One.\nDistributed under the GPL, version 2 or later\nTwo.", 1, "gpl", True),
+        ("Released under GPLv3", 0, "gpl", True),
+        ("One.\nCC BY 4.0\nTwo.", 1, "cc-by", True),
+        (f"One.\nTwo.\n \n\n{mit}\n\nThree.", 4, "mit", True),
+        (f"{bsd}\n\nThree.", 0, "bsd", True),
+    ]
+    table = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["line"], r["family"], r["confirmed"]) for r in licenses.license_lines(table, scanner).collect() if r["family"] != "unknown"]
+    assert {(i, *want) for i, (_, *want) in enumerate(texts)} <= set(rows)
+    assert len({(r[0], r[2]) for r in rows if r[3]}) == sum(r[3] for r in rows)

@@ -55,18 +55,19 @@ def _pack(width: int):
         values = _matrix(pa.concat_arrays(part["v"].chunks), width)
         order = np.argsort(part["id"].to_numpy(), kind="stable")
         ids, values = part["id"].to_numpy()[order].astype(np.int64), values[order]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "vals": [values.tobytes()]})
+        times = part["times"].to_numpy()[order].astype(np.int64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "vals": [values.tobytes()], "times": [times.tobytes()]})
 
     return run
 
 
 def packed(vectors: DataFrame, width: int, rows: int, count: int) -> DataFrame:
-    """``block, ids, vals``: the vectors in blocks of about ``rows``, dealt by a hash of the whole row."""
+    """``block, ids, vals, times``: the vectors in blocks of about ``rows``, dealt by a hash of id and vector."""
     ship_package(vectors.sparkSession)
     blocks = max(1, -(-count // rows))
     # Ids may repeat without end, so the vector takes part in the hash, and a random draw cannot be repeated.
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(_pack(width), "block long, ids binary, vals binary")
+    return dealt.groupBy("block").applyInArrow(_pack(width), "block long, ids binary, vals binary, times binary")
 
 
 class Index:
@@ -134,14 +135,15 @@ def _search(k: int, width: int):
                 index = Index(ids, np.frombuffer(row["vals"], np.int32).reshape(len(ids), width))
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
                 queries = np.frombuffer(row["query_vals"], np.int32).reshape(len(query_ids), width)
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                times = np.frombuffer(row["query_times"], np.int64)
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for i, (own, query) in enumerate(zip(query_ids, queries)):
                     found, scores = index.search(query, k, own)
-                    new = (np.full(len(found), own), np.full(len(found), row["part"] * QUERY_BLOCK * 4 + i), found, scores)
+                    new = (np.full(len(found), own), np.full(len(found), row["part"] * QUERY_BLOCK * 4 + i), found, scores, np.full(len(found), times[i]))
                     for to, values in zip(out, new):
                         to.append(values)
                 columns = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in out]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_no", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_no", "vec_id", "score", "times"])
 
     return run
 
@@ -152,24 +154,33 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     Candidates are all rows but those with the query's own id; equal scores go to the smaller id. A repeated
     query row has its result repeated, a repeated candidate takes as many ranks as it has rows. Null ids are
     neither queries nor candidates. Vectors of unequal length are compared as if padded with zeros. Every pair of
-    an index block and a query block is one piece of work; both hold a bounded number of rows.
+    an index block and a query block is one piece of work. Rows of equal id and vector are one query, and as
+    candidates no more than ``k``, so both blocks hold a bounded number of rows however often a row is repeated.
     """
     spark = vectors.sparkSession
-    table = stored(quantised(vectors, key, vector).where("id is not null"), "vectors")
+    rows = quantised(vectors, key, vector).where("id is not null")
+    table = stored(rows.groupBy("id", "v").agg(F.count("*").alias("times")), "vectors")
     queries = table.where(is_query(F.col("id")))
-    n, width = table.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    # No more than k copies of a candidate can be among the best k.
+    copies = F.least("times", F.lit(k))
+    n, width = table.agg(F.sum(copies), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     asked = queries.count()
-    schema = "query_id long, query_no long, vec_id long, score long"
+    schema = "query_id long, query_no long, vec_id long, score long, times long"
     if not n or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(width, 1)
-    index = packed(table, width, BLOCK, n)
+    candidates = table.select("id", "v", "times", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("col")
+    index = packed(candidates, width, BLOCK, n).drop("times")
     parts = packed(queries, width, QUERY_BLOCK, asked).select(
-        F.col("block").alias("part"), F.col("ids").alias("query_ids"), F.col("vals").alias("query_vals")
+        F.col("block").alias("part"), F.col("ids").alias("query_ids"), F.col("vals").alias("query_vals"), F.col("times").alias("query_times")
     )
     last = max(1, -(-asked // QUERY_BLOCK)) - 1
     work = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<long>"))).join(parts, "part")
     found = map_arrow(work.repartition("block", "part"), _search(k, width), schema)
     best = Window.partitionBy("query_no", "query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # In two steps, as a list of all repetitions might not fit.
+    step = 1 << 16
+    ranked = ranked.withColumn("done", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(step).cast("long"))))
+    ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("times") - F.col("done"), F.lit(step)))))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -44,6 +44,24 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
         topk.top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), lambda i: i == 0).count()
 
 
+def test_repeated_rows_leave_blocks_bounded(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    plain = topk.packed
+
+    def watched(*args):
+        out = plain(*args)
+        sizes.add(max(len(r["ids"]) // 8 for r in out.select("ids").collect()))
+        return out
+
+    monkeypatch.setattr(topk, "packed", watched)
+    rows = [(50, [0.5, 0.25])] * 300 + [(7, [0.5, 0.5])] * 300 + [(i, [i / 64, 0.125]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    found = topk.top_k(table, lambda i: i % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == plain_top(rows, 5)
+    # The index has each of the two no more than five times, the query block once.
+    assert sizes.value <= 40 + 2 * 5 + 2
+
+
 def test_search_stops_on_proof():
     rng = np.random.default_rng(1)
     values = np.zeros((2000, 30), np.int32)

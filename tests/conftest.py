@@ -30,8 +30,3 @@ def spark():
 @pytest.fixture(scope="session")
 def tables():
     return "/root/testdata/sf0.001"
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted by the given columns."""
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

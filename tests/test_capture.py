@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import rows
+from compare import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

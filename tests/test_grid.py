@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from sweepframe import Axis, GradedAxis, Space, StudyError, UniformAxis

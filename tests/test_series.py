@@ -6,7 +6,7 @@ import random
 from statistics import fmean
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from sweepframe import Plot, SeriesQuery, Space, StudyError

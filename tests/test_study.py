@@ -4,7 +4,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from compare import rows
 from pyspark.sql import functions as F
 
 from sweepframe import Capture, Plot, Step, StepFailed, Study, StudyError

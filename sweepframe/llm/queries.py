@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import decontaminate, language, language_model, licenses, mixing, simhash, token_counts, token_files, topk, toxicity
+from . import collocations, decontaminate, language, language_model, licenses, mixing, simhash, token_counts, token_files, topk, toxicity
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,50 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, tokenizer("word_bpe_49k.json"), fresh_path(spark, "counts"))
+
+
+COLLOCATIONS_SQL = r"""WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+counted AS (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS a
+    FROM places, range(1, 6) AS s(size) WHERE i + size - 1 <= len(w) GROUP BY ALL HAVING a >= 100
+),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cuts AS (
+    SELECT lang, size, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+           array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+    FROM counted, range(1, 5) AS c(k) WHERE k < size
+),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n,
+           (CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.head
+    JOIN counted y ON y.lang = c.lang AND y.phrase = c.tail JOIN totals t ON t.lang = c.lang
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+within AS (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + part - 1], ' ') AS phrase, max(a) AS most
+    FROM counted, range(2, 5) AS p(part), range(1, 5) AS o(i) WHERE part < size AND i + part - 1 <= size GROUP BY ALL
+),
+longer AS (
+    SELECT lang, phrase, max(a) FILTER (own = 'left') AS lefts, max(a) FILTER (own = 'right') AS rights FROM (
+        SELECT lang, a, 'left' AS own, array_to_string(string_split(phrase, ' ')[2:], ' ') AS phrase FROM counted WHERE size > 2
+        UNION ALL
+        SELECT lang, a, 'right', array_to_string(string_split(phrase, ' ')[:size - 1], ' ') FROM counted WHERE size > 2
+    ) GROUP BY ALL
+)
+SELECT k.lang, row_number() OVER w AS rank, k.phrase, a, l, r, n, CAST(score AS BIGINT) AS score, lefts, rights
+FROM weakest k LEFT JOIN within i ON i.lang = k.lang AND i.phrase = k.phrase LEFT JOIN longer g ON g.lang = k.lang AND g.phrase = k.phrase
+WHERE most IS NULL OR 100 * most < 100 * a
+WINDOW w AS (PARTITION BY k.lang ORDER BY score DESC, a DESC, k.phrase)
+QUALIFY row_number() OVER w <= 2000"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ reversed transform in the order of its LF mapping, extending to the left one ove
 kept only where both passes reach it, that is, where the n-grams without its last and without its first word were
 both frequent in the whole corpus. Counts are summed across shards level by level: every shard deals its distinct
 n-grams, packed, to buckets by a hash; a bucket sums them and tells each shard by one bit which of them are frequent.
-Words, the first level, are summed by name.
+Words, the first level, are summed by their text, and shards are told the numbers of those that are frequent.
 """
 
 from __future__ import annotations
@@ -19,23 +19,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import binary, chunks, lowered, map_arrow, mixed, small, stored, text_bytes
-from .spans import byte_set, pack, runs, stable_order, unpack
+from .spans import byte_set, pack, runs, sections, stable_order, unpack
 
 #: Words of a shard. A text that is longer is cut between pieces.
 SHARD_WORDS = 1 << 21
 #: Occurrences that one bucket of n-grams may stand for; it holds fewer, as a shard sends each n-gram once.
 BUCKET_ITEMS = 1 << 22
-_SECTION = 4 << 20
+#: Words of all shards that one bucket sums.
+BUCKET_WORDS = 1 << 18
 _BREAK = byte_set(*b".,;:!?", range(0x0A, 0x0E))
 _WORD = ~(_BREAK | byte_set(0x20, 0x09))
 
-_INDEX = "shard long, bwt binary, reverse binary, words array<string>, langs array<string>, counts array<long>"
+_INDEX = "shard long, bwt binary, reverse binary, hashes binary, words array<string>, langs array<string>, counts array<long>"
+_WORDS = "bucket int, shard long, words array<string>, langs array<string>, counts array<long>"
+_TOLD = "shard long, bucket int, flags binary, words array<string>, langs array<string>, totals array<long>, all_langs array<string>, all_totals array<long>"
 _ITEMS = "level int, bucket int, shard long, ids binary, counts binary"
 _REPLY = "shard long, level int, bucket int, flags binary, ids binary, totals binary"
 
@@ -109,25 +114,6 @@ class FMIndex:
         return Intervals(low[keep], reverse_low[keep], size[keep], ids)
 
 
-def _sections(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Lowered bytes and offsets of the batch's texts; a very long text is cut at breaks."""
-    data, offsets = binary(batch.column("content"))
-    low = lowered(data, False)
-    if len(low) <= _SECTION or batch.num_rows > 1:
-        yield low, offsets
-        return
-    begin = 0
-    while begin < len(low):
-        end = min(begin + _SECTION, len(low))
-        while end < len(low):
-            breaks = np.flatnonzero(_BREAK[low[end : end + _SECTION]])
-            end = min(end + int(breaks[0]) if len(breaks) else end + _SECTION, len(low))
-            if len(breaks):
-                break
-        yield low[begin:end], np.array([0, end - begin])
-        begin = end
-
-
 class _Shard:
     """Texts of a shard under construction."""
 
@@ -135,29 +121,31 @@ class _Shard:
         self.parts: list[tuple] = []
         self.words = self.bytes = 0
 
-    def add(self, low: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> None:
+    def add(self, low: np.ndarray, offsets: np.ndarray, langs: np.ndarray, names: np.ndarray) -> None:
         start, stop, hashes = runs(low, offsets, _WORD)
         text = np.searchsorted(offsets, start, side="right") - 1
         breaks = np.cumsum(_BREAK[low])[start] if len(start) else start
         fresh = np.ones(len(start), bool)
         fresh[1:] = (text[1:] != text[:-1]) | (breaks[1:] != breaks[:-1])
         lang = langs[text]
-        symbols = mixed(hashes ^ mixed(lang.astype(np.uint64) + np.uint64(1)))
-        self.parts.append((low, start + self.bytes, stop + self.bytes, symbols, lang, fresh))
+        # The same in every shard, so that words can be dealt by it.
+        symbols = mixed(hashes ^ names[lang])
+        self.parts.append((low, (start + self.bytes).astype(np.int32), (stop + self.bytes).astype(np.int32), symbols, lang, fresh))
         self.words += len(start)
         self.bytes += len(low)
 
     def row(self, number: int, names: list[str], depth: int) -> pa.RecordBatch:
         low, start, stop, hashes, lang, fresh = (np.concatenate(x) for x in zip(*self.parts))
         self.parts = []
-        _, at, symbol, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        found, at, symbol, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        top = (found >> np.uint64(32)).astype(np.uint32)
         symbols = np.zeros(len(symbol) + int(fresh.sum()) + 1, np.int32)
         symbols[np.arange(len(symbol)) + np.cumsum(fresh)] = symbol + 1
         whole = low.tobytes()
         words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), stop[at].tolist())]
-        row = [number, pack(transform(symbols, depth)), pack(transform(symbols[::-1], depth)), words, [names[i] for i in lang[at].tolist()], counts.tolist()]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["shard", "bwt", "reverse", "words", "langs", "counts"])
+        row = [number, pack(transform(symbols, depth)), pack(transform(symbols[::-1], depth)), pack(np.diff(top, prepend=np.uint32(0))), words, [names[i] for i in lang[at].tolist()], counts.tolist()]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["shard", "bwt", "reverse", "hashes", "words", "langs", "counts"])
 
 
 def _index(depth: int, limit: int):
@@ -166,9 +154,11 @@ def _index(depth: int, limit: int):
         codes: dict[str, int] = {}
         shard = _Shard()
         for batch in chunks(batches, "content"):
-            langs = np.array([codes.setdefault(x, len(codes)) for x in batch.column("lang").to_pylist()], np.int64)
-            for low, offsets in _sections(batch):
-                shard.add(low, offsets, langs)
+            langs = np.array([codes.setdefault(x, len(codes)) for x in batch.column("lang").to_pylist()], np.int32)
+            names = np.array([xxhash.xxh64_intdigest(x) for x in codes], np.uint64)
+            data, offsets = binary(batch.column("content"))
+            for low, offsets in sections(lowered(data, False), offsets, _BREAK):
+                shard.add(low, offsets, langs, names)
                 if shard.words >= limit:
                     yield shard.row(number, list(codes), depth)
                     number, shard = number + 1, _Shard()
@@ -194,17 +184,77 @@ def _buckets(ids: np.ndarray, n: int) -> np.ndarray:
     return (hashes % np.uint64(n)).astype(np.int64)
 
 
-def _replay(index: pa.Table, replies: pa.Table, plan: dict[int, int]) -> tuple[FMIndex, Intervals]:
-    """The shard's index and its frequent n-grams of the last level that has been summed."""
+def _word_cuts(hashes: bytes, n: int) -> np.ndarray:
+    """Where the words of each of ``n`` buckets begin among a shard's words, which are in the order of their hashes."""
+    top = np.cumsum(unpack(hashes, np.uint32), dtype=np.uint64)
+    return np.searchsorted((top * np.uint64(n)) >> np.uint64(32), np.arange(n + 1))
+
+
+def _deal_words(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cuts = _word_cuts(batch.column("hashes")[i].as_py(), n)
+                some = np.flatnonzero(np.diff(cuts))
+                offsets = pa.array(np.append(cuts[some], cuts[-1]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, batch.column(name)[i].values) for name in ("words", "langs", "counts")]
+                shard = pa.array(np.full(len(some), batch.column("shard")[i].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), shard, *lists], ["bucket", "shard", "words", "langs", "counts"])
+
+    return run
+
+
+def _sum_words(least: int):
+    """Sum the words of one bucket; shards are told the place of each of their words among the frequent ones, or -1."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        words, langs, counts = (table[name].combine_chunks().flatten() for name in ("words", "langs", "counts"))
+        # A word holds no tab, so language and word can be told apart at the last one.
+        named = pc.binary_join_element_wise(langs, words, "\t").dictionary_encode()
+        same = named.indices.to_numpy()
+        totals = np.zeros(len(named.dictionary), np.int64)
+        np.add.at(totals, same, counts.to_numpy())
+        often = np.flatnonzero(totals >= least)
+        place = np.full(len(totals), -1, np.int32)
+        place[often] = np.arange(len(often))
+        sizes = pc.list_value_length(table["words"]).to_numpy()
+        flags = [pack(x) for x in np.split(place[same], np.cumsum(sizes)[:-1])]
+        first = np.zeros(len(totals), np.int64)
+        first[same[::-1]] = np.arange(len(same))[::-1]
+        first = pa.array(first[often])
+        by_lang = pa.table({"lang": langs, "count": counts}).group_by("lang").aggregate([("count", "sum")])
+        n = len(flags)
+        none = [None] * n
+        lists = {"words": words.take(first).to_pylist(), "langs": langs.take(first).to_pylist(), "totals": totals[often].tolist()}
+        lists |= {"all_langs": by_lang["lang"].to_pylist(), "all_totals": by_lang["count_sum"].to_pylist()}
+        kinds = {name: pa.list_(pa.int64() if name.endswith("totals") else pa.string()) for name in lists}
+        return pa.table(
+            {
+                "shard": pa.array([*table["shard"].to_pylist(), None], pa.int64()),
+                "bucket": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
+                "flags": pa.array([*flags, None], pa.binary()),
+            }
+            | {name: pa.array([*none, values], kinds[name]) for name, values in lists.items()}
+        )
+
+    return run
+
+
+def _replay(index: pa.Table, replies: pa.Table, starts: np.ndarray, plan: dict[int, int]) -> tuple[FMIndex, Intervals]:
+    """The shard's index and its frequent n-grams of the last level that has been summed.
+
+    ``starts`` has the number of the first frequent word of each bucket, ``plan`` the buckets of the other levels.
+    """
     row = index.to_pylist()[0]
-    numbers = np.full(row["n_words"] + 1, -1, np.int64)
+    cuts = _word_cuts(row["hashes"], len(starts))
+    numbers = np.full(cuts[-1] + 1, -1, np.int64)
     told: dict[int, dict[int, bytes]] = {}
     for reply in replies.to_pylist():
-        if reply["level"] == 1:
-            symbols, found = np.split(unpack(reply["flags"], np.int32), 2)
-            numbers[symbols] = found
-        else:
-            told.setdefault(reply["level"], {})[reply["bucket"]] = reply["flags"]
+        told.setdefault(reply["level"], {})[reply["bucket"]] = reply["flags"]
+    for bucket, flags in told.get(1, {}).items():
+        place = unpack(flags, np.int32).astype(np.int64)
+        numbers[1 + cuts[bucket] : 1 + cuts[bucket + 1]] = np.where(place < 0, -1, place + starts[bucket])
     fm = FMIndex(unpack(row["bwt"], np.int32), unpack(row["reverse"], np.int32), numbers)
     grams = fm.words()
     for level in sorted(plan):
@@ -218,13 +268,13 @@ def _replay(index: pa.Table, replies: pa.Table, plan: dict[int, int]) -> tuple[F
     return fm, grams
 
 
-def _count(plan: dict[int, int], levels: list[int], n: int):
+def _count(starts: np.ndarray, plan: dict[int, int], levels: list[int], n: int):
     """Deal a shard's n-grams of ``levels`` to ``n`` buckets each; ``plan`` has the buckets of earlier levels."""
 
     def run(index: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {name: [] for name in ("level", "bucket", "shard", "ids", "counts")}
         if index.num_rows and replies.num_rows:
-            fm, grams = _replay(index, replies, plan)
+            fm, grams = _replay(index, replies, starts, plan)
             for level in levels:
                 grams = fm.extend(grams)
                 buckets = _buckets(grams.ids, n)
@@ -285,27 +335,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([level] * len(a), pa.int32()), keys, pa.array(a)], ["size", "key", "a"])
 
 
-def _told_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    both = np.concatenate([table["symbol"].to_numpy(), table["number"].to_numpy()]).astype(np.int32)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "level": pa.array([1], pa.int32()), "bucket": pa.array([0], pa.int32()), "flags": pa.array([pack(both)], pa.binary())})
-
-
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` stored with numbers 0, 1, .. in ``name``; only one count per partition reaches the driver."""
-    place = stored(df.withColumn("place", F.monotonically_increasing_id()), "words")
-    part = F.shiftright("place", 33)
-    sizes = sorted((r[0], r[1]) for r in place.groupBy(part).count().collect())
-    if sum(n for _, n in sizes) >= 1 << 31:
-        raise ValueError("too many frequent words to number")
-    starts, total = [], 0
-    for number, n in sizes:
-        starts.append((number, total))
-        total += n
-    start = df.sparkSession.createDataFrame(starts, "part long, start long")
-    first = place.join(F.broadcast(start), part == F.col("part"))
-    return first.withColumn(name, (F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).cast("int")).drop("part", "start", "place")
-
-
 def frequent_phrases(index: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words, languages and phrases of an index: ``(number, lang, word, a)``, ``(lang, n)`` and ``(size, key, a)``.
 
@@ -313,27 +342,36 @@ def frequent_phrases(index: DataFrame, least: int = 100, longest: int = 5) -> tu
     all words of the language.
     """
     spark = index.sparkSession
-    entry = F.posexplode(F.arrays_zip("words", "langs", "counts"))
-    listed = index.select("shard", entry.alias("place", "entry")).select(
-        "shard", (F.col("place") + 1).alias("symbol"), F.col("entry.langs").alias("lang"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("count")
-    )
-    summed = listed.groupBy("lang", "word").agg(F.sum("count").alias("a"))
-    words = _numbered(summed.where(F.col("a") >= least), "number")
-    words = stored(words, "frequent-words")
-    sizes = listed.groupBy("lang").agg(F.sum("count").alias("n"))
     ship_package(spark)
-    known = listed.join(small(words.select("lang", "word", "number")), ["lang", "word"])
-    schema = "shard long, level int, bucket int, flags binary"
-    replies = stored(known.select("shard", "symbol", "number").groupBy("shard").applyInArrow(_told_words, schema), "replies")
-    occurrences = words.agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+    entries = index.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    n = max(1, -(-entries // BUCKET_WORDS))
+    dealt = map_arrow(index.select("shard", "hashes", "words", "langs", "counts"), _deal_words(n), _WORDS)
+    told = stored(dealt.groupBy("bucket").applyInArrow(_sum_words(least), _TOLD), "word-sums")
+    sums = told.where("shard is null")
+    # One number a bucket reaches the driver.
+    starts, occurrences = np.zeros(n, np.int64), 0
+    sizes_of = {r[0]: (r[1], r[2]) for r in sums.select("bucket", F.size("words"), F.aggregate("totals", F.lit(0).cast("long"), lambda a, b: a + b)).collect()}
+    total = 0
+    for bucket in sorted(sizes_of):
+        starts[bucket] = total
+        total, occurrences = total + sizes_of[bucket][0], occurrences + sizes_of[bucket][1]
+    if total >= 1 << 31:
+        raise ValueError("too many frequent words to number")
+    first = spark.createDataFrame([(i, int(x)) for i, x in enumerate(starts)], "bucket int, start long")
+    entry = F.posexplode(F.arrays_zip("words", "langs", "totals")).alias("place", "entry")
+    words = sums.select("bucket", entry).join(F.broadcast(first), "bucket")  # a row per bucket
+    words = stored(words.select((F.col("start") + F.col("place")).cast("int").alias("number"), F.col("entry.langs").alias("lang"), F.col("entry.words").alias("word"), F.col("entry.totals").alias("a")), "frequent-words")
+    pairs = sums.select(F.inline(F.arrays_zip("all_langs", "all_totals")))
+    sizes = pairs.groupBy(F.col("all_langs").alias("lang")).agg(F.sum("all_totals").alias("n"))
+    replies = told.where("shard is not null").select("shard", F.lit(1).alias("level"), "bucket", "flags")
     plan: dict[int, int] = {}
     phrases = spark.createDataFrame([], "size int, key binary, a long")
     # The last two levels are summed together: few n-grams are left, and their counts need not be told.
     steps = [[level] for level in range(2, longest - 1)] + [list(range(max(2, longest - 1), longest + 1))]
     for levels in steps:
         n = max(1, -(-occurrences // BUCKET_ITEMS))
-        dealt = index.select("shard", "bwt", "reverse", F.size("words").alias("n_words")).groupBy("shard").cogroup(replies.groupBy("shard"))
-        items = dealt.applyInArrow(_count(dict(plan), levels, n), _ITEMS)
+        dealt = index.select("shard", "bwt", "reverse", "hashes").groupBy("shard").cogroup(replies.groupBy("shard"))
+        items = dealt.applyInArrow(_count(starts, dict(plan), levels, n), _ITEMS)
         summed = stored(items.groupBy("level", "bucket").applyInArrow(_sum(least), _REPLY), "sums")
         new = stored(map_arrow(summed.where("shard is null").select("level", "ids", "totals"), _rows, "size int, key binary, a long"), "phrases")
         phrases = phrases.unionByName(new)
@@ -369,7 +407,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, best: int
     cut = cut.withColumn("first", F.expr("substring(key, 1, 4 * k)")).withColumn("rest", F.expr("substring(key, 4 * k + 1, 4 * (size - k))"))
     cut = cut.join(known.select(F.col("key").alias("first"), F.col("a").alias("l")), "first").join(known.select(F.col("key").alias("rest"), F.col("a").alias("r")), "rest")
     named = small(stored(words.select(number.alias("word_key"), "lang", "word"), "names"))
-    firsts = named.select(F.col("word_key").alias("head"), "lang").join(F.broadcast(sizes), "lang")
+    firsts = named.select(F.col("word_key").alias("head"), "lang").join(small(stored(sizes, "languages")), "lang")
     cut = cut.withColumn("head", F.expr("substring(key, 1, 4)")).join(firsts, "head")
     weakest = cut.groupBy("key", "a", "size", "lang", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("cut"))
     # A longer phrase with enough of the count implies one that is longer by one word.

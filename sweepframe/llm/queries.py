@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import collocations, decontaminate, language, language_model, licenses, mixing, simhash, token_counts, token_files, topk, toxicity
+from . import collocations, decontaminate, language, language_model, licenses, maxscore, mixing, simhash, token_counts, token_files, topk, toxicity, warc
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,3 +227,52 @@ QUALIFY row_number() OVER w <= 2000"""
 @query("op11_collocations", COLLOCATIONS_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+           min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first FROM pages
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        (CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p"""
+
+
+@query("op12_warc", WARC_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_bundles(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read_bundles(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+MAXSCORE_SQL = r"""WITH terms AS (
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+),
+size AS (SELECT count(*) FILTER (len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM terms),
+tf AS (SELECT d, doc_id, len(t) AS n, unnest(t) AS term FROM terms),
+postings AS (SELECT d, doc_id, n, term, count(*) AS tf FROM tf GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM postings, size GROUP BY term, docs
+),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+scores AS (
+    SELECT item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term), size GROUP BY item_id, d, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 50"""
+
+
+@query("op13_ranked_search", MAXSCORE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.ranked(maxscore.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import zstandard
 
 from .common import _BASE, _INVERSE, mixed
 
+#: Bytes of one text that are worked on at once.
+SECTION = 4 << 20
+
 
 def byte_set(*parts: int | range) -> np.ndarray:
     """A table of 256 booleans, true for the given bytes."""
@@ -41,6 +46,23 @@ def runs(low: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return start, stop, mixed((sums[stop] - sums[start]) * inverse[start])
 
 
+def sections(low: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of a chunk of texts; a single very long text comes in sections that begin at bytes of ``cut``."""
+    if len(low) <= SECTION or len(offsets) > 2:
+        yield low, offsets
+        return
+    begin = 0
+    while begin < len(low):
+        end, found = begin + SECTION, False
+        while end < len(low) and not found:
+            near = np.flatnonzero(cut[low[end : end + SECTION]])
+            found = len(near) > 0
+            end += int(near[0]) if found else SECTION
+        end = min(end, len(low))
+        yield low[begin:end], np.array([0, end - begin])
+        begin = end
+
+
 def stable_order(keys: np.ndarray) -> np.ndarray:
     """Places of non-negative keys below 2^31 in ascending order, equal keys by place."""
     n = len(keys)

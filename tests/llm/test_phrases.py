@@ -48,6 +48,7 @@ def plain(rows, least, longest, best, absorb=100):
 def test_many_shards(spark, tables, monkeypatch, longest, best, absorb):
     monkeypatch.setattr(phrases, "SHARD_WORDS", 3000)
     monkeypatch.setattr(phrases, "BUCKET_ITEMS", 5000)
+    monkeypatch.setattr(phrases, "BUCKET_WORDS", 2000)
     docs = spark.read.parquet(f"{tables}/documents.parquet").repartition(3)
     rows = [(r["text"], r["lang"]) for r in docs.collect()]
     found = phrases.collocations(docs, 6, longest, best, absorb)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +15,7 @@ from sweepframe.operators.context import contexts
 from sweepframe.session import fresh_path
 from sweepframe.sources import text as sources
 from sweepframe.sources.export import record_json
+from sweepframe.sources.filemaps import FileMap, mapped_files
 from sweepframe.sources.files import write_files
 from sweepframe.types import apply_schema, declared_types, infer_schema, merged_schema, record_types, system_type, type_name
 
@@ -281,6 +285,34 @@ def rebuild(spark, sf):
     return built.select("g_index", "logdir", "context.nation", "captured.balance", "status")
 
 
+@add("F3_template_files", """
+WITH f AS (SELECT c_custkey AS g_index, c_name, c_nationkey AS k, n_name, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT g_index, 'in/' || c_name || '.txt' AS target, n_name || ': ' || g_index || ', ' || (g_index * 2 + k) || chr(10) AS text FROM f
+UNION ALL SELECT g_index, 'raw.txt', n_name || ': ${g_index}, ${g_index * 2 + k}' || chr(10) FROM f
+UNION ALL SELECT g_index, 'all/notes/r' || n_regionkey || '/' || r_name || '.md', r_name FROM f JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT g_index, 'copy/deep/' || r_name || '.md', r_name FROM f JOIN region ON r_regionkey = n_regionkey""")
+def template_files(spark, sf):
+    root = fresh_path(spark, "tree")
+    nations, regions = load(spark, sf, "nation"), load(spark, sf, "region")
+    templates = nations.select(
+        F.concat(F.lit("templates/"), "n_nationkey", F.lit(".txt")).alias("path"), F.concat("n_name", F.lit(": ${g_index}, ${g_index * 2 + k}\n")).alias("text")
+    )
+    notes = [
+        regions.select(F.concat(F.lit(folder), "r_regionkey", F.lit(end), "r_name", F.lit(".md")).alias("path"), F.col("r_name").alias("text"))
+        for folder, end in (("notes/r", "/"), ("tree/r", "/deep/"))
+    ]
+    write_files(reduce(DataFrame.unionByName, notes, templates), root)
+    points = load(spark, sf, "customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
+    points = points.select(F.col("c_custkey").alias("g_index"), "c_name", F.col("c_nationkey").alias("k"), "n_regionkey")
+    maps = [
+        FileMap("templates/${k}.txt", "in/${c_name}.txt", template=True),
+        FileMap("./templates/${k}.txt", "raw.txt"),
+        FileMap("notes/r${n_regionkey}/*", "all", mode="glob"),
+        FileMap("tree/r${n_regionkey}", "copy"),
+    ]
+    return mapped_files(points, root, maps)
+
+
 @add("S12_list_files", """
 WITH f AS (SELECT 'r' || n_regionkey || repeat('/.h', CAST(n_nationkey % 3 AS BIGINT)) || '/_' || n_name || '.txt' AS path, length(n_name) AS length, * FROM nation)
 SELECT path, length, 'walk' AS how FROM f WHERE n_regionkey = 2

@@ -8,7 +8,7 @@ from sweepframe import Plot, Study
 from sweepframe.operators import collect as col
 from sweepframe.session import fresh_path
 from sweepframe.sources.export import captured_records, dump_records, write_captured
-from sweepframe.sources.store import load_table, save_table
+from sweepframe.sources.store import StudyStore, load_table, save_table
 from sweepframe.sources.text import parse_records
 
 from .common import CELLS, RAGGED, Registry, cells, cells_sql, load
@@ -16,6 +16,9 @@ from .common import CELLS, RAGGED, Registry, cells, cells_sql, load
 registry = Registry()
 add = registry.add
 
+#: Indices of a part of the stored tables, few so that small tables have several parts.
+PART = 1 << 12
+
 STATUS = "CASE event_type WHEN 'error' THEN 'started' WHEN 'click' THEN 'prepared' WHEN 'signup' THEN 'created' ELSE 'downloaded' END"
 
 
@@ -55,7 +58,9 @@ def by_status(spark, sf):
 
 @add("S4_instance_by_index", f"SELECT event_id AS g_index, 'u' || user_id AS logdir, {STATUS} AS status FROM events WHERE event_id = 42")
 def by_index(spark, sf):
-    return col.by_index(_instances(spark, sf), 42).select("g_index", "logdir", "status")
+    study = Study(spark, root=fresh_path(spark, "study"), width=PART)
+    study.adopt(_instances(spark, sf))
+    return study.instance(42).select("g_index", "logdir", "status")
 
 
 @add("S9_captured_records", """
@@ -102,6 +107,36 @@ def collect(spark, sf):
     return col.collect(old, _instances(spark, sf))
 
 
+@add("U1_partial_upsert", """
+SELECT o_orderkey AS g_index, CASE WHEN o_orderkey % 1000 BETWEEN 100 AND 119 THEN 'new' ELSE o_orderstatus END AS status,
+       CASE WHEN o_orderkey % 1000 BETWEEN 100 AND 119 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders
+UNION ALL SELECT -1 - c_custkey, 'none', c_acctbal FROM customer""")
+def partial_upsert(spark, sf):
+    store = StudyStore(spark, fresh_path(spark, "study"), PART)
+    old = load(spark, sf, "orders").select(F.col("o_orderkey").alias("g_index"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    store.commit(table=store.write("table", old))
+    changed = old.where("g_index % 1000 between 100 and 119").withColumns({"status": F.lit("new"), "price": F.col("price") * 2})
+    added = load(spark, sf, "customer").select((-1 - F.col("c_custkey")).alias("g_index"), F.lit("none").alias("status"), F.col("c_acctbal").alias("price"))
+    for new in (changed, added):
+        store.commit(table=store.upsert("table", new))
+    return store.read("table")
+
+
+@add("U2_partial_collect", f"""
+SELECT event_id AS g_index, user_id, CASE WHEN event_id BETWEEN 50 AND 300 THEN value * 10 ELSE value END AS value
+FROM events WHERE {STATUS} = 'downloaded' OR event_id BETWEEN 50 AND 300""")
+def partial_collect(spark, sf):
+    study = Study(spark, root=fresh_path(spark, "study"), width=PART)
+    study.adopt(_instances(spark, sf))
+    study.collect()
+    again = load(spark, sf, "events").where("event_id between 50 and 300").select(
+        F.col("event_id").alias("g_index"), F.concat(F.lit("u"), "user_id").alias("logdir"), F.lit("downloaded").alias("status"),
+        F.struct(F.col("event_id").alias("g_index"), "user_id", (F.col("value") * 10).alias("value")).alias("captured"),
+    )
+    study.adopt(again)
+    return study.collect()
+
+
 @add("U3_status_counts", f"SELECT {STATUS} AS status, count(*) AS n FROM events GROUP BY ALL")
 def status_counts(spark, sf):
     return col.status_counts(_instances(spark, sf))

@@ -67,3 +67,37 @@ def running_total(
     same = reduce(lambda a, b: a & b, (local[c].eqNullSafe(starts[n]) for c, n in names.items()), F.lit(True))
     joined = local.join(starts, same)
     return joined.withColumn(out, F.col(out) + F.col(start)).drop(start, block, *names.values())
+
+
+def merged_places(values: DataFrame, value: str, thresholds: DataFrame, threshold: str, out: str, per_block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Locate values among more thresholds than one array holds, by one sorted pass over both together.
+
+    Adds to ``values`` the place of ``value``: 2k above the k-th of the sorted distinct ``thresholds``, 2k - 1 on it.
+    The second frame has every threshold with its number ``k`` in ``out``. Both are dealt by ranges whose bounds
+    are a hashed sample of all values, so a range holds about ``per_block`` distinct ones, and a range is counted
+    in its order. Both frames are read twice and should be stored; their values are not null.
+    """
+    both = values.select(F.col(value).alias("_v")).unionByName(thresholds.select(F.col(threshold).alias("_v")))
+    # Equal values share a hash, so that a frequent one is one bound; their number reaches the driver, not they.
+    sampled = both.where(F.pmod(F.xxhash64("_v"), F.lit(per_block)) == 0).distinct()
+    bounds = sampled.agg(F.array_sort(F.collect_list("_v")).alias("_bounds"))
+    limit = sampled.count()
+    events = values.withColumns({"_v": F.col(value), "_is_t": F.lit(0)}).unionByName(
+        thresholds.select(F.col(threshold).alias("_v"), F.lit(1).alias("_is_t")), allowMissingColumns=True
+    )
+    events = events.withColumn("_bounds", bounds.scalar())
+    events = count_not_above(events, F.col("_v"), F.col("_bounds"), max(1, limit), "_range").drop("_bounds")
+    # A threshold comes before the values that equal it.
+    so_far = Window.partitionBy("_range").orderBy("_v", F.desc("_is_t")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumns(
+        {"_k": F.sum("_is_t").over(so_far), "_last": F.max(F.when(F.col("_is_t") == 1, F.col("_v"))).over(so_far)}
+    )
+    totals = counted.groupBy("_range").agg(F.sum("_is_t").alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = totals.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    counted = counted.join(F.broadcast(starts), F.col("_range") == F.col("_r"))
+    number = F.col("_k") + F.col("_start")
+    on_it = F.coalesce(F.col("_last") == F.col("_v"), F.lit(False))
+    placed = counted.where("_is_t = 0").withColumn(out, number * 2 - on_it.cast("long")).select(*values.columns, out)
+    numbered = counted.where("_is_t = 1").select(F.col("_v").alias(threshold), number.alias(out))
+    return placed, numbered

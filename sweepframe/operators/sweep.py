@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..errors import StudyError
 from ..functions.template import expression_types
-from .ranking import count_not_above
+from ..session import fresh_path
+from .ranking import count_not_above, merged_places
 
 MAX_BROADCAST_POINTS = 200_000
 MAX_THRESHOLDS = 2**20
@@ -32,6 +33,8 @@ FEW_KEYS = 200
 Condition = tuple[str | Column, str, str | Column]
 Aggregate = tuple[str, str | Column | None]
 
+#: Digits of the whole numbers.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
 _RANGE_OPERATORS = (">=", ">", "<", "<=")
 _FUNCTIONS = ("count", "sum", "min", "max", "mean")
 
@@ -43,6 +46,12 @@ def _column(value: str | Column) -> Column:
 def _common_type(left: T.DataType, right: T.DataType) -> T.DataType:
     if left == right:
         return left
+    exact = [_DIGITS.get(type(tp), getattr(tp, "precision", None)) for tp in (left, right)]
+    if None not in exact and T.DecimalType in (type(left), type(right)):
+        scales = [getattr(tp, "scale", 0) for tp in (left, right)]
+        whole = max(digits - scale for digits, scale in zip(exact, scales))
+        if whole + max(scales) <= 38:
+            return T.DecimalType(whole + max(scales), max(scales))
     if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
         fractional = (T.DoubleType, T.FloatType, T.DecimalType)
         return T.DoubleType() if isinstance(left, fractional) or isinstance(right, fractional) else T.LongType()
@@ -141,13 +150,22 @@ def sweep(
             rows = rows.join(F.broadcast(points.select(key).distinct()), key, "left_semi")
     for dimension, few in zip(dimensions, found[len(keys) :]):
         dimension.read_thresholds(points, few)
-    oversized = [d for d in dimensions if d.limit > MAX_THRESHOLDS]
-    if oversized:
-        return _in_slices(grid, table, on, aggs, oversized[0])
-    for dimension in dimensions:
+    wide = [d for d in dimensions if d.limit > MAX_THRESHOLDS]
+    narrow = [d for d in dimensions if d not in wide]
+    for dimension in narrow:
         rows = dimension.place_rows(rows)
+    cells = [*keys, *(d.cell for d in narrow)]
+    if wide:
+        # Equal rows become one before they are merged with the thresholds; the table is scanned here and not again.
+        rows = reduce(lambda df, d: d.within_bounds(df), wide, rows)
+        cells = rows.groupBy(*cells, *(d.value.cast(d.type).alias(f"{d.cell}_value") for d in wide)).agg(*partials.first.values())
+        for dimension in wide:
+            cells = dimension.merge_rows(cells)
+        cells = cells.groupBy(*keys, *(d.cell for d in dimensions)).agg(*partials.again.values())
+    else:
+        cells = rows.groupBy(*cells).agg(*partials.first.values())
+    for dimension in dimensions:
         points = dimension.place_points(points)
-    cells = rows.groupBy(*keys, *(d.cell for d in dimensions)).agg(*partials.first.values())
     for number, dimension in enumerate(dimensions, 1):
         points = dimension.split_points(points)
         asked = points.select(*keys, *(d.cell for d in dimensions[:number])).distinct()
@@ -229,6 +247,7 @@ class _Dimension:
         self.distinct = points.select(
             F.explode(F.array(*(F.col(n).cast(self.type) for n in self.names))).alias("_t")
         ).where(F.col("_t").isNotNull()).distinct()
+        self.numbered = None
         self.limit = self.distinct.count() if few is None else len(few)
         self.places = 2 * self.limit + 1
         self.levels = self.places.bit_length()
@@ -255,15 +274,36 @@ class _Dimension:
         place = F.col("_below") * 2 - F.when((F.col("_below") > 0) & on_threshold, 1).otherwise(0)
         return placed.withColumn(self.cell, place).drop("_sorted", "_below")
 
+    def within_bounds(self, rows: DataFrame) -> DataFrame:
+        """Rows between the outer thresholds, which become literals, so that the scan can skip the others."""
+        value = self.value.cast(self.type)
+        self.distinct = _stored(self.distinct, "thresholds")
+        ends = self.distinct.agg(*(_as_text(end("_t"), self.type).alias(name) for name, end in (("low", F.min), ("high", F.max)))).first()
+        operators = {op for _, op, _ in self.conditions}
+        rows = rows.where(value.isNotNull())
+        if operators & {">", ">="}:
+            rows = rows.where(value >= _from_text(F.lit(ends["low"]), self.type))
+        if operators & {"<", "<="}:
+            rows = rows.where(value <= _from_text(F.lit(ends["high"]), self.type))
+        return rows
+
+    def merge_rows(self, cells: DataFrame) -> DataFrame:
+        """Replace values by their places among more thresholds than one array holds."""
+        placed, self.numbered = merged_places(_stored(cells, "values"), f"{self.cell}_value", self.distinct, "_t", self.cell)
+        return placed.drop(f"{self.cell}_value")
+
     def place_points(self, points: DataFrame) -> DataFrame:
         """Turn the thresholds of every point into a run ``[from, to)`` of places."""
         lows, highs = [F.lit(0)], [F.lit(self.places)]
         for name, (_, op, _) in zip(self.names, self.conditions):
             threshold = F.col(name).cast(self.type)
             if self.few is not None:
-                rank = F.array_position(self._literals(), threshold).cast("int")
+                rank = F.array_position(self._literals(), threshold).cast("int" if self.numbered is None else "long")
             else:
-                ranks = self.distinct.select("_t", F.row_number().over(Window.orderBy("_t")).alias(f"_r{name}"))
+                if self.numbered is None:
+                    ranks = self.distinct.select("_t", F.row_number().over(Window.orderBy("_t")).alias(f"_r{name}"))
+                else:
+                    ranks = self.numbered.select("_t", F.col(self.cell).alias(f"_r{name}"))  # long, like the rows' places
                 points = points.join(ranks, threshold == F.col("_t"), "left").drop("_t")
                 rank = F.col(f"_r{name}")
             place = rank * 2 - (1 if op in (">=", "<") else 0)
@@ -304,19 +344,8 @@ class _Dimension:
         return points.withColumn(self.cell, F.explode(F.when(low < high, tiles))).drop(*self.ends)
 
 
-def _in_slices(grid, table, on, aggs, dimension: _Dimension) -> DataFrame:
-    """Sweep by slices of the grid when one scan cannot carry all its thresholds.
-
-    Slices are cut by the threshold with the most distinct values, so each holds
-    fewer of those, and a slice that still has too many is cut again.
-    """
-    columns = [right for _, _, right in dimension.conditions]
-    counts = grid.agg(*(F.countDistinct(c).alias(f"_{i}") for i, c in enumerate(columns))).first()
-    widest = max(range(len(columns)), key=lambda i: counts[i])
-    parts = -(-counts[widest] * 2 * len(columns) // MAX_THRESHOLDS)
-    # Seeded apart from the hash a nested cut uses, so that one splits again.
-    slice_of = F.pmod(F.xxhash64(columns[widest], F.lit(counts[widest])), F.lit(parts))
-    return reduce(
-        DataFrame.unionByName,
-        (sweep(grid.where(slice_of == part), table, on, aggs) for part in range(parts)),
-    )
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """Written once to the shared folder, as it is read more than once."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

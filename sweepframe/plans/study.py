@@ -27,7 +27,7 @@ from ..operators.context import (
 from ..operators.grid import Space
 from ..operators.sweep import Aggregate, Condition, sweep
 from ..sources import export
-from ..sources.store import StudyStore, load_table
+from ..sources.store import KEEP, WIDTH, StudyStore, load_table
 from ..types import declared_types, writable
 from .series import FIXED, Plot, SeriesQuery
 
@@ -36,7 +36,8 @@ class Study:
     """Axes, what is derived from them, what to run, what to capture, what to plot.
 
     ``root`` is a folder all executors reach; only the methods that store results
-    need it.
+    need it. Its tables are kept in parts of ``width`` indices, and the last ``keep``
+    states of the study stay readable (all of them if None).
     """
 
     def __init__(
@@ -54,6 +55,8 @@ class Study:
         plots: Sequence[Plot] = (),
         root: str | None = None,
         sourcedir: str | None = None,
+        width: int = WIDTH,
+        keep: int | None = KEEP,
     ):
         self.spark = spark
         self.space = Space(axes)
@@ -68,7 +71,7 @@ class Study:
         self.types = declared_types(types or {})
         self.plots = list(plots)
         self.sourcedir = sourcedir if sourcedir is not None else os.getcwd()
-        self._store = StudyStore(spark, root) if root is not None else None
+        self._store = StudyStore(spark, root, width, keep) if root is not None else None
 
     # --- grid ------------------------------------------------------------------------------
 
@@ -129,11 +132,13 @@ class Study:
         captured = self.result_schema()
         return instances(context_rows).withColumn("captured", F.lit(None).cast(captured))
 
+    def adopt(self, rows: DataFrame) -> DataFrame:
+        """Store instances that were made elsewhere, such as those of a rebuilt tree; equal indices are replaced."""
+        return self._put_instances(rows, has_collected=False, has_plotted=False)
+
     def _put_instances(self, rows: DataFrame, **changes: Any) -> DataFrame:
-        old = self.store.read("instances")
-        path = self.store.write("instances", rows if old is None else collecting.upsert(old, rows))
-        self.store.commit(instances=path, **changes)
-        return self.spark.read.parquet(path)
+        self.store.commit(instances=self.store.upsert("instances", rows), **changes)
+        return self.store.read("instances")
 
     def run(self) -> DataFrame:
         """Run the steps at every grid point and store what they wrote and captured.
@@ -167,11 +172,7 @@ class Study:
         self.store.commit(phase="started")
         # Steps may be slow or unrepeatable: their records are written before use.
         new_logs = running.map_instances(context_rows, self.steps)
-        old_logs = self.store.read("logs")
-        if old_logs is not None:
-            replaced = old_logs.join(context_rows.select("g_index"), "g_index", "left_anti")
-            new_logs = replaced.unionByName(new_logs)
-        self.store.commit(logs=self.store.write("logs", new_logs), phase="finished")
+        self.store.commit(logs=self.store.upsert("logs", new_logs), phase="finished")
         return self._capture(context_rows)
 
     def _capture(self, context_rows: DataFrame) -> DataFrame:
@@ -211,32 +212,49 @@ class Study:
         rows = self.store.read("instances")
         if rows is None:
             rows = self._created(self.contexts()).limit(0)
+        return collecting.with_status(self._as_far_as_run(rows), statuses)
+
+    def _as_far_as_run(self, rows: DataFrame) -> DataFrame:
         points = self.store.read("running")
         if points is not None:
             # A run that has not ended, or died: its points are as far as it came.
             at = points.select("g_index", F.lit(self.store.state()["phase"]).alias("_phase"))
             rows = rows.join(at, "g_index", "left")
             rows = rows.withColumn("status", F.coalesce("_phase", "status")).drop("_phase")
-        return collecting.with_status(rows, statuses)
+        return rows
 
     def instance(self, index: int) -> DataFrame:
-        return collecting.by_index(self.instances(), index)
+        """One instance; only the part of the table that can hold it is read."""
+        rows = self.store.lookup("instances", index)
+        return collecting.by_index(self.instances(), index) if rows is None else self._as_far_as_run(rows)
 
     def load_table(self) -> DataFrame:
         """The collected table; before collecting, 0 rows of the types it will have."""
-        state = self.store.state()
-        if state["has_collected"]:
-            return load_table(self.spark, state["table"])
+        if self.store.state()["has_collected"]:
+            return self.store.read("table")
         known = self.store.read("instances")
         schema = self.result_schema() if known is None else known.schema["captured"].dataType
         return load_table(self.spark, None, schema)
 
     def collect(self) -> DataFrame:
-        """Upsert all finished instances into the collected table, in index order."""
-        old = self.load_table()
-        path = self.store.write("table", collecting.collect(old, self.instances("downloaded")))
-        self.store.commit(table=path, has_collected=True)
-        return self.spark.read.parquet(path)
+        """Upsert all finished instances into the collected table, each part in index order.
+
+        Parts whose instances are those of the last time are left as they are.
+        """
+        stored = self.store.parts("instances")
+        sources = {} if stored is None else stored.paths
+        table = self.store.parts("table")
+        known = {} if table is None else table.sources
+        changed = [k for k, path in sources.items() if known.get(k) != path]
+        if changed or table is None:
+            # What was collected before a new run does not count: the parts that it changed are made anew.
+            fresh = [] if self.store.state()["has_collected"] else changed
+            rows = None if stored is None else self.store.read("instances", changed)
+            rows = self.load_table() if rows is None else collecting.captured_rows(self._as_far_as_run(rows))
+            self.store.commit(table=self.store.upsert("table", rows, fresh, sources), has_collected=True)
+        elif not self.store.state()["has_collected"]:
+            self.store.commit(has_collected=True)
+        return self.store.read("table")
 
     def series(self, plot: Plot) -> SeriesQuery:
         return SeriesQuery(plot, self.space, self.load_table(), self.constants, self.evaluables)
@@ -272,8 +290,13 @@ class Study:
         return {**found, "has_collected": state["has_collected"], "has_plotted": state["has_plotted"]}
 
     def clear(self) -> None:
-        """Forget instances and collected table; earlier versions stay on disk."""
+        """Forget instances and collected table, and delete all that was stored of them."""
         self.store.commit(instances=None, logs=None, table=None, running=None, phase=None, has_collected=False, has_plotted=False)
+        self.store.clean(1)
+
+    def clean(self, keep: int = 1) -> None:
+        """Delete what none of the last ``keep`` states of the study needs."""
+        self.store.clean(keep)
 
     def clear_table(self) -> None:
         self.store.commit(table=None, has_collected=False)

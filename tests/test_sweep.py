@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import bisect
 import random
+from decimal import Decimal
 
 import pytest
 from compare import rows
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from sweepframe import Space, StudyError, sweep
 from sweepframe.operators import sweep as sweep_module
 from sweepframe.operators.context import contexts
+from sweepframe.operators.ranking import merged_places
 
 OPS = {
     "=": lambda a, b: a == b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b,
@@ -42,14 +45,14 @@ CASES = [
 ]
 
 
-# Settings: places listed one by one, thresholds in one scan, broadcast points, literal thresholds.
-SMALL, LARGE, SLICED, BLOCKS = (256, 2**20, 10**5, 1000), (0, 2**20, 0, 2), (0, 6, 0, 2), (0, 2**20, 10**5, 1000)
+# Settings: places listed one by one, thresholds in one array, broadcast points, literal thresholds.
+SMALL, LARGE, MERGED, BLOCKS = (256, 2**20, 10**5, 1000), (0, 2**20, 0, 2), (0, 6, 0, 2), (0, 2**20, 10**5, 1000)
 
 
 @pytest.mark.parametrize(
     "case,few,limit,broadcast,literals",
     [(case, *s) for s in (SMALL, LARGE) for case in range(len(CASES))]
-    + [(case, *s) for s in (SLICED, BLOCKS) for case in (1, 3)],
+    + [(case, *s) for s in (MERGED, BLOCKS) for case in (1, 3)],
 )
 def test_same_as_brute_force(spark, monkeypatch, case, few, limit, broadcast, literals):
     monkeypatch.setattr(sweep_module, "FEW_PLACES", few)
@@ -112,3 +115,53 @@ def test_repeated_hours_and_signed_zeros(spark, monkeypatch, literals):
     for op, n in ((">", 1), (">=", 3), ("=", 2)):
         found = sweep(grid, table, [("x", op, "lo")], {"n": ("count", None)})
         assert rows(found.select("g_index", "n"), "g_index") == [(0, n), (1, n)]
+
+
+@pytest.mark.parametrize("per_block", [1, 3, 1000])
+@pytest.mark.parametrize("kind", ["double", "string", "decimal(20,3)", "timestamp"])
+def test_merged_places(spark, per_block, kind):
+    rng = random.Random(per_block)
+    values = spark.createDataFrame([(i, rng.randrange(40)) for i in range(300)] + [(400, 5)] * 50, "i long, v int")
+    values = values.withColumn("v", F.col("v").cast("long").cast(kind))
+    thresholds = values.sparkSession.createDataFrame([(t,) for t in (0, 3, 5, 11, 12, 30, 55)], "t int").select(F.col("t").cast("long").cast(kind).alias("t"))
+    placed, numbered = merged_places(values, "v", thresholds, "t", "place", per_block)
+    known = sorted(r["t"] for r in thresholds.collect())
+    assert rows(numbered, "place") == [(t, k) for k, t in enumerate(known, 1)]
+    for row in placed.collect():
+        k = bisect.bisect_right(known, row["v"])
+        assert row["place"] == 2 * k - (k > 0 and known[k - 1] == row["v"])
+    assert placed.count() == values.count()
+    empty, all_of = merged_places(values.where("false"), "v", thresholds, "t", "place", per_block)
+    assert empty.count() == 0 and all_of.count() == 7
+
+
+def test_one_scan_for_millions_of_thresholds(spark, tables):
+    n = 5_000_000
+    table = spark.read.parquet(f"{tables}/lineitem.parquet").select((F.col("l_extendedprice") * 100 % n).alias("x"), "l_quantity")
+    scanned = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        scanned.add(1)
+        return x
+
+    rows_of = table.count()
+    grid = spark.range(n).select(F.col("id").alias("g_index"), F.col("id").cast("double").alias("lo"))
+    found = sweep(grid, table.withColumn("x", seen.asNondeterministic()("x")), [("x", ">=", "lo"), ("x", "<", "lo + 1")], {"n": ("count", None), "q": ("sum", "l_quantity")}, n)
+    assert scanned.value == rows_of
+    totals = found.agg(F.count("*"), F.sum("n"), F.sum("q"), F.sum(F.when(F.col("n") > 0, 1))).first()
+    wanted = table.agg(F.count("*"), F.sum("l_quantity"), F.countDistinct(F.floor("x"))).first()
+    assert totals == (n, *wanted) and scanned.value == rows_of
+
+
+def test_decimals_are_compared_exactly(spark):
+    grid = spark.createDataFrame([(0, Decimal("0.10000000000000000001")), (1, Decimal("0.1"))], "g_index long, lo decimal(30,20)")
+    table = spark.createDataFrame([(Decimal("0.1"),), (Decimal("123456789012345.1"),)], "x decimal(18,1)")
+    for limit, literals in ((2**20, 1000), (2**20, 0), (0, 0)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(sweep_module, "MAX_THRESHOLDS", limit)
+            patch.setattr(sweep_module, "MAX_LITERALS", literals)
+            found = sweep(grid, table, [("x", ">=", "lo")], {"n": ("count", None)})
+            assert rows(found.select("g_index", "n"), "g_index") == [(0, 1), (1, 2)]
+            found = sweep(grid, table, [("x", "=", "lo")], {"n": ("count", None)})
+            assert rows(found.select("g_index", "n"), "g_index") == [(0, 0), (1, 1)]

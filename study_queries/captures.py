@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sweepframe import Axis, Capture, Space, sweep
+from sweepframe import Axis, Capture, Space, Step, Study, sweep
 from sweepframe.operators import capture as cap
 from sweepframe.operators.collect import upsert
 from sweepframe.operators.context import contexts
@@ -253,6 +253,69 @@ def info_lines(spark, sf):
     return sources.parse_info(load(spark, sf, "events").select("user_id", "event_id", line.alias("line")), ["user_id"], "event_id")
 
 
+@add("S6_info_tree", """
+WITH l AS (SELECT conv_id, turn, 'g_walltime_' || role AS key, CAST(length(text) AS VARCHAR) AS value FROM conversations
+           UNION ALL SELECT conv_id, turn, 'note', role || '=' || turn FROM conversations)
+SELECT 'c' || conv_id AS logdir, key, max_by(value, turn) AS value FROM l GROUP BY ALL""")
+def info_tree(spark, sf):
+    root = fresh_path(spark, "tree")
+    length = F.length("text").cast("string")
+    line = F.concat(F.lit("g_walltime_"), "role", F.lit("="), length, F.lit("\nnote="), "role", F.lit("="), "turn")
+    texts = load(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    path = F.concat(F.lit("c"), "conv_id", F.lit("/records/info.txt"))
+    write_files(texts.select(path.alias("path"), F.array_join("l.line", "\n").alias("text")), root)
+    return sources.read_info(spark, root)
+
+
+@add("S7_inferred_records", """
+SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS DOUBLE) ELSE event_id + 0.5 END AS number,
+       CASE WHEN event_id % 3 = 0 THEN event_type END AS kind, 'other' || event_id AS extra FROM events""")
+def inferred_records(spark, sf):
+    rows = load(spark, sf, "events")
+    fields = [F.concat(F.lit('{"event_id":'), "event_id", F.lit(',"user_id":'), "user_id", F.lit(',"number":'), "event_id")]
+    fields += [F.when(F.col("event_id") % 2 == 0, "").otherwise(".5"), F.expr("""if(event_id % 3 = 0, concat(',"kind":"', event_type, '"'), '')""")]
+    texts = rows.select(F.concat(*fields, F.lit("}")).alias("json"))
+    parsed = sources.parse_records(texts, "json").select("record.*")
+    # Keys that a given schema does not name are kept when asked for.
+    more = rows.select("event_id", F.concat(F.lit('{"event_id":'), "event_id", F.lit(',"extra":"other'), "event_id", F.lit('"}')).alias("json"))
+    kept = sources.parse_records(more, "json", "event_id long", undeclared="keep")
+    return parsed.join(kept.select("event_id", F.col("record_undeclared")["extra"].alias("extra")), "event_id")
+
+
+@add("S8_rebuilt_study", """
+SELECT s_suppkey AS g_index, s_nationkey AS nation, s_acctbal AS balance, CAST(s_nationkey AS DOUBLE) / 2 AS g_walltime_run, 's' || s_nationkey AS note
+FROM supplier WHERE s_nationkey % 3 <> 1""")
+def rebuilt_study(spark, sf):
+    root = fresh_path(spark, "tree")
+    rows = load(spark, sf, "supplier").withColumn("dir", F.concat(F.lit("s"), "s_suppkey"))
+    context = F.to_json(F.struct(F.col("s_suppkey").alias("g_index"), F.col("dir").alias("g_logdir"), F.col("s_nationkey").alias("nation")))
+    info = F.concat(F.lit("g_walltime_run="), F.col("s_nationkey") / 2, F.lit("\nnote=s"), "s_nationkey")
+    status = F.when(F.col("s_nationkey") % 3 == 1, "started").otherwise("Downloaded\n")
+    texts = {"context.json": context, "captured.json": F.to_json(F.struct(F.col("s_acctbal").alias("balance"))), "info.txt": info, "status.txt": status}
+    files = rows.select("dir", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in texts.items()))))
+    write_files(files.select(F.concat("dir", F.lit("/records/"), "name").alias("path"), "text"), root)
+    study = Study(spark, root=fresh_path(spark, "study"))
+    study.rebuild(root)
+    return study.collect().select("g_index", "nation", "balance", "g_walltime_run", "note")
+
+
+@add("C11_study_recapture", """
+SELECT s_suppkey AS g_index, s_suppkey * 3 AS k, s_suppkey * 6 AS twice FROM supplier WHERE s_suppkey BETWEEN 1 AND 40""")
+def study_recapture(spark, sf):
+    numbers = sorted(row[0] for row in load(spark, sf, "supplier").where("s_suppkey between 1 and 40").select("s_suppkey").collect())
+    root = fresh_path(spark, "study")
+    steps = [Step("say", lambda context: f"k={context['n'] * 3}\ntwice={context['n'] * 6}")]
+    simple = [Capture.simple("integer", name, name) for name in ("k", "twice")]
+    study = Study(spark, {"n": numbers}, steps=steps, captures=simple[:1], root=root)
+    study.run()
+    study.collect()
+    # Other captures over the texts that were kept, twice over.
+    again = Study(spark, {"n": numbers}, steps=steps, captures=simple, root=root)
+    again.capture()
+    again.capture()
+    return again.collect().select(F.col("n").alias("g_index"), "k", "twice")
+
+
 @add("S7_json_records", "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice, o_orderstatus FROM orders")
 def json_records(spark, sf):
     rows = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 BLOCK = 2**16
 
 
@@ -35,28 +37,40 @@ def running_total(
     weight: str,
     out: str,
     ties: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the sum of ``weight`` over the earlier rows of the same key.
 
     ``order`` lists the sort columns with a bound on the number of values each
-    can take under one prefix of the others, or None where only few are expected
-    and no bound is known. No window holds more rows than such a bound or
-    ``BLOCK``: a longer order is summed level by level, the totals of one level
-    being the weights of the next. ``ties`` order what is equal in ``order``.
+    can take under one prefix of the others, or None where no bound is known.
+    No window holds more rows than such a bound or about ``BLOCK``: a longer order is
+    summed level by level, the totals of one level being the weights of the next.
+    From the first column without a bound on, values are cut into blocks by a hashed
+    sample of them, ties included, unless a key is declared to have at most ``rows``
+    rows and those are few; ``df`` is stored for it. ``ties`` order what is equal in ``order``.
     """
-    whole = all(bound is not None for _, bound in order) and math.prod(bound for _, bound in order) <= BLOCK
-    if whole or (len(order) == 1 and order[0][1] is None):
-        before = Window.partitionBy(*keys).orderBy(*([*(c for c, _ in order), *ties] or [F.lit(0)]))
-        return df.withColumn(out, F.sum(weight).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
-
-    *outer, (last, bound) = order
-    inner = bound
-    block = f"{last}_block"
-    if bound is not None and bound > BLOCK:
-        df = df.withColumn(block, F.expr(f"`{last}` div {BLOCK}"))
-        outer, inner = [*outer, (block, bound // BLOCK + 1)], BLOCK
+    bounds = [bound for _, bound in order]
+    if None in bounds:
+        whole = rows is not None and rows <= BLOCK
+    else:
+        whole = math.prod(bounds) <= BLOCK
+    if whole:
+        return _window_total(df, keys, [*(c for c, _ in order), *ties], weight, out)
+
+    if None in bounds:
+        first = bounds.index(None)
+        sorted_by = [*(c for c, _ in order[first:]), *ties]
+        df, block, limit = _blocks(df, sorted_by, out)
+        outer = [*order[:first], (block, limit)]
+        local = _window_total(df, [*keys, *(c for c, _ in outer)], sorted_by, weight, out)
+    else:
+        *outer, (last, inner) = order
+        block = f"{last}_block"
+        if inner > BLOCK:
+            df = df.withColumn(block, F.expr(f"`{last}` div {BLOCK}"))
+            outer, inner = [*outer, (block, inner // BLOCK + 1)], BLOCK
+        local = running_total(df, [*keys, *(c for c, _ in outer)], [(last, inner)], weight, out, ties)
     prefix = [c for c, _ in outer]
-    local = running_total(df, [*keys, *prefix], [(last, inner)], weight, out, ties)
     # Read off the windowed rows, so both sides share one shuffle.
     totals = local.groupBy(*keys, *prefix).agg(F.max(F.col(out) + F.col(weight)).alias("_weight"))
     start = f"{out}_start"
@@ -69,6 +83,24 @@ def running_total(
     return joined.withColumn(out, F.col(out) + F.col(start)).drop(start, block, *names.values())
 
 
+def _window_total(df: DataFrame, keys: Sequence[str], sorted_by: Sequence[str], weight: str, out: str) -> DataFrame:
+    before = Window.partitionBy(*keys).orderBy(*(sorted_by or [F.lit(0)]))
+    return df.withColumn(out, F.sum(weight).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight))
+
+
+def _blocks(df: DataFrame, sorted_by: Sequence[str], out: str) -> tuple[DataFrame, str, int]:
+    """Number blocks of about ``BLOCK`` distinct values in their order; gives the column and how many there are."""
+    path = fresh_path(df.sparkSession, "ordered")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    value, block = F.struct(*sorted_by), f"{out}_block"
+    sampled = df.where(F.pmod(F.xxhash64(*sorted_by), F.lit(BLOCK)) == 0).select(value.alias("_v")).distinct()
+    limit = sampled.count()
+    bounds = sampled.agg(F.array_sort(F.collect_list("_v")).alias("_b"))
+    df = count_not_above(df.withColumn("_bounds", bounds.scalar()), value, F.col("_bounds"), max(1, limit), block)
+    return df.drop("_bounds"), block, limit + 1
+
+
 def merged_places(values: DataFrame, value: str, thresholds: DataFrame, threshold: str, out: str, per_block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Locate values among more thresholds than one array holds, by one sorted pass over both together.
 

@@ -208,7 +208,9 @@ class SeriesQuery:
             rows = rows.withColumn("_n", F.coalesce(F.size("_y"), F.lit(0)).cast("long"))
         else:
             rows = rows.withColumn("_n", F.lit(1).cast("long"))
-        rows = running_total(rows, [*(f"_key_{k}" for k in keys), "yaxis"], ranks, "_n", "_before", [c for c in rows.columns if c.startswith("_tie_")])
+        ties = [c for c in rows.columns if c.startswith("_tie_")]
+        most = self.space.size(*(a for a in self.space if a not in keys))
+        rows = running_total(rows, [*(f"_key_{k}" for k in keys), "yaxis"], ranks, "_n", "_before", ties, most)
         if self.lists:
             zipped = F.arrays_zip("_y", "_x") if self.xaxis else F.arrays_zip("_y")
             rows = rows.select("*", F.posexplode(zipped).alias("_at", "_point"))

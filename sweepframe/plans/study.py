@@ -26,10 +26,19 @@ from ..operators.context import (
 )
 from ..operators.grid import Space
 from ..operators.sweep import Aggregate, Condition, sweep
-from ..sources import export
+from ..session import released
+from ..sources import export, text
+from ..sources.filemaps import FileMap, mapped_files
+from ..sources.files import write_files
 from ..sources.store import KEEP, WIDTH, StudyStore, load_table
-from ..types import declared_types, writable
-from .series import FIXED, Plot, SeriesQuery
+from ..types import declared_types, system_type, writable
+from . import written
+from .series import Plot, SeriesQuery
+
+#: Most distinct keys of info files, as each is a column.
+MAX_INFO_KEYS = 2000
+#: Most distinct names of steps.
+MAX_COMMANDS = 2000
 
 
 class Study:
@@ -114,7 +123,10 @@ class Study:
         """Names of the steps; looked up in the logs if they depend on the context."""
         if not callable(self.steps):
             return [step.name for step in self.steps]
-        return sorted(row[0] for row in logs.select("command").distinct().collect())
+        found = logs.select("command").distinct().limit(MAX_COMMANDS + 1).collect()
+        if len(found) > MAX_COMMANDS:
+            raise StudyError(f"more than {MAX_COMMANDS} distinct commands, each of which would be a column")
+        return sorted(row[0] for row in found)
 
     def captured(self, context_rows: DataFrame, logs: DataFrame) -> DataFrame:
         """Whole result rows: context, then run metadata, then captures over them."""
@@ -136,6 +148,37 @@ class Study:
         """Store instances that were made elsewhere, such as those of a rebuilt tree; equal indices are replaced."""
         return self._put_instances(rows, has_collected=False, has_plotted=False)
 
+    def rebuild(self, folder: str, book: str = text.BOOK, info: str | None = text.INFO_FILE) -> DataFrame:
+        """Store the instances of a storage tree: contexts, captured records and info lines, typed by what they hold.
+
+        The study's declared types come first, then those of system columns, then those merged over the tree; info lines
+        that are neither declared nor system columns stay text. Records are whole, so info lines go over captured
+        values, and those over the context. Points without a captured record have none.
+        """
+        with released(self.spark):
+            rows = text.rebuild_instances(self.spark, folder, text.INFER, text.INFER, book)
+            parts = [("context", rows.schema["context"].dataType), ("captured", rows.schema["captured"].dataType)]
+            if info is not None:
+                lines = text.read_info(self.spark, folder, info, book)
+                keys = sorted(row[0] for row in lines.select("key").distinct().limit(MAX_INFO_KEYS + 1).collect())
+                if len(keys) > MAX_INFO_KEYS:
+                    raise StudyError(f"info files with more than {MAX_INFO_KEYS} keys")
+                values = [F.max(F.when(F.col("key") == k, F.col("value"))).cast(self.types.get(k) or system_type(k) or "string").alias(k) for k in keys]
+                if values:
+                    told = lines.groupBy("logdir").agg(*values).select("logdir", F.struct(*keys).alias("_info"))
+                    rows = rows.join(told, "logdir", "left")
+                    parts.append(("_info", rows.schema["_info"].dataType))
+            fields: dict[str, tuple[Any, Any]] = {}
+            for column, struct in parts:
+                for field in struct:
+                    value = F.col(column)[field.name]
+                    earlier = fields.get(field.name)
+                    if earlier is not None and earlier[1] == field.dataType:
+                        value = F.coalesce(value, earlier[0])
+                    fields[field.name] = value, field.dataType
+            whole = F.struct(*(value.cast(self.types.get(k, tp)).alias(k) for k, (value, tp) in fields.items()))
+            return self.adopt(rows.withColumn("captured", F.when(F.col("captured").isNotNull(), whole)).drop("_info"))
+
     def _put_instances(self, rows: DataFrame, **changes: Any) -> DataFrame:
         self.store.commit(instances=self.store.upsert("instances", rows), **changes)
         return self.store.read("instances")
@@ -151,15 +194,16 @@ class Study:
     def run_sweep(self, table: DataFrame, on: Sequence[Condition], aggs: Mapping[str, Aggregate]) -> DataFrame:
         """Sweep a table and store the result of every grid point as a finished instance."""
         context_rows = self.contexts()
-        rows = sweep(context_rows, table, on, aggs, grid_size=self.space.full_size())
-        done = rows.select(
-            "g_index",
-            F.col("g_logdir").alias("logdir"),
-            F.struct(*context_rows.columns).alias("context"),
-            F.struct(*rows.columns).alias("captured"),
-            F.lit("downloaded").alias("status"),
-        )
-        return self._put_instances(done, has_collected=False, has_plotted=False)
+        with released(self.spark):
+            rows = sweep(context_rows, table, on, aggs, grid_size=self.space.full_size())
+            done = rows.select(
+                "g_index",
+                F.col("g_logdir").alias("logdir"),
+                F.struct(*context_rows.columns).alias("context"),
+                F.struct(*rows.columns).alias("captured"),
+                F.lit("downloaded").alias("status"),
+            )
+            return self.adopt(done)
 
     def run_single(self, index: int = 0, **values: Any) -> DataFrame:
         """Run the steps at one explicitly given point."""
@@ -266,17 +310,25 @@ class Study:
         return queries
 
     def write_plots(self, folder: str) -> list[str]:
-        """Write the wide table of every plot and combination of its fixed axes; returns their paths.
+        """Write the points of every plot and combination of its fixed axes; returns their paths.
 
-        Each goes to a CSV folder named by the plot's rendered file name, by a job of its own.
+        Each goes to a CSV folder named by the plot's rendered file name, wide where it has at most ``MAX_SERIES``
+        series, else one line per point. All of them are written by one job, in parts of bounded length.
         """
-        paths = []
-        for query in self.plot():
-            keys = query.of_kind(FIXED)
-            for row in query.plots().toLocalIterator():
-                paths.append(f"{folder.rstrip('/')}/{row['filename']}.csv")
-                export.write_csv(query.wide(**{k: row[k] for k in keys}), paths[-1])
-        return paths
+        queries = self.plot()
+        with released(self.spark):
+            return written.write_plots(self.spark, queries, folder)
+
+    def documents(self, files: Sequence[FileMap], ignore_missing: bool = False) -> DataFrame:
+        """``(g_index, target, text)`` of the files that every grid point gets from the source folder."""
+        return mapped_files(self.contexts(), self.sourcedir, files, ignore_missing)
+
+    def write_documents(self, files: Sequence[FileMap], folder: str, ignore_missing: bool = False) -> None:
+        """Write them to ``folder/<logdir>/<target>``."""
+        with released(self.spark):
+            logdirs = self.contexts().select("g_index", "g_logdir")
+            found = self.documents(files, ignore_missing).join(logdirs, "g_index")
+            write_files(found.select(F.concat_ws("/", "g_logdir", "target").alias("path"), "text"), folder)
 
     def dump(self, path: str) -> None:
         export.write_dump(self.load_table(), path)

@@ -18,6 +18,8 @@ ANSI_KEY = "spark.sql.ansi.enabled"
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+#: Scratch paths to be deleted, one list for every open :func:`released`.
+_held: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has been written to."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    if _held:
+        _held[-1].append(path)
+    return path
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables that are made inside, at its end; what is kept must be stored elsewhere by then."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for path in _held.pop():
+            name = spark._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
 
 
 @contextmanager

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import StudyError
 from ..functions.regex import to_java
+from ..session import fresh_path
+from ..types import infer_schema, writable
 from .files import read_files, walk
 
 # Defaults for the folder a run keeps its records in, and the key=value file in it.
@@ -55,9 +58,35 @@ def read_info(
     return parse_info(lines.where(F.length("line") > 0), ["logdir"], "line_no")
 
 
-def parse_records(df: DataFrame, column: str, schema: T.StructType | str, out: str = "record") -> DataFrame:
-    """Parse a column of JSON records into a struct of known type."""
-    return df.withColumn(out, F.from_json(column, schema, {"mode": "FAILFAST"}))
+#: What becomes of keys of records that the schema does not name.
+UNDECLARED = ("refuse", "keep", "drop")
+#: In place of a schema: the types of all records, merged.
+INFER = "infer"
+
+
+def parse_records(df: DataFrame, column: str, schema: T.StructType | str = INFER, out: str = "record", undeclared: str = "refuse") -> DataFrame:
+    """Parse a column of JSON records into a struct; its types are given or merged over all records.
+
+    A key that the schema does not name stops the job, or is kept as text in the map ``<out>_undeclared``, or dropped.
+    """
+    if undeclared not in UNDECLARED:
+        raise StudyError(f"unknown treatment of keys {undeclared!r}, expected one of {UNDECLARED}")
+    if isinstance(schema, str) and schema == INFER:
+        schema = infer_schema(df, column)
+        schema = T.StructType([T.StructField(f.name, writable(f.dataType)) for f in schema])
+        if not len(schema):
+            return df.withColumn(out, F.lit(None).cast(schema))
+    elif isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    parsed = F.from_json(column, schema, {"mode": "FAILFAST"})
+    others = F.array_except(F.json_object_keys(column), F.array(*map(F.lit, schema.names)).cast("array<string>"))
+    if undeclared == "refuse":
+        message = F.concat(F.lit("undeclared keys in a record: "), F.array_join(others, ", "))
+        parsed = F.when(F.size(others) > 0, F.raise_error(message).cast(schema)).otherwise(parsed)
+    elif undeclared == "keep":
+        whole = F.from_json(column, "map<string,string>", {"mode": "FAILFAST"})
+        df = df.withColumn(f"{out}_undeclared", F.map_filter(whole, lambda key, _: F.array_contains(others, key)))
+    return df.withColumn(out, parsed)
 
 
 def read_records(
@@ -77,13 +106,14 @@ def _records(files: DataFrame, root: str, filename: str, book: str) -> DataFrame
 def rebuild_instances(
     spark: SparkSession,
     root: str,
-    context_schema: T.StructType | str,
+    context_schema: T.StructType | str = INFER,
     captured_schema: T.StructType | str | None = None,
     book: str = BOOK,
 ) -> DataFrame:
     """Instance table from a storage tree; folders without a status are left out.
 
-    ``captured_schema`` is given when the tree is known to hold captured records.
+    ``captured_schema`` is given when the tree is known to hold captured records. Either schema may be ``INFER``:
+    then the files are kept as they are read, and their types are merged over the tree before they are parsed.
     """
     files = walk(spark, root)
 
@@ -91,11 +121,16 @@ def rebuild_instances(
         return _records(files, root, filename, book).withColumnRenamed("record", name)
 
     rows = records("status.txt", "status").join(records("context.json", "context_json"), "logdir")
+    if captured_schema is not None:
+        rows = rows.join(records("captured.json", "captured_json"), "logdir", "left")
+    if INFER in (context_schema, captured_schema):
+        path = fresh_path(spark, "records")
+        rows.write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
     rows = parse_records(rows, "context_json", context_schema, "context")
     if captured_schema is None:
         rows = rows.withColumn("captured", F.lit(None).cast("string"))
     else:
-        rows = rows.join(records("captured.json", "captured_json"), "logdir", "left")
         rows = parse_records(rows, "captured_json", captured_schema, "captured")
     return rows.select(
         F.col("context.g_index").alias("g_index"),

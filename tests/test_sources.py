@@ -1,16 +1,18 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from compare import rows
 from pyspark.sql import functions as F
 
-from sweepframe import Capture
+from sweepframe import Capture, Study, StudyError
 from sweepframe.operators.capture import capture_instances, capture_text
+from sweepframe.session import fresh_path, released, shared_dir
 from sweepframe.sources.export import dump_records, write_captured, write_csv
 from sweepframe.sources.store import Parts, StudyStore, load_table, save_table
-from sweepframe.sources.text import list_files, parse_info, parse_records, read_info, read_stdout, rebuild_instances
+from sweepframe.sources.text import INFER, list_files, parse_info, parse_records, read_info, read_stdout, rebuild_instances
 
 
 def make_tree(root, book_name):
@@ -134,3 +136,44 @@ def test_any_root_depth_and_name(spark, tmp_path):
     assert rows(list_files(spark, f"file://{plain}")) == [("x/_f", 2)]
     with pytest.raises(Exception, match="nowhere"):
         list_files(spark, str(tmp_path / "nowhere"))
+
+
+def test_undeclared_keys(spark):
+    records = spark.createDataFrame([(1, '{"a": 1, "b": {"c": [1]}}'), (2, '{"a": 2}'), (3, None)], "i long, j string")
+    with pytest.raises(Exception, match="undeclared keys in a record: b"):
+        parse_records(records, "j", "a long").collect()
+    kept = parse_records(records, "j", "a long", undeclared="keep").select("i", "record.a", "record_undeclared")
+    assert rows(kept, "i") == [(1, 1, {"b": '{"c":[1]}'}), (2, 2, {}), (3, None, None)]
+    assert rows(parse_records(records, "j", "a long", undeclared="drop").select("i", "record.a"), "i") == [(1, 1), (2, 2), (3, None)]
+    with pytest.raises(StudyError, match="treatment"):
+        parse_records(records, "j", "a long", undeclared="lose")
+
+
+def test_records_without_a_schema(spark, tmp_path):
+    records = spark.createDataFrame([('{"n": 1, "l": [1], "s": "x"}',), ('{"n": 2.5, "l": [1.5], "t": true}',), ('{"n": null, "l": []}',)], "j string")
+    parsed = parse_records(records, "j")
+    assert parsed.schema["record"].dataType.simpleString() == "struct<l:array<double>,n:double,s:string,t:boolean>"
+    assert sorted(rows(parsed.select("record.*")), key=str) == sorted([([1.0], 1.0, "x", None), ([1.5], 2.5, None, True), ([], None, None, None)], key=str)
+    assert parse_records(records.where("false"), "j").count() == 0
+    with pytest.raises(StudyError, match="merge"):
+        parse_records(spark.createDataFrame([('{"n": 1}',), ('{"n": "x"}',)], "j string"), "j")
+    make_tree(tmp_path, "records")
+    given = rebuild_instances(spark, str(tmp_path), "alpha double, g_index long, g_logdir string", "v long")
+    inferred = rebuild_instances(spark, str(tmp_path), INFER, INFER)
+    assert rows(inferred, "g_index") == rows(given, "g_index") and inferred.schema.simpleString() == given.schema.simpleString()
+
+
+def test_study_from_a_tree(spark, tmp_path):
+    make_tree(tmp_path / "t", "records")
+    study = Study(spark, types={"k": "str", "v": "float"}, root=str(tmp_path / "study"))
+    study.rebuild(str(tmp_path / "t"))
+    assert rows(study.instances().select("g_index", "logdir", "status"), "g_index") == [(0, "a b", "created"), (1, "deep/x+y", "downloaded"), (2, "é%20", "downloaded")]
+    table = study.collect()
+    assert rows(table.select("g_index", "alpha", "v", "k", "g_walltime_sh"), "g_index") == [(1, 1.5, 1.0, "1=last", 1.5), (2, 3.0, 2.0, "2=last", 2.5)]
+    # Scratch tables are gone once their result is stored.
+    with released(spark):
+        spark.range(3).write.parquet(fresh_path(spark, "kept"))
+        before = set(Path(shared_dir(spark)).iterdir())
+        study.rebuild(str(tmp_path / "t"))
+        assert set(Path(shared_dir(spark)).iterdir()) == before
+    assert len(set(Path(shared_dir(spark)).iterdir())) == len(before) - 1

@@ -3,7 +3,8 @@
 Every node's budget is shared among its children by weight. A child that cannot use its share keeps what it can
 use, and the rest goes to its siblings by their weights; only when all siblings are full does it go up, where
 the node's own siblings share it in the same way. A leaf's budget is filled with a prefix of its tokens: whole
-epochs, and of the last epoch the documents in an order seeded by epoch and id, the last of them in part.
+epochs, and of the last epoch the documents in an order seeded by epoch and id (equal ids by their texts' digests),
+the last of them in part, so that a leaf gives its budget to the token.
 DataFrame and SQL functions only; all budgets are exact integers.
 """
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of a document's order key that name its bucket: 4,096 per leaf.
-_DIGITS = 3
+#: Documents of a bucket of order keys, about; leaves have as many buckets as their rows need.
+_BUCKET = 4096
+#: Copies of one row that are written out at once.
+_STEP = 1 << 16
 
 
 def whole(value: Column) -> Column:
@@ -30,9 +33,10 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
-    """The document's place in an epoch: MD5 of seed, epoch and id, in hex."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def order_key(seed: int, epoch: Column, doc_id: Column, tie: Column) -> Column:
+    """The document's place in an epoch: MD5 of seed, epoch and id, in hex, then the digest of its text."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.concat(place, tie)
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
@@ -95,21 +99,22 @@ def plan(
 ) -> DataFrame:
     """One row per leaf: ``tokens, supply, budget, whole_epochs, rest, cut, cut_before``.
 
-    ``rows`` holds the levels (never null), ``doc_id`` and ``n_tokens``. The total is ``percent`` of all tokens.
-    A document of the last epoch belongs to the prefix if its order key is at most ``cut``; ``cut_before``
-    counts the tokens before the last one. Tokens are first summed by bucket of the key, so that only the bucket
-    in which a prefix ends is sorted.
+    ``rows`` holds the levels (never null), ``doc_id``, ``tie`` and ``n_tokens``. The total is ``percent`` of all tokens.
+    A document of the last epoch is in the prefix if its order key is below ``cut``; of the rows at ``cut``, which have
+    equal ids and texts, as many as the tokens after ``cut_before`` need. Tokens are first summed by bucket of the key,
+    so that only the bucket in which a prefix ends is sorted.
     """
-    leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")).withColumn("supply", F.col("tokens") * epochs)
+    leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")).withColumn("supply", F.col("tokens") * epochs)
     leaves = stored(leaves, "leaves")
     total = F.expr(f"(supply div {epochs}) * {percent} div 100")
     planned = budgets(leaves, levels, weights, total).withColumns(
         {"whole_epochs": F.expr("coalesce(budget div nullif(tokens, 0), 0L)"), "rest": F.expr("coalesce(budget % nullif(tokens, 0), 0L)")}
     )
     planned = stored(planned, "budgets")
-    open_leaves = planned.where("rest > 0").select(*levels, "whole_epochs", "rest")
-    keyed = rows.join(small(open_leaves), list(levels)).withColumn("key", order_key(seed, F.col("whole_epochs"), F.col("doc_id")))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, _DIGITS))
+    digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_rows") / _BUCKET) / 4)).cast("int")
+    open_leaves = planned.where("rest > 0").select(*levels, "whole_epochs", "rest", digits.alias("digits"))
+    keyed = rows.join(small(open_leaves), list(levels)).withColumn("key", order_key(seed, F.col("whole_epochs"), F.col("doc_id"), F.col("tie")))
+    keyed = keyed.withColumn("bucket", F.expr("substring(key, 1, digits)"))
     sums = keyed.groupBy(*levels, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
     queue = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = sums.withColumn("before", F.coalesce(F.sum("n").over(queue), F.lit(0)))
@@ -122,9 +127,13 @@ def plan(
 
 
 def levelled(docs: DataFrame, levels: Mapping[str, Column], text: str = "text") -> DataFrame:
-    """``doc_id``, the levels (null as empty text) and ``n_tokens``."""
+    """``doc_id``, ``tie`` (the digest of the text), the levels (null as empty text) and ``n_tokens``."""
     names = [F.coalesce(column.cast("string"), F.lit("")).alias(name) for name, column in levels.items()]
-    return docs.select(F.col("doc_id").alias("doc_id"), *names, token_count(F.col(text)).alias("n_tokens"))
+    return docs.select(F.col("doc_id").alias("doc_id"), text_digest(text).alias("tie"), *names, token_count(F.col(text)).alias("n_tokens"))
+
+
+def text_digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
 def mix(
@@ -138,36 +147,59 @@ def mix(
 ) -> DataFrame:
     """``doc_id``, the levels, ``epoch, n_tokens, taken``: each document once per epoch in which it is taken.
 
-    A leaf gives at most ``epochs`` times its tokens. Rows of equal id have the same place in an epoch and are
-    taken together, each up to what is left. Null texts have no tokens; null levels are nodes of their own; leaves without
-    tokens give no rows; an empty table gives no rows; further columns are ignored.
+    A leaf gives at most ``epochs`` times its tokens, and exactly its budget. Rows of equal id follow one another by their
+    texts' digests; of rows with equal id and text as many are taken as the budget needs, the last in part. Null texts
+    have no tokens; null levels are nodes of their own; leaves without tokens give no rows; an empty table gives no
+    rows; further columns are ignored.
     """
     names = list(levels)
     rows = stored(levelled(docs, levels, text), "tokens")
     planned = stored(plan(rows, names, weights, percent, epochs, seed), "plan")
     part = planned.select(*names, "whole_epochs", "rest", "cut", "cut_before").where("whole_epochs > 0 or cut is not null")
     joined = rows.join(small(part), names)
-    key = order_key(seed, F.col("whole_epochs"), F.col("doc_id"))
+    key = order_key(seed, F.col("whole_epochs"), F.col("doc_id"), F.col("tie"))
     joined = joined.withColumn("key", F.when(F.col("cut").isNotNull(), key))
-    last = F.when(F.col("key") <= F.col("cut"), F.col("whole_epochs")).otherwise(F.col("whole_epochs") - 1)
-    taken = joined.withColumn("last", last).where("last >= 0").withColumn("epoch", F.explode(F.expr("sequence(0L, last)")))
-    partly = (F.col("epoch") == F.col("whole_epochs")) & (F.col("key") == F.col("cut"))
-    amount = F.when(partly, F.least("n_tokens", F.col("rest") - F.col("cut_before"))).otherwise(F.col("n_tokens"))
-    return taken.select("doc_id", *names, F.col("epoch").cast("int").alias("epoch"), "n_tokens", amount.alias("taken"))
+    last = F.when(F.col("key") < F.col("cut"), F.col("whole_epochs")).otherwise(F.col("whole_epochs") - 1)
+    whole_rows = joined.withColumn("last", last).where("last >= 0").withColumn("epoch", F.explode(F.expr("sequence(0L, last)")))
+    whole_rows = whole_rows.withColumn("taken", F.col("n_tokens"))
+    # The rows at the cut are alike, so they are counted and written out anew: one key may have very many.
+    ends = joined.where("key = cut").groupBy("doc_id", *names, "whole_epochs", "n_tokens", "rest", "cut_before").agg(F.count("*").alias("times"))
+    need = F.col("rest") - F.col("cut_before")
+    ends = ends.withColumn("copies", F.least("times", F.expr("(rest - cut_before + n_tokens - 1) div n_tokens")))
+    ends = ends.withColumn("first", F.explode(F.expr(f"sequence(1L, copies, {_STEP}L)")))
+    ends = ends.withColumn("copy", F.explode(F.expr(f"sequence(first, least(copies, first + {_STEP - 1}))")))
+    ends = ends.withColumn("taken", F.least(F.col("n_tokens"), need - (F.col("copy") - 1) * F.col("n_tokens"))).withColumn("epoch", F.col("whole_epochs"))
+    wanted = ["doc_id", *names, F.col("epoch").cast("int").alias("epoch"), "n_tokens", "taken"]
+    return whole_rows.select(*wanted).unionByName(ends.select(*wanted))
 
 
 def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], weights, percent: int, seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` that one epoch of the mixture takes, whole and with their columns as they were."""
+    """The rows of ``docs`` that one epoch of the mixture takes, whole and with their columns as they were.
+
+    The last document of a leaf is taken whole, so a leaf exceeds its budget by less than one document; of rows with
+    equal id and text no more are kept than that. Null texts and ids, null levels and empty tables as in :func:`mix`; columns
+    of any names are kept.
+    """
     names = list(levels)
     rows = stored(levelled(docs, levels), "tokens")
     planned = stored(plan(rows, names, weights, percent, 1, seed), "plan")
     keys = [f"l{i}" for i in range(len(names))]
-    part = planned.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.col("whole_epochs").alias("whole"), "cut")
+    part = planned.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.col("whole_epochs").alias("whole"), "cut", (F.col("rest") - F.col("cut_before")).alias("need"))
     # All columns under names of their own, so that theirs cannot clash.
     columns = [docs[name].alias(f"c{i}") for i, name in enumerate(docs.columns)]
     marks = [F.coalesce(column.cast("string"), F.lit("")).alias(k) for k, column in zip(keys, levels.values())]
-    marked = docs.select(*columns, *marks, F.col("doc_id").alias("id"))
+    marked = docs.select(*columns, *marks, F.col("doc_id").alias("id"), text_digest("text").alias("tie"), token_count(F.col("text")).alias("n"))
     joined = marked.join(small(part.where("whole > 0 or cut is not null")), keys)
-    first = order_key(seed, F.lit(0), F.col("id")) <= F.col("cut")
-    kept = joined.where((F.col("whole") > 0) | first)
-    return kept.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))
+    joined = joined.withColumn("key", order_key(seed, F.lit(0), F.col("id"), F.col("tie")))
+    plain = [F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)]
+    kept = joined.where("whole > 0 or key < cut").select(*plain)
+    # Equal rows at a cut are numbered by the parts of a stored table, so no task numbers all of them.
+    ends = stored(joined.where("whole = 0 and key = cut").drop("whole", "cut", "key"), "ends")
+    place = F.monotonically_increasing_id()
+    ends = ends.withColumns({"place": place, "part": F.shiftright(place, 33)})
+    ends = ends.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("place")))
+    sizes = ends.groupBy(*keys, "part").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    numbered = ends.join(starts, [*keys, "part"])
+    return kept.union(numbered.where("(start + at - 1) * n < need").select(*plain))

@@ -101,7 +101,8 @@ b{depth + 1} AS (
     return f"""WITH texts AS (
     SELECT doc_id, 'domain' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 3, 0) AS domain,
            coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-           CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
+           CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens,
+           md5(coalesce(text, '')) AS tie
     FROM documents
 ),
 leaves AS (
@@ -114,8 +115,10 @@ plan AS (
     SELECT {names}, b // tokens AS whole, b % tokens AS rest FROM b{len(levels)} JOIN leaves USING ({names}) WHERE tokens > 0
 ),
 placed AS (
-    SELECT texts.*, whole, rest, md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
-    FROM texts JOIN plan USING ({names})
+    SELECT *, row_number() OVER (PARTITION BY {names}, key) AS copy FROM (
+        SELECT texts.*, whole, rest, md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) || tie AS key
+        FROM texts JOIN plan USING ({names})
+    )
 ),
 sums AS (SELECT {names}, key, sum(n_tokens) AS n FROM placed GROUP BY {names}, key),
 queue AS (
@@ -125,8 +128,8 @@ queue AS (
 SELECT doc_id, {names}, CAST(epoch AS INTEGER) AS epoch, n_tokens, n_tokens AS taken
 FROM placed, generate_series(0, {epochs} - 1) AS e(epoch) WHERE epoch < whole
 UNION ALL
-SELECT doc_id, {names}, CAST(whole AS INTEGER), n_tokens, CAST(least(n_tokens, rest - before) AS BIGINT)
-FROM placed JOIN queue USING ({names}, key) WHERE before < rest"""
+SELECT doc_id, {names}, CAST(whole AS INTEGER), n_tokens, CAST(least(n_tokens, rest - before - (copy - 1) * n_tokens) AS BIGINT)
+FROM placed JOIN queue USING ({names}, key) WHERE before + (copy - 1) * n_tokens < rest"""
 
 
 @query("op2_mix", _mix_sql(60, 3, 1))

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
 from sweepframe.llm import decontaminate, licenses, mixing, topk
-from sweepframe.llm.queries import QUERIES, SQL, WEIGHTS, tree
+from sweepframe.llm.queries import QUERIES, SQL, WEIGHTS, _mix_sql, tree
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -207,3 +208,32 @@ def test_licenses_beyond_single_cued_lines(spark):
     rows = [(r["doc_id"], r["line"], r["family"], r["confirmed"]) for r in licenses.license_lines(table, scanner).collect() if r["family"] != "unknown"]
     assert {(i, *want) for i, (_, *want) in enumerate(texts)} <= set(rows)
     assert len({(r[0], r[2]) for r in rows if r[3]}) == sum(r[3] for r in rows)
+
+
+@pytest.mark.parametrize("percent,epochs", [(60, 1), (37, 3), (100, 2)])
+def test_budgets_are_exact_with_repeated_and_null_ids(spark, tmp_path, monkeypatch, percent, epochs):
+    monkeypatch.setattr(mixing, "_BUCKET", 4)
+    monkeypatch.setattr(mixing, "_STEP", 7)
+    ten, six = "one two three four five six seven eight nine ten", "a b c d e f"
+    rows = [(None, ten, "en", "src1")] * 100 + [(5, six, "en", "src1")] * 50 + [(6, ten, "en", "src1")] * 50 + [(6, six, "en", "src1")] * 3
+    rows += [(i, " ".join(["w"] * (i % 13)), "de", f"src{i % 4}") for i in range(200)] + [(None, None, None, None), (7, "", "fr", "src2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    names = list(tree())
+    counted = mixing.levelled(docs, tree())
+    planned = mixing.plan(counted, names, WEIGHTS, percent, epochs, 1).where("tokens > 0")
+    taken = mixing.mix(docs, tree(), WEIGHTS, percent, epochs).groupBy(*names).agg(F.sum("taken").alias("taken"))
+    found = planned.join(taken, names, "left").select("budget", F.coalesce("taken", F.lit(0)).alias("taken")).collect()
+    assert len(found) == planned.count() and all(r["budget"] == r["taken"] for r in found)
+    assert sum(r["budget"] for r in found) == percent * sum(len((r[1] or "").split()) for r in rows) // 100
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = con.execute(_mix_sql(percent, epochs, 1))
+    columns = [d[0] for d in sql.description]
+    here = mixing.mix(docs, tree(), WEIGHTS, percent, epochs).select(*columns)
+    assert sorted(map(str, map(tuple, here.collect()))) == sorted(map(str, sql.fetchall()))
+    # Whole documents: less than one document beyond the budget, never all copies of the last one.
+    if epochs == 1:
+        kept = mixing.levelled(mixing.mixed_documents(docs, tree(), WEIGHTS, percent), tree()).groupBy(*names).agg(F.sum("n_tokens").alias("n"))
+        for r in planned.join(kept, names, "left").collect():
+            assert r["budget"] <= (r["n"] or 0) < r["budget"] + 12

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, stored, text_bytes
+from .common import chunks, map_arrow, small, stored, text_bytes
 from .tokens import encoder
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -28,13 +28,28 @@ def _counts(spec: str):
     return run
 
 
+def _digests(spec: str):
+    """SHA-256 of the content as the tokenizer normalises it, of the raw text where it may hold special tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = encoder(spec).normal
+        for batch in chunks(batches, "content"):
+            contents = batch.column("content").to_pylist()
+            digests = [sha256(normal(x)).digest() for x in contents]
+            sizes = pa.array([len(x) for x in contents], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(digests, pa.binary()), batch.column("content")], ["doc_id", "n_bytes", "digest", "content"])
+
+    return run
+
+
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, digest`` of every row of ``docs``.
 
-    ``tokenizer`` is the path of a tokenizers file, read on the driver. The digest is SHA-256 of the
-    UTF-8 text; no further normalisation is safe, as special tokens are matched in the raw text. ``cache`` is a
-    Parquet folder ``(tokenizer, digest, n_tokens)``, keyed by the digest of the tokenizer's file too; it may be
-    absent. One row of every digest that it lacks is encoded and appended.
+    ``tokenizer`` is the path of a tokenizers file, read on the driver. The digest is SHA-256 of the content that the
+    tokenizer's own normaliser makes, which is all that its later steps see; texts that may hold a special token, which
+    is matched before, are digested raw. ``cache`` is a Parquet folder ``(tokenizer, digest, n_tokens)``, keyed
+    by the digest of the tokenizer's file too; it may be absent. One text of every digest that it lacks is encoded
+    and appended, however many rows hold it.
 
     Null and empty texts have 0 tokens, null ids stay null, every repeated row has its own result,
     an empty table gives no rows, and further columns are ignored.
@@ -43,16 +58,25 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048,
     spec = Path(tokenizer).read_text("utf-8")
     version = sha256(spec.encode()).hexdigest()
     # Columns of the result must not meet columns of the table.
-    plain = docs.select(F.col("doc_id").alias("doc_id"), text_bytes(text).alias("content"))
-    keyed = plain.withColumn("digest", F.unhex(F.sha2("content", 256)))
-    narrow = stored(keyed.select("doc_id", F.length("content").cast("long").alias("n_bytes"), "digest"), "digests")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("content"))
+    keyed = map_arrow(plain, _digests(spec), "doc_id long, n_bytes long, digest binary, content binary")
+    narrow = stored(keyed.select("doc_id", "n_bytes", "digest"), "digests")
     known = _read(spark, cache, version)
     lacking = narrow.join(known, "digest", "left_anti") if known is not None else narrow
     # One row to encode for every digest, by its id; the texts move once, spread by id.
-    chosen = stored(lacking.groupBy("digest").agg(F.min("doc_id").alias("chosen")), "misses")
+    by_id = lacking.groupBy("digest", "doc_id").agg(F.count("*").alias("times"))
+    first = F.min(F.struct("doc_id", "times")).alias("first")
+    chosen = stored(by_id.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("chosen"), F.col("first.times").alias("times")), "misses")
     if not chosen.isEmpty():
-        same = keyed["digest"].eqNullSafe(chosen["digest"]) & keyed["doc_id"].eqNullSafe(chosen["chosen"])
-        misses = keyed.join(chosen, same, "left_semi").select("content", "digest")
+        def texts(some: DataFrame) -> DataFrame:
+            same = keyed["digest"].eqNullSafe(some["digest"]) & keyed["doc_id"].eqNullSafe(some["chosen"])
+            return keyed.join(some, same, "left_semi").select("content", "digest")
+
+        misses = texts(chosen.where("times = 1"))
+        repeated = chosen.where("times > 1")
+        if not repeated.isEmpty():
+            # Rows of equal id and content become one where they are read.
+            misses = misses.unionByName(texts(small(repeated)).groupBy("digest").agg(F.first("content").alias("content")))
         counted = map_arrow(misses, _counts(spec), "digest binary, n_tokens long")
         fresh = counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
         fresh.write.mode("append").parquet(cache)

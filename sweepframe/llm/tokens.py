@@ -59,6 +59,13 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def normal(self, content: bytes) -> bytes:
+        """What the library's steps after the normaliser see, marked; the raw bytes where special tokens may be found first."""
+        normalizer = self.library.normalizer
+        if self.kind is None or normalizer is None or b"<|" in content:
+            return b"raw:" + content
+        return b"normal:" + normalizer.normalize_str(content.decode("utf-8", "replace")).encode()
+
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]

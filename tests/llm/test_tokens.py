@@ -109,3 +109,13 @@ def test_cache_is_used_and_kept_apart(spark, odd, none, scratch):
     assert spark.read.parquet(planted).count() == stored.count()
     assert min(x[2] for x in rows(token_counts(odd, BYTES, planted))) == 0
     assert token_counts(none, WORDS, f"{scratch}/new").count() == 0
+
+
+def test_one_encoding_for_each_normalised_text(spark, scratch):
+    rows = [(1, "A  Text, twice\n")] * 500 + [(None, "a text, TWICE ")] * 500 + [(2, "cafe\u0301"), (3, "caf\u00e9"), (4, "<|endoftext|> A"), (5, "<|endoftext|> a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = token_counts(docs, WORDS, f"{scratch}/cache")
+    # Of equal texts one is encoded; special tokens are matched in the raw text, so such texts stay apart.
+    assert spark.read.parquet(f"{scratch}/cache").count() == 4
+    want = dict(zip([t for _, t in rows], (len(x) // 4 for x in library(WORDS, [t for _, t in rows]))))
+    assert sorted(map(str, ((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in found.collect()))) == sorted(str((i, len(t.encode()), want[t])) for i, t in rows)

@@ -1,9 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled texts. Its terms are the words that the sample's labels favour
-beyond chance; their document frequencies are counted over all documents. Examples lie in blocks; for every term
-a block has the largest weight in it. A query's blocks are visited by descending upper bound, until no bound is
-above the k-th best similarity.
+The index holds a bounded sample of labelled texts, toxic and not, with all their words. Document frequencies are counted
+over all documents. A word's weight also grows with what its labels tell beyond chance, counted over all distinct
+labelled texts; no word is left out for it. Examples lie in blocks, and for every word a block has the largest weight
+in it. A query's blocks are visited by descending upper bound, until no bound is above the k-th best similarity.
 """
 
 from __future__ import annotations
@@ -13,21 +13,35 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, chunks, map_arrow, sample, text_bytes, words
+from .common import binary, chunks, map_arrow, sample, small, stored, text_bytes, words
 
-#: Labelled rows in the index, half of each label.
+#: Labelled texts in the index, half of each label.
 SAMPLE_ROWS = 4_000
 NEIGHBOURS = 8
+#: How much a word weighs more for each factor of e in the evidence of its labels.
+BOOST = 8.0
 _BLOCK = 32
+#: Blocks of a query that are opened first, and then together.
+_FIRST = 8
+_SLICES = 64
+
+
+def _flat(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges one after the other, and the range each belongs to."""
+    size = stop - start
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size), owner
 
 
 @dataclass
 class Index:
     terms: np.ndarray  # hashes, ascending
-    idf: np.ndarray
+    idf: np.ndarray  # weights of the words
+    unseen: float = 0.0  # weight of a word that no example holds
     ids: list[int | None] = field(default_factory=list)
     toxic: np.ndarray = None
     slope: float = 0.0
@@ -35,18 +49,31 @@ class Index:
     blank: float = 0.0  # score of texts without any term
 
     def vectors(self, tokens: np.ndarray, bounds: np.ndarray):
-        """``text, term, weight`` of all terms of a run of texts, each text's weights of length 1."""
-        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        """``text, term, weight`` of all terms of a run of texts.
+
+        A text's weights have length 1 together with its words that no example holds.
+        """
         if not len(self.terms) or not len(tokens):
-            return empty
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at = np.minimum(np.searchsorted(self.terms, tokens), len(self.terms) - 1)
-        hit = np.flatnonzero(self.terms[at] == tokens)
+        found = self.terms[at] == tokens
+        hit = np.flatnonzero(found)
         text = np.searchsorted(bounds, hit, side="right") - 1
         cell, times = np.unique(text * len(self.terms) + at[hit], return_counts=True)
         text, term = cell // len(self.terms), cell % len(self.terms)
         weight = (1 + np.log(times)) * self.idf[term]
-        norms = np.sqrt(np.bincount(text, weight**2, len(bounds) - 1))
-        return text, term, weight / norms[text]
+        squares = np.bincount(text, weight**2, len(bounds) - 1)
+        other = np.flatnonzero(~found)
+        if self.unseen and len(other):
+            owner = np.searchsorted(bounds, other, side="right") - 1
+            order = np.lexsort((tokens[other], owner))
+            owner, token = owner[order], tokens[other][order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+            heads = np.flatnonzero(fresh)
+            more = (1 + np.log(np.diff(np.append(heads, len(order))))) * self.unseen
+            squares += np.bincount(owner[heads], more**2, len(bounds) - 1)
+        return text, term, weight / np.sqrt(squares)[text]
 
     def load(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: list, toxic: np.ndarray) -> None:
         """Lay the examples out by their weightiest term, so that blocks are alike and bounds tight."""
@@ -61,33 +88,43 @@ class Index:
         self.ids, self.toxic = [ids[i] for i in layout], toxic[layout].astype(np.float64)
         example = place[text]
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        term, example, weight = term[order], example[order], weight[order]
+        self.example, self.weight = example.astype(np.int32), weight
         self.blocks = -(-len(layout) // _BLOCK)
-        self.most = np.zeros((len(self.terms), max(1, self.blocks)))
-        np.maximum.at(self.most, (term[order], self.example // _BLOCK), self.weight)
+        # A cell holds the postings of one term in one block.
+        cell = term * max(1, self.blocks) + example // _BLOCK
+        heads = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_block = (example[heads] // _BLOCK).astype(np.int32)
+        self.cell_first = np.append(heads, len(cell))
+        self.cell_most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0)
+        self.first = np.searchsorted(term[heads], np.arange(len(self.terms) + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the ``NEIGHBOURS`` most similar examples, none of similarity 0."""
-        bounds = weight @ self.most[term]
-        places, values = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            full = len(values) == NEIGHBOURS
-            if bounds[block] <= 0 or full and bounds[block] < values[-1] - 1e-12:
-                break
-            sums = np.zeros(_BLOCK)
-            start = block * _BLOCK
-            for t, w in zip(term, weight):
-                a, b = self.first[t], self.first[t + 1]
-                lo, hi = a + np.searchsorted(self.example[a:b], (start, start + _BLOCK))
-                sums[self.example[lo:hi] - start] += w * self.weight[lo:hi]
-            if start <= skip < start + _BLOCK:
-                sums[skip - start] = 0
-            some = np.flatnonzero(sums > 0)
-            places, values = np.concatenate([places, some + start]), np.concatenate([values, sums[some]])
-            order = np.lexsort((places, -values))[:NEIGHBOURS]
-            places, values = places[order], values[order]
-        return places, values
+        cells, owner = _flat(self.first[term], self.first[term + 1])
+        block = self.cell_block[cells]
+        bounds = np.bincount(block, weight[owner] * self.cell_most[cells], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        sums = np.zeros(self.blocks * _BLOCK)
+        least, at = 0.0, 0
+        while at < len(order) and bounds[order[at]] >= least - 1e-12:
+            # The best blocks alone, then all that may still hold a neighbour.
+            end = _FIRST if at == 0 else len(order) - int(np.searchsorted(bounds[order][::-1], least - 1e-12))
+            opened = np.zeros(self.blocks, bool)
+            opened[order[at : max(end, at + 1)]] = True
+            some = opened[block]
+            postings, cell = _flat(self.cell_first[cells[some]], self.cell_first[cells[some] + 1])
+            sums += np.bincount(self.example[postings], weight[owner[some]][cell] * self.weight[postings], len(sums))
+            if skip >= 0:
+                sums[skip] = 0
+            at = max(end, at + 1)
+            if np.count_nonzero(sums) >= NEIGHBOURS:
+                least = np.partition(sums, len(sums) - NEIGHBOURS)[len(sums) - NEIGHBOURS]
+        found = np.flatnonzero(sums > 0)
+        found = found[sums[found] >= least]
+        found = found[np.lexsort((found, -sums[found]))[:NEIGHBOURS]]
+        return found, sums[found]
 
     def vote(self, places: np.ndarray, values: np.ndarray) -> float:
         """Similarities of toxic neighbours less those of others, over the number of neighbours asked for."""
@@ -97,80 +134,90 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -30, 30))))
 
 
-def _distinct(sets: list[np.ndarray]) -> list[int]:
-    """Texts of which no earlier one shares a minimum of its words' hashes in three of eight orders: copies count once."""
-    seen, kept = {}, []
-    for i, tokens in enumerate(sets):
-        marks = [(j, int((tokens * np.uint64(2 * j + 3) ^ (tokens >> np.uint64(29 - j))).min())) for j in range(8)] if len(tokens) else []
-        shared: dict[int, int] = {}
-        for mark in marks:
-            for other in seen.get(mark, ()):
-                shared[other] = shared.get(other, 0) + 1
-        if max(shared.values(), default=0) < 3:
-            kept.append(i)
-            for mark in marks:
-                seen.setdefault(mark, []).append(i)
-    return kept
-
-
-def telling(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Words that toxic texts hold more often than chance allows, given how many words were looked at."""
-    kept = _distinct(sets)
-    y = toxic[kept]
-    if not len(y) or not 0 < y.sum() < len(y):
-        return np.zeros(0, np.uint64)
-    flat = np.concatenate([sets[i] for i in kept])
-    owner = np.repeat(y, [len(sets[i]) for i in kept])
-    found, place, total = np.unique(flat, return_inverse=True, return_counts=True)
-    with_toxic = np.bincount(place, owner, len(found))
-    share = y.mean()
-    rate = with_toxic / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = rate * np.log(rate / share) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0)
-    looked_at = max(2, int((total >= 2).sum()))
-    # Chernoff: the chance of such a share in so many texts is at most exp(-total * spread).
-    return found[(rate > share) & (rate >= 0.5) & (total * spread >= np.log(looked_at))]
-
+def _term_counts(terms: np.ndarray, labels: int):
+    """How many texts hold each term, for each of ``labels`` labels: a task's counts in slices of the terms."""
 
-def _term_counts(terms: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
+        total = np.zeros((labels, len(terms)), np.int64)
         for batch in chunks(batches, "content"):
             tokens, bounds = words(*binary(batch.column("content")), letters=True)
+            label = batch.column("label").to_numpy()
             at = np.minimum(np.searchsorted(terms, tokens), len(terms) - 1)
             hit = np.flatnonzero(terms[at] == tokens)
             text = np.searchsorted(bounds, hit, side="right") - 1
-            total += np.bincount(np.unique(text * len(terms) + at[hit]) % len(terms), minlength=len(terms))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(total)], ["term", "df"])
+            cell = np.unique(text * len(terms) + at[hit])
+            np.add.at(total, (label[cell // len(terms)], cell % len(terms)), 1)
+        parts = np.array_split(np.ascontiguousarray(total.T), _SLICES)
+        group = TaskContext.get().partitionId() % 64
+        columns = [pa.array(range(_SLICES), pa.int32()), pa.array([group] * _SLICES, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["slice", "part", "counts"])
 
     return run
 
 
+def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    rows = table["counts"].to_pylist()
+    total = np.zeros(len(rows[0]) // 8, np.int64)
+    for row in rows:
+        total += np.frombuffer(row, np.int64)
+    part = key[1].as_py() if len(key) > 1 else 0
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _counted(texts: DataFrame, terms: np.ndarray, labels: int = 1) -> np.ndarray:
+    """``(terms, labels)`` counts of the texts (``content, label``); tasks' counts are added up in two steps."""
+    schema = "slice int, part int, counts binary"
+    counted = map_arrow(texts, _term_counts(terms, labels), schema)
+    summed = counted.groupBy("slice", "part").applyInArrow(_added, schema).groupBy("slice").applyInArrow(_added, schema)
+    rows = sorted((r["slice"], bytes(r["counts"])) for r in summed.collect())
+    return np.frombuffer(b"".join(c for _, c in rows), np.int64).reshape(-1, labels) if rows else np.zeros((len(terms), labels), np.int64)
+
+
+def _evidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What a word's labels tell for toxic beyond chance: Chernoff's exponent less what the best of all words has by chance."""
+    total = counts.sum(axis=1)
+    if not sizes.all():
+        return np.zeros(len(total))
+    share = sizes[1] / sizes.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rate = counts[:, 1] / total
+        spread = rate * np.log(rate / share) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0)
+    evidence = np.where((total > 0) & (rate > share), total * np.nan_to_num(spread), 0)
+    return np.maximum(0, evidence - np.log(max(2, (total >= 2).sum())))
+
+
 def build(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> Index:
     """Index about ``rows`` labelled texts. ``labels(doc_id, toxic)`` holds the rows to learn from.
 
-    An id with several labels counts as toxic if one says so; of several texts under an id the least is taken.
+    An id with several labels counts as toxic if one says so; of several texts under an id the least is taken. Equal texts
+    count as one example, toxic if one of them is.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = F.broadcast(sample(marked, rows, "toxic"))  # of bounded size
     texts = docs.select(F.col("doc_id").alias("doc_id"), text_bytes(text).alias("content"))
+    digests = texts.where("doc_id is not null").select("doc_id", F.md5("content").alias("digest"))
+    distinct = digests.join(small(stored(marked, "labels")), "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    distinct = stored(distinct, "labelled")
+    chosen = distinct.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = F.broadcast(sample(chosen, rows, "toxic"))  # of bounded size
     found = texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("content").alias("content")).collect()
     found.sort(key=lambda r: r["doc_id"])
-    sets, toxic = [], np.array([r["toxic"] for r in found], np.float64)
+    toxic = np.array([r["toxic"] for r in found], np.float64)
     runs = []
     for row in found:
         data = np.frombuffer(bytes(row["content"]), np.uint8)
         tokens, _ = words(data, np.array([0, len(data)]), letters=True)
         runs.append(tokens)
-        sets.append(np.unique(tokens))
-    terms = telling(sets, toxic)
+    flat = np.concatenate([*runs, np.zeros(0, np.uint64)])
+    terms = np.unique(flat)
     index = Index(terms, np.zeros(len(terms)))
     if len(terms):
-        counted = map_arrow(texts.select("content"), _term_counts(terms), "term long, df long")
-        counts = {r["term"]: r["df"] for r in counted.groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        counts = _counted(texts.select("content", F.lit(0).alias("label")), terms)[:, 0]
+        learnt = texts.join(small(chosen), "doc_id").select("content", F.col("toxic").cast("int").alias("label"))
+        sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+        evidence = _evidence(_counted(learnt, terms, 2), np.array([sizes.get(0, 0), sizes.get(1, 0)]))
         n = docs.count()
-        index.idf = np.array([np.log((1 + n) / (1 + counts.get(t, 0))) + 1e-3 for t in range(len(terms))])
-    flat = np.concatenate([*runs, np.zeros(0, np.uint64)])
+        index.idf = (np.log((1 + n) / (1 + counts)) + 1e-3) * (1 + BOOST * np.log1p(evidence))
+        index.unseen = float(np.log((1 + n) / 2) + 1e-3)
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)
     text_no, term, weight = index.vectors(flat, bounds)
     index.load(text_no, term, weight, [r["doc_id"] for r in found], toxic)
@@ -187,16 +234,12 @@ def _calibrate(index: Index, flat, bounds, toxic, rates, number) -> None:
     worth = {y: rates.get(int(y), 0) / seen[y] for y in (0.0, 1.0)}
     votes, truth = [], []
     starts = np.searchsorted(text, np.arange(len(bounds)))
-    blank = {0.0: 0.0, 1.0: 0.0}
     for i in range(len(toxic)):
         a, b = starts[i], starts[i + 1]
         if a == b:
-            blank[toxic[i]] += worth[toxic[i]]
             continue
         votes.append(index.vote(*index.nearest(term[a:b], weight[a:b], place[i])))
         truth.append(toxic[i])
-    index.blank = (blank[1.0] + 0.5) / (blank[0.0] + blank[1.0] + 1) if len(toxic) else 0.0
-    index.blank = min(index.blank, 0.49)
     x, y = np.array(votes), np.array(truth)
     w = np.array([worth[t] for t in truth])
     slope, shift = 4.0, 0.0
@@ -209,6 +252,8 @@ def _calibrate(index: Index, flat, bounds, toxic, rates, number) -> None:
         step = np.linalg.solve(h, g)
         slope, shift = slope - np.clip(step[0], -5, 5), shift - np.clip(step[1], -5, 5)
     index.slope, index.shift = float(slope), float(shift)
+    # A text that shares no word with any example has a vote of 0.
+    index.blank = index.score(0.0) if len(x) else 0.0
 
 
 def _score(index: Index):
@@ -237,8 +282,7 @@ def _score(index: Index):
 def toxicity(docs: DataFrame, index: Index, held_out, text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` of every row; evidence lists the neighbours that voted.
 
-    Texts without a term of the index (null and empty ones too) get the calibrated rate of such examples and
-    no evidence. Every repeated row has its result; null ids stay null; an empty table gives no rows; without
+    Texts without a word of any example (null and empty ones too) get the score of a vote of 0 and no evidence. Every repeated row has its result; null ids stay null; an empty table gives no rows; without
     labels all scores are 0; further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text_bytes(text).alias("content"))

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import collections
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -155,6 +157,59 @@ def test_blocks_find_the_nearest():
         assert np.allclose(values, [s for s, _ in want], atol=1e-8)
 
 
+def plain_words(text):
+    """Runs of ASCII letters and bytes beyond ASCII, in lower case, accented capitals too."""
+    low = "".join(c.lower() if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
+    return [w.decode("utf-8", "replace") for w in re.findall(rb"[a-z\x80-\xff]+", low.encode())]
+
+
+def test_toxicity_against_brute_force(spark, tables):
+    """Every similarity, vote and score of the query, by plain dictionaries over all words of all examples."""
+    docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
+    texts = {r["doc_id"]: Counter(plain_words(r["text"])) for r in docs.collect()}
+    raw = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if remainder(r["doc_id"], 5) != 0}
+    first: dict = {}
+    for i in sorted(set(marks) & set(raw)):
+        first.setdefault(raw[i], [i, 0])
+        first[raw[i]][1] |= marks[i]
+    examples = dict(map(tuple, first.values()))
+    index = toxicity.build(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    assert sorted(index.ids) == sorted(i for i in examples if texts[i])
+    n, df = len(texts), Counter(w for c in texts.values() for w in c)
+    known = {w for i in examples for w in texts[i]}
+    sizes = [sum(1 for y in examples.values() if y == label) for label in (0, 1)]
+    held = {w: [0, 0] for w in known}
+    for i, y in examples.items():
+        for w in texts[i]:
+            held[w][y] += 1
+    chance = math.log(max(2, sum(1 for a, b in held.values() if a + b >= 2)))
+    share = sizes[1] / sum(sizes)
+
+    def weight(w):
+        if w not in known:
+            return math.log((1 + n) / 2) + 1e-3
+        total, rate = sum(held[w]), held[w][1] / sum(held[w])
+        told = 0.0
+        if rate > share:
+            told = total * (rate * math.log(rate / share) + ((1 - rate) * math.log((1 - rate) / (1 - share)) if rate < 1 else 0))
+        return (math.log((1 + n) / (1 + df[w])) + 1e-3) * (1 + toxicity.BOOST * math.log1p(max(0, told - chance)))
+
+    def vector(counts):
+        out = {w: (1 + math.log(c)) * weight(w) for w, c in counts.items()}
+        length = math.sqrt(sum(v * v for v in out.values()))
+        return {w: v / length for w, v in out.items()} if length else {}
+
+    vectors = {i: vector(texts[i]) for i in index.ids}
+    for r in toxicity.toxicity(docs, index, F.lit(False)).collect():
+        query = vector(texts[r["doc_id"]])
+        near = sorted((-sum(v * vectors[i].get(w, 0) for w, v in query.items()) for i in vectors))[: toxicity.NEIGHBOURS]
+        assert np.allclose([e["similarity"] for e in r["evidence"]], [-s for s in near if s < 0], atol=1e-9)
+        assert all(e["toxic"] == examples[e["doc_id"]] for e in r["evidence"])
+        vote = sum(e["similarity"] * (2 * e["toxic"] - 1) for e in r["evidence"]) / toxicity.NEIGHBOURS
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, index.slope * vote + index.shift))))) < 1e-9
+
+
 def test_toxicity(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -136,6 +136,19 @@ def long_form(spark, sf):
     return rows.select("conv_id", "turn", "name", "pos", "value")
 
 
+@add("C10_segments", """
+WITH m AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS w, generate_subscripts(regexp_extract_all(text, '[a-z]{3,}'), 1) AS i FROM conversations),
+placed AS (SELECT conv_id, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS place FROM m),
+last AS (SELECT conv_id, max_by(CAST(n AS BIGINT), turn) AS n FROM (
+    SELECT conv_id, turn, regexp_extract_all(text, '[0-9]+')[-1] AS n FROM conversations) WHERE n IS NOT NULL GROUP BY conv_id)
+SELECT conv_id, place // 20 AS segment, string_agg(w, ' ' ORDER BY place) AS words, any_value(n) AS n
+FROM placed LEFT JOIN last USING (conv_id) GROUP BY conv_id, place // 20""")
+def segments(spark, sf):
+    captures = [Capture("(?P<w>[a-z]{3,})", "all"), Capture("(?P<n>[0-9]+)", "last", "int")]
+    single, lists = cap.capture_segments(load(spark, sf, "conversations"), captures, key="conv_id", order="turn", length=20)
+    return lists.join(single, "conv_id").select("conv_id", "segment", F.array_join("w", " ").alias("words"), "n")
+
+
 @add("C11_capture_again", f"SELECT doc_id AS g_index, TRY_CAST(list_extract({found('text', INTEGER)}, -1) AS BIGINT) AS n FROM documents")
 def capture_again(spark, sf):
     root = fresh_path(spark, "tree")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..errors import StudyError
 from ..functions.regex import JavaPattern, to_java
 from ..types import STRING, declared_type
+from .ranking import running_total
 
 MODES = ("first", "last", "all")
 
@@ -230,3 +231,49 @@ def capture_long(
     rows = texts.select(key, order, F.inline(F.array(*entries)))
     return rows.select(key, order, "capture", "name", F.posexplode("found").alias("pos", "value"))
 
+
+
+def capture_segments(
+    texts: DataFrame,
+    captures: Sequence[Capture],
+    declared: Mapping[str, T.DataType] | None = None,
+    key: str = "g_index",
+    order: str = "cmd_no",
+    text: str = "text",
+    strict: bool = True,
+    length: int = 100_000,
+) -> tuple[DataFrame, DataFrame]:
+    """What :func:`capture_instances` gives, for lists too long to be one cell: single values, and lists in segments.
+
+    The first frame has a row per instance with its single values, reduced before the shuffle. The second has a row per
+    ``(key, segment)`` with a typed list of at most ``length`` values per list column, null where a list is shorter; the
+    segments one after the other are the whole lists. Matches are numbered by running totals of their counts, so an
+    instance is no task's work as a whole; ``order`` tells the texts of an instance apart. The matches are stored for it.
+    """
+    lists = captured_names(captures)
+    rows = capture_text(texts, text, captures, declared, strict)
+    singles = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias(name) for name, is_list in lists.items() if not is_list]
+    single = rows.groupBy(key).agg(*singles) if singles else rows.select(key).distinct()
+    names = [name for name, is_list in lists.items() if is_list]
+    types = {name: rows.schema[name].dataType for name in names}
+    # Values travel as text next to null, in one column, and get their type back in the end.
+    entries = [F.struct(F.lit(name).alias("_name"), F.col(name).cast("array<string>").alias("_values")) for name in names]
+    schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("segment", T.LongType()), *(T.StructField(n, types[n]) for n in names)])
+    if not names:
+        return single, texts.sparkSession.createDataFrame([], schema)
+    found = rows.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.inline(F.array(*entries))).where("size(_values) > 0")
+    found = found.withColumn("_n", F.size("_values").cast("long"))
+    numbered = running_total(found, ["_key", "_name"], [("_order", None)], "_n", "_before", ["_values"])
+    # A text's matches are cut where segments begin.
+    covered = F.sequence(F.expr(f"_before div {length}"), F.expr(f"(_before + _n - 1) div {length}"))
+    cut = numbered.withColumn("segment", F.explode(covered))
+    start = F.greatest(F.col("_before"), F.col("segment") * length)
+    stop = F.least(F.col("_before") + F.col("_n"), (F.col("segment") + 1) * length)
+    part = F.slice("_values", (start - F.col("_before") + 1).cast("int"), (stop - start).cast("int"))
+    pieces = cut.select("_key", "_name", "segment", F.struct(start.alias("at"), part.alias("v")).alias("_piece"))
+    joined = []
+    for name in names:
+        own = F.sort_array(F.collect_list(F.when(F.col("_name") == name, F.col("_piece"))))
+        values = F.flatten(F.transform(own, lambda p: p["v"]))
+        joined.append(F.when(F.size(values) > 0, values.cast(types[name])).alias(name))
+    return single, pieces.groupBy(F.col("_key").alias(key), "segment").agg(*joined)

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from compare import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sweepframe import Capture, StudyError
 from sweepframe.functions.regex import to_java
+from sweepframe.operators import capture as cap
 from sweepframe.operators.capture import as_captures, capture_instances, capture_long, capture_text
 from sweepframe.types import declared_types
 
@@ -162,3 +165,31 @@ def test_group_facts():
     java = to_java(r"(?P<a>x)?(?P<b>y*)(?P<c>z)(?:(?P<d>q)|r)")
     assert java.groups == {"a": 1, "b": 2, "c": 3, "d": 4}
     assert java.nonempty == {"a", "c", "d"} and java.optional == {"a", "d"}
+
+
+@pytest.mark.parametrize("length", [1, 7, 1000])
+def test_segments_are_the_lists(spark, monkeypatch, length):
+    monkeypatch.setattr("sweepframe.operators.ranking.BLOCK", 10)
+    rng = random.Random(length)
+    data = [(i % 4 if i % 4 else None, i, " ".join(rng.choice(["a=1", "a=-2.5", "b=x", "b=", "c 7", "none"]) for _ in range(rng.randrange(9)))) for i in range(60)]
+    texts = spark.createDataFrame(data, "g_index long, cmd_no long, text string")
+    captures = [Capture(r"a=(?P<a>[-.0-9]+)", "all", "float"), Capture(r"b=(?P<b>x)?", "all"), Capture(r"c (?P<c>[0-9])", "last", "int"), Capture(r"a=(?P<first>[-.0-9]+)", "first")]
+    whole = {r["g_index"]: r for r in cap.capture_instances(texts, captures).collect()}
+    single, lists = cap.capture_segments(texts, captures, length=length)
+    assert {r["g_index"]: (r["c"], r["first"]) for r in single.collect()} == {k: (r["c"], r["first"]) for k, r in whole.items()}
+    found: dict = {}
+    for r in sorted(lists.collect(), key=lambda r: r["segment"]):
+        for name in ("a", "b"):
+            assert r[name] is None or 0 < len(r[name]) <= length
+            found.setdefault((r["g_index"], name), []).extend(r[name] or [])
+    assert found == {(k, n): r[n] or [] for k, r in whole.items() for n in ("a", "b")}
+    single, lists = cap.capture_segments(texts, captures[2:], length=length)
+    assert lists.count() == 0 and single.count() == 4
+
+
+def test_one_instance_with_millions_of_matches(spark):
+    texts = spark.range(0, 2000, 1, 16).select(F.lit(1).cast("long").alias("g_index"), F.col("id").alias("cmd_no"), F.repeat(F.concat(F.lit("v="), "id", F.lit(" ")), 1500).alias("text"))
+    _, lists = cap.capture_segments(texts, [Capture("v=(?P<v>[0-9]+)", "all", "int")], length=50_000)
+    sizes = lists.select("segment", F.size("v").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high")).orderBy("segment").collect()
+    assert len(sizes) == 60 and all(r["n"] == 50_000 for r in sizes)
+    assert [(r["low"], r["high"]) for r in sizes[:2]] == [(0, 33), (33, 66)] and sizes[-1]["high"] == 1999

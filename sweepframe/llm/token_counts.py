@@ -59,24 +59,26 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048,
     version = sha256(spec.encode()).hexdigest()
     # Columns of the result must not meet columns of the table.
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("content"))
-    keyed = map_arrow(plain, _digests(spec), "doc_id long, n_bytes long, digest binary, content binary")
-    narrow = stored(keyed.select("doc_id", "n_bytes", "digest"), "digests")
+    digested = "doc_id long, n_bytes long, digest binary, content binary"
+    narrow = stored(map_arrow(plain, _digests(spec), digested).select("doc_id", "n_bytes", "digest"), "digests")
     known = _read(spark, cache, version)
     lacking = narrow.join(known, "digest", "left_anti") if known is not None else narrow
     # One row to encode for every digest, by its id; the texts move once, spread by id.
-    by_id = lacking.groupBy("digest", "doc_id").agg(F.count("*").alias("times"))
-    first = F.min(F.struct("doc_id", "times")).alias("first")
-    chosen = stored(by_id.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("chosen"), F.col("first.times").alias("times")), "misses")
+    chosen = stored(lacking.groupBy("digest").agg(F.min("doc_id").alias("chosen")), "misses")
     if not chosen.isEmpty():
-        def texts(some: DataFrame) -> DataFrame:
-            same = keyed["digest"].eqNullSafe(some["digest"]) & keyed["doc_id"].eqNullSafe(some["chosen"])
-            return keyed.join(some, same, "left_semi").select("content", "digest")
-
-        misses = texts(chosen.where("times = 1"))
-        repeated = chosen.where("times > 1")
-        if not repeated.isEmpty():
-            # Rows of equal id and content become one where they are read.
-            misses = misses.unionByName(texts(small(repeated)).groupBy("digest").agg(F.first("content").alias("content")))
+        # Where an id has one row, that is the row; others are told apart by their digests, and equal ones become one.
+        several = narrow.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("chosen"))
+        several = small(stored(several, "several"))
+        single = chosen.join(several, "chosen", "left_anti").where("chosen is not null")
+        misses = plain.join(single, plain["doc_id"] == single["chosen"]).select("content", "digest")
+        shared = stored(chosen.join(several, chosen["chosen"].eqNullSafe(several["chosen"]), "left_semi"), "shared")
+        if not shared.isEmpty():
+            shared = small(shared)
+            ids = small(shared.select(F.col("chosen").alias("id")).distinct())
+            some = map_arrow(plain.join(ids, plain["doc_id"].eqNullSafe(ids["id"]), "left_semi"), _digests(spec), digested)
+            same = some["digest"].eqNullSafe(shared["digest"]) & some["doc_id"].eqNullSafe(shared["chosen"])
+            texts = some.join(shared, same, "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
+            misses = misses.unionByName(texts)
         counted = map_arrow(misses, _counts(spec), "digest binary, n_tokens long")
         fresh = counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
         fresh.write.mode("append").parquet(cache)

@@ -15,6 +15,8 @@ from ..session import fresh_path, ship_package
 #: Names that are handed on at once, and bytes of text.
 _NAMES = 10_000
 _BYTES = 8 << 20
+#: Most bytes of a file, as a text is one value.
+MAX_FILE = (1 << 31) - (1 << 20)
 #: Bytes of files that one task reads.
 _TASK_BYTES = 64 << 20
 
@@ -112,7 +114,9 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
     ship_package(spark)
     size = files.agg(F.sum("length")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
-    dealt = files.select("path").repartition(parts, "path")
+    too_large = F.raise_error(F.concat(F.lit("a file is too large for one text: "), "path"))
+    paths = files.select(F.when(F.col("length") > MAX_FILE, too_large).otherwise(F.col("path")).alias("path"))
+    dealt = paths.repartition(parts, "path")
     return dealt.mapInArrow(_read(qualified(spark, root)), "path string, text string")
 
 

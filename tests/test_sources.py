@@ -11,6 +11,7 @@ from sweepframe import Capture, Study, StudyError
 from sweepframe.operators.capture import capture_instances, capture_text
 from sweepframe.session import fresh_path, released, shared_dir
 from sweepframe.sources.export import dump_records, write_captured, write_csv
+from sweepframe.sources.files import read_files
 from sweepframe.sources.store import Parts, StudyStore, load_table, save_table
 from sweepframe.sources.text import INFER, list_files, parse_info, parse_records, read_info, read_stdout, rebuild_instances
 
@@ -104,6 +105,16 @@ def test_store_versions(spark, tmp_path):
     assert again.state() == store.state() and again.read("table").count() == 3
 
 
+def test_large_files_are_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.txt").write_text("x" * 100)
+    (tmp_path / "small.txt").write_text("y")
+    monkeypatch.setattr("sweepframe.sources.files.MAX_FILE", 50)
+    found = read_files(list_files(spark, str(tmp_path)), str(tmp_path))
+    with pytest.raises(Exception, match="too large for one text: large.txt"):
+        found.collect()
+    assert rows(read_files(list_files(spark, str(tmp_path), "small*"), str(tmp_path))) == [("small.txt", "y")]
+
+
 def test_captures_on_a_stream(spark, tmp_path, tables):
     """Capture columns are plain expressions, so a stream takes them unchanged."""
     source = tmp_path / "in"

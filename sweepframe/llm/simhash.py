@@ -175,7 +175,12 @@ def first_of_each(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame
     Rows of one id may hold different texts; each is kept or dropped by its own. Rows without an id cannot be
     told apart and stay.
     """
-    found = stored(_classes(docs, radius, width, "text").where("doc_id is not null"), "components")
+    return first_of_classes(docs, _classes(docs, radius, width, "text"), width)
+
+
+def first_of_classes(docs: DataFrame, classes: DataFrame, width: int = 3) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``classes(doc_id, fp, root, component_id)``, as :func:`first_of_each`."""
+    found = stored(classes.where("doc_id is not null"), "components")
     heads = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("head"))
     head_ids = heads.select("doc_id").distinct()
     other = found.select("doc_id").join(head_ids, "doc_id", "left_anti").select(F.col("doc_id").alias("gone")).distinct()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepframe.llm import decontaminate, language, mixing, simhash, token_files
+from sweepframe.llm import decontaminate, language, mixing, resemblance, token_files
 from sweepframe.llm.common import fold, stored, table
 from sweepframe.llm.queries import WEIGHTS, tokenizer, tree
 from sweepframe.session import fresh_path
@@ -25,8 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near copies: 3 bits apart, or 12 with a similarity of 0.8 by five words."""
+    return resemblance.first_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sweepframe.llm import decontaminate, simhash
+from sweepframe.llm import decontaminate, resemblance
 
 
 def test_stages(spark, tables):
@@ -15,7 +15,7 @@ def test_stages(spark, tables):
             assert set(after) <= set(before), name
             gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in after}
             if name == "near_copies":
-                classes = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+                classes = {r["doc_id"]: r["component_id"] for r in resemblance.classes(docs).collect()}
                 assert gone == {d for d, c in classes.items() if d != c}
             if name == "decontamination":
                 bench = spark.read.parquet(f"{tables}/benchmark.parquet")

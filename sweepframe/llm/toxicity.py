@@ -30,11 +30,11 @@ _FIRST = 8
 _SLICES = 64
 
 
-def _flat(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all ranges one after the other, and the range each belongs to."""
-    size = stop - start
-    owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size), owner
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges one after the other."""
+    places = np.repeat(start - (np.cumsum(size) - size), size)
+    places += np.arange(len(places))
+    return places
 
 
 @dataclass
@@ -89,21 +89,23 @@ class Index:
         example = place[text]
         order = np.lexsort((example, term))
         term, example, weight = term[order], example[order], weight[order]
-        self.example, self.weight = example.astype(np.int32), weight
+        self.example, self.weight = example, weight
         self.blocks = -(-len(layout) // _BLOCK)
         # A cell holds the postings of one term in one block.
         cell = term * max(1, self.blocks) + example // _BLOCK
         heads = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_block = (example[heads] // _BLOCK).astype(np.int32)
-        self.cell_first = np.append(heads, len(cell))
+        self.cell_block = example[heads] // _BLOCK
+        self.cell_first = heads
+        self.cell_size = np.diff(np.append(heads, len(cell)))
         self.cell_most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0)
         self.first = np.searchsorted(term[heads], np.arange(len(self.terms) + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the ``NEIGHBOURS`` most similar examples, none of similarity 0."""
-        cells, owner = _flat(self.first[term], self.first[term + 1])
+        size = self.first[term + 1] - self.first[term]
+        cells, given = _flat(self.first[term], size), np.repeat(weight, size)
         block = self.cell_block[cells]
-        bounds = np.bincount(block, weight[owner] * self.cell_most[cells], self.blocks)
+        bounds = np.bincount(block, given * self.cell_most[cells], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         sums = np.zeros(self.blocks * _BLOCK)
@@ -113,9 +115,10 @@ class Index:
             end = _FIRST if at == 0 else len(order) - int(np.searchsorted(bounds[order][::-1], least - 1e-12))
             opened = np.zeros(self.blocks, bool)
             opened[order[at : max(end, at + 1)]] = True
-            some = opened[block]
-            postings, cell = _flat(self.cell_first[cells[some]], self.cell_first[cells[some] + 1])
-            sums += np.bincount(self.example[postings], weight[owner[some]][cell] * self.weight[postings], len(sums))
+            some = np.flatnonzero(opened[block])
+            size = self.cell_size[cells[some]]
+            postings = _flat(self.cell_first[cells[some]], size)
+            sums += np.bincount(self.example[postings], np.repeat(given[some], size) * self.weight[postings], len(sums))
             if skip >= 0:
                 sums[skip] = 0
             at = max(end, at + 1)

@@ -69,32 +69,37 @@ class Intervals:
 
 
 class FMIndex:
-    """The two transforms of one shard; ``numbers`` gives the corpus' number of a symbol, -1 for those to be passed over."""
+    """The two transforms of one shard; ``numbers`` gives the corpus' number of a symbol, -1 for those to be passed over.
+
+    Places in a shard and numbers take 32 bits, so that its n-grams fit beside those of another task.
+    """
 
     def __init__(self, bwt: np.ndarray, reverse: np.ndarray, numbers: np.ndarray):
         self.numbers = numbers
         self.first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=len(numbers)))])
         # Row j of the sorted first column stands at order[j] in the transform: the LF mapping, inverted.
-        self.order, self.reverse_order = stable_order(bwt), stable_order(reverse)
+        self.order, self.reverse_order = stable_order(bwt).astype(np.int32), stable_order(reverse).astype(np.int32)
         self.sorted = bwt[self.order]
 
     def words(self) -> Intervals:
         symbols = np.flatnonzero(self.numbers >= 0)
-        low = self.first[symbols]
-        return Intervals(low, low, self.first[symbols + 1] - low, self.numbers[symbols][:, None])
+        low = self.first[symbols].astype(np.int32)
+        return Intervals(low, low, (self.first[symbols + 1] - low).astype(np.int32), self.numbers[symbols][:, None].astype(np.int32))
 
     def _step(self, low: np.ndarray, size: np.ndarray, order: np.ndarray):
         """One symbol further from each interval: ``from, symbol, low, size`` by symbol and place."""
         owner = np.full(len(order), -1, np.int32)
-        of = np.repeat(np.arange(len(low), dtype=np.int32), size)
-        owner[np.arange(len(of)) + np.repeat(low - (np.cumsum(size) - size), size)] = of
+        places = np.repeat((low - (np.cumsum(size) - size)).astype(np.int32), size)
+        places += np.arange(len(places), dtype=np.int32)
+        owner[places] = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        del places
         owner = owner[order]
-        at = np.flatnonzero(owner >= 0)
+        at = np.flatnonzero(owner >= 0).astype(np.int32)
         owner, symbol = owner[at], self.sorted[at]
         fresh = np.ones(len(at), bool)
         fresh[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
         heads = np.flatnonzero(fresh)
-        return owner[heads], symbol[heads], at[heads], np.diff(np.append(heads, len(at)))
+        return owner[heads], symbol[heads], at[heads], np.diff(np.append(heads, len(at))).astype(np.int32)
 
     def extend(self, grams: Intervals) -> Intervals:
         """All n-grams of one word more whose parts without the last and without the first word are in ``grams``."""
@@ -104,13 +109,15 @@ class FMIndex:
         before = np.cumsum(size[by]) - size[by]
         heads = np.flatnonzero(np.diff(owner[by], prepend=-1))
         before -= np.repeat(before[heads], np.diff(np.append(heads, len(by))))
-        low = np.empty(len(owner), np.int64)
+        low = np.empty(len(owner), np.int32)
         low[by] = grams.low[owner[by]] + before
+        del by, before, heads
         reached = np.zeros(len(self.order) + 1, bool)
         reached[self._step(grams.low, grams.size, self.order)[2]] = True
         keep = reached[low]
         owner, symbol = owner[keep], symbol[keep]
-        ids = np.concatenate([grams.ids[owner], self.numbers[symbol][:, None]], axis=1)
+        ids = np.empty((len(owner), grams.ids.shape[1] + 1), np.int32)
+        ids[:, :-1], ids[:, -1] = grams.ids[owner], self.numbers[symbol]
         return Intervals(low[keep], reverse_low[keep], size[keep], ids)
 
 
@@ -248,7 +255,7 @@ def _replay(index: pa.Table, replies: pa.Table, starts: np.ndarray, plan: dict[i
     """
     row = index.to_pylist()[0]
     cuts = _word_cuts(row["hashes"], len(starts))
-    numbers = np.full(cuts[-1] + 1, -1, np.int64)
+    numbers = np.full(cuts[-1] + 1, -1, np.int32)
     told: dict[int, dict[int, bytes]] = {}
     for reply in replies.to_pylist():
         told.setdefault(reply["level"], {})[reply["bucket"]] = reply["flags"]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -96,3 +97,18 @@ def test_score_needs_more_than_64_bits(spark):
     a, n, left, right = 9 * 10**13, 9 * 10**14, 10**14 + 7, 10**14 + 9
     row = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long").selectExpr(f"{phrases.SCORE} as s").first()
     assert row["s"] == 1000 * a * n // (left * right)
+
+
+def test_memory_of_a_shards_ngrams():
+    rng = np.random.default_rng(4)
+    symbols = np.append(1 + np.minimum(rng.zipf(1.3, 200_000), 19_999), 0).astype(np.int32)
+    fm = phrases.FMIndex(phrases.transform(symbols, 4), phrases.transform(symbols[::-1], 4), np.arange(-1, 20_000))
+    grams = fm.words()
+    for _ in range(3):
+        grams = fm.extend(grams)
+    tracemalloc.start()
+    grams = fm.extend(grams)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert grams.ids.shape[1] == 5 and grams.ids.itemsize == 4
+    assert peak < 90 * len(symbols)

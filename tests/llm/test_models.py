@@ -226,3 +226,22 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity(none, index, F.lit(False)).count() == 0
     blank = toxicity.build(docs, labels.where("false"))
     assert {r["score"] for r in toxicity.toxicity(odd, blank, F.lit(False)).collect()} == {0.0}
+
+
+def test_a_shuffled_filter_is_sent_each_text_once(spark, odd, monkeypatch):
+    docs = odd.unionByName(odd.withColumn("text", F.concat_ws(" ", "text", F.lit("wind wave one two"))))
+    run = lambda: language_model.language_model_scores(docs, common.fold(F.col("doc_id"), 7) == 2)
+    by_row = lambda df: sorted((str(r["doc_id"]), r["n_tokens"], *r[3:5], round(r["base_score"], 6), round(r["score"], 6)) for r in df.collect())
+    want = by_row(run())
+    for name, value in {"MOST_BITS": 0, "HEAD": 3, "_PART_BYTES": 1 << 10, "_GATHER": 8}.items():
+        monkeypatch.setattr(language_model, name, value)
+    kept = []
+    monkeypatch.setattr(language_model, "stored", lambda df, label: kept.append(label) or common.stored(df, label))
+    found = run()
+    assert [r[:5] for r in by_row(found)] == [r[:5] for r in want]
+    # Only the exact word counts are stored, and the texts' n-grams are dealt once, to be counted and to ask.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert kept == ["words"] and plan.count("hashpartitioning(block") <= 2
+    # A part, its blocks' answers and the scores of its texts stand together whatever the parts are.
+    monkeypatch.setattr(language_model, "_PART_BYTES", 1 << 30)
+    assert by_row(run()) == by_row(found)

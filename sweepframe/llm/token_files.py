@@ -29,14 +29,16 @@ from .common import chunks, map_arrow, stored, text_bytes
 from .tokens import encoder
 
 MAGIC = b"SWTOKEN1"
-#: Ids that are coded side by side.
-GROUP = 4 << 20
+#: Ids that are coded side by side. With what the coder holds of them a worker needs about 25 bytes for each.
+GROUP = 1 << 20
+#: Pieces that a writing worker knows; it holds a group of ids beside them.
+KNOWN = 100_000
 MANIFEST = "file_no int, path string, docs long, ids long, bytes long"
 
 
 def _write(spec: str, root: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, context = encoder(spec), TaskContext.get()
+        own, context = encoder(spec, KNOWN), TaskContext.get()
         system, base = file_system(root)
         number = context.partitionId()
         final = f"{base}/part-{number:06d}.tok"
@@ -50,6 +52,7 @@ def _write(spec: str, root: str, end: int):
             def put(whole: bool) -> None:
                 nonlocal waiting, held, place
                 ids = np.frombuffer(b"".join(waiting), "<u4")
+                waiting.clear()
                 cut = len(ids) if whole else len(ids) - len(ids) % range_coder.BLOCK
                 blocks = [ids[i : i + range_coder.BLOCK] for i in range(0, cut, range_coder.BLOCK)]
                 blocks[-1:] = [blocks[-1][: cut - (len(blocks) - 1) * range_coder.BLOCK]] if blocks else []

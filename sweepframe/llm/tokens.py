@@ -16,14 +16,14 @@ _BREAK = re.compile(r" (?=\S)")
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_encoders: dict[int, "Encoder"] = {}
+_encoders: dict[tuple[int, int], "Encoder"] = {}
 
 
-def encoder(spec: str) -> "Encoder":
-    """The worker's encoder for a tokenizer file's content; kept between tasks."""
-    key = hash(spec)
+def encoder(spec: str, limit: int = 300_000) -> "Encoder":
+    """The worker's encoder for a tokenizer file's content, with about ``limit`` known pieces; kept between tasks."""
+    key = hash(spec), limit
     if key not in _encoders:
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(spec, limit)
     return _encoders[key]
 
 

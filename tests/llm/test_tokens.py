@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sweepframe.llm import range_coder
+from sweepframe.llm import range_coder, token_files
 from sweepframe.llm.queries import QUERIES, tokenizer
 from sweepframe.llm.token_counts import token_counts
 from sweepframe.llm.token_files import documents_of, read_token_files, write_token_files
@@ -50,6 +51,18 @@ def test_range_coder_refuses_large_ids():
         range_coder.encode([np.array([65_536])])
 
 
+def test_a_group_of_ids_takes_little_memory():
+    ids = np.random.default_rng(1).integers(0, 50_000, token_files.GROUP).astype("<u4")
+    blocks = [ids[i : i + range_coder.BLOCK] for i in range(0, len(ids), range_coder.BLOCK)]
+    tracemalloc.start()
+    coded = range_coder.encode(blocks)
+    back = range_coder.decode(coded, [len(x) for x in blocks])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back))
+    assert most < 32e6, most
+
+
 def expected(pairs, path=BYTES):
     ids = library(path, [t or "" for _, t in pairs])
     return [(d, np.frombuffer(x + b"\0\0\0\0", "<u4")) for (d, _), x in zip(pairs, ids)]

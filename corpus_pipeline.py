@@ -41,7 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids, written to files and read back."""
-    files = token_files.write_token_files(docs, tokenizer("byte_bpe_50k.json"), fresh_path(spark, "tokens"))
+    root, few = fresh_path(spark, "tokens"), {"group": token_files.SMALL_GROUP, "known": token_files.FEW_KNOWN}
+    files = token_files.write_token_files(docs, tokenizer("byte_bpe_50k.json"), root, **few)
     return token_files.read_token_files(files)
 
 

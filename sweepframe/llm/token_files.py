@@ -30,15 +30,15 @@ from .tokens import encoder
 
 MAGIC = b"SWTOKEN1"
 #: Ids that are coded side by side. With what the coder holds of them a worker needs about 25 bytes for each.
-GROUP = 1 << 20
-#: Pieces that a writing worker knows; it holds a group of ids beside them.
-KNOWN = 100_000
+GROUP = 4 << 20
+#: The same, and pieces that a writing worker knows, where memory is short; smaller groups take more time for each id.
+SMALL_GROUP, FEW_KNOWN = 1 << 20, 100_000
 MANIFEST = "file_no int, path string, docs long, ids long, bytes long"
 
 
-def _write(spec: str, root: str, end: int):
+def _write(spec: str, root: str, end: int, group: int, known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, context = encoder(spec, KNOWN), TaskContext.get()
+        own, context = encoder(spec, known), TaskContext.get()
         system, base = file_system(root)
         number = context.partitionId()
         final = f"{base}/part-{number:06d}.tok"
@@ -69,7 +69,7 @@ def _write(spec: str, root: str, end: int):
                     sizes.append(len(ids) // 4 + 1)
                     waiting += [ids, closing]
                     held += sizes[-1]
-                    if held >= GROUP:
+                    if held >= group:
                         put(False)
             if held:
                 put(True)
@@ -90,7 +90,7 @@ def _write(spec: str, root: str, end: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, root: str, end: int = 0, text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, root: str, end: int = 0, text: str = "text", group: int = GROUP, known: int = 300_000) -> DataFrame:
     """Write every whole text's ids and ``end`` to files below ``root``; returns the stored manifest.
 
     Rows are dealt by ranges of ``doc_id`` (nulls first, equal ids by a hash of their text), so one file
@@ -105,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end: int = 0,
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("content"))
     plain = plain.withColumn("tie", F.xxhash64("content"))
     dealt = plain.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "content")
-    written = map_arrow(dealt.drop("tie"), _write(Path(tokenizer).read_text("utf-8"), root, end), MANIFEST)
+    written = map_arrow(dealt.drop("tie"), _write(Path(tokenizer).read_text("utf-8"), root, end, group, known), MANIFEST)
     scheme = root[: len(root) - len(base)]
     return stored(written.withColumn("path", F.concat(F.lit(scheme), "path")), "manifest")
 

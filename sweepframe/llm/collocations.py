@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import binary, chunks, lowered, map_arrow, mixed, small, stored, text_bytes
+from .common import binary, chunks, lowered, map_arrow, mixed, released_group, small, stored, text_bytes
 from .spans import byte_set, pack, runs, sections, stable_order, unpack
 
 #: Words of a shard. A text that is longer is cut between pieces.
@@ -49,10 +49,22 @@ def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The Burrows-Wheeler transform under the order of the first ``depth`` symbols, equal ones by place."""
     n = len(symbols)
     wrapped = np.concatenate([symbols, np.resize(symbols, depth)]) if n else symbols
-    order = np.arange(n)
+    order = np.arange(n, dtype=np.int32)
     for d in range(depth - 1, -1, -1):
-        order = order[stable_order(wrapped[order + d])]
-    return symbols[order - 1].astype(np.int32) if n else np.zeros(0, np.int32)
+        order = order[stable_order(wrapped[d:][order])]
+    return symbols[order - 1].astype(np.int32, copy=False) if n else np.zeros(0, np.int32)
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in ascending order, the first place of each, every hash's number among them, and their counts."""
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    in_order = hashes[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = in_order[1:] != in_order[:-1]
+    heads = np.flatnonzero(fresh)
+    number = np.empty(len(hashes), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return in_order[heads], order[heads], number, np.diff(np.append(heads, len(hashes)))
 
 
 @dataclass
@@ -142,15 +154,22 @@ class _Shard:
         self.bytes += len(low)
 
     def row(self, number: int, names: list[str], depth: int) -> pa.RecordBatch:
-        low, start, stop, hashes, lang, fresh = (np.concatenate(x) for x in zip(*self.parts))
+        # Each column of the parts goes as soon as it is whole, and what is only for the words before the transforms.
+        columns = [list(x) for x in zip(*self.parts)]
         self.parts = []
-        found, at, symbol, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        low, start, stop, hashes, lang, fresh = (np.concatenate(columns.pop(0)) for _ in range(6))
+        found, at, symbol, counts = distinct(hashes)
+        del hashes
+        start, stop, lang = start[at].tolist(), stop[at].tolist(), lang[at].tolist()
+        words = [low[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start, stop)]
+        del low, start, stop, at
         top = (found >> np.uint64(32)).astype(np.uint32)
         symbols = np.zeros(len(symbol) + int(fresh.sum()) + 1, np.int32)
-        symbols[np.arange(len(symbol)) + np.cumsum(fresh)] = symbol + 1
-        whole = low.tobytes()
-        words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), stop[at].tolist())]
-        row = [number, pack(transform(symbols, depth)), pack(transform(symbols[::-1], depth)), pack(np.diff(top, prepend=np.uint32(0))), words, [names[i] for i in lang[at].tolist()], counts.tolist()]
+        places = np.cumsum(fresh, dtype=np.int32)
+        places += np.arange(len(places), dtype=np.int32)
+        symbols[places] = symbol + 1
+        del fresh, places, symbol, found
+        row = [number, pack(transform(symbols, depth)), pack(transform(symbols[::-1], depth)), pack(np.diff(top, prepend=np.uint32(0))), words, [names[i] for i in lang], counts.tolist()]
         types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["shard", "bwt", "reverse", "hashes", "words", "langs", "counts"])
 
@@ -353,7 +372,7 @@ def frequent_phrases(index: DataFrame, least: int = 100, longest: int = 5) -> tu
     entries = index.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     n = max(1, -(-entries // BUCKET_WORDS))
     dealt = map_arrow(index.select("shard", "hashes", "words", "langs", "counts"), _deal_words(n), _WORDS)
-    told = stored(dealt.groupBy("bucket").applyInArrow(_sum_words(least), _TOLD), "word-sums")
+    told = stored(dealt.groupBy("bucket").applyInArrow(released_group(_sum_words(least)), _TOLD), "word-sums")
     sums = told.where("shard is null")
     # One number a bucket reaches the driver.
     starts, occurrences = np.zeros(n, np.int64), 0
@@ -378,8 +397,8 @@ def frequent_phrases(index: DataFrame, least: int = 100, longest: int = 5) -> tu
     for levels in steps:
         n = max(1, -(-occurrences // BUCKET_ITEMS))
         dealt = index.select("shard", "bwt", "reverse", "hashes").groupBy("shard").cogroup(replies.groupBy("shard"))
-        items = dealt.applyInArrow(_count(starts, dict(plan), levels, n), _ITEMS)
-        summed = stored(items.groupBy("level", "bucket").applyInArrow(_sum(least), _REPLY), "sums")
+        items = dealt.applyInArrow(released_group(_count(starts, dict(plan), levels, n)), _ITEMS)
+        summed = stored(items.groupBy("level", "bucket").applyInArrow(released_group(_sum(least)), _REPLY), "sums")
         new = stored(map_arrow(summed.where("shard is null").select("level", "ids", "totals"), _rows, "size int, key binary, a long"), "phrases")
         phrases = phrases.unionByName(new)
         replies = replies.unionByName(summed.where("shard is not null").select("shard", "level", "bucket", "flags"))

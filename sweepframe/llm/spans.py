@@ -66,9 +66,13 @@ def sections(low: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> Iterator[
 def stable_order(keys: np.ndarray) -> np.ndarray:
     """Places of non-negative keys below 2^31 in ascending order, equal keys by place."""
     n = len(keys)
-    both = (keys.astype(np.int64) << 32) | np.arange(n, dtype=np.int64)
+    # In place, as keys may be those of a whole shard.
+    both = keys.astype(np.int64)
+    both <<= 32
+    both |= np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     both.sort()
-    return both & 0xFFFFFFFF
+    both &= 0xFFFFFFFF
+    return both
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sweepframe.llm import collocations as phrases
+from sweepframe.llm import common
 
 
 def plain(rows, least, longest, best, absorb=100):
@@ -112,3 +113,34 @@ def test_memory_of_a_shards_ngrams():
     tracemalloc.stop()
     assert grams.ids.shape[1] == 5 and grams.ids.itemsize == 4
     assert peak < 90 * len(symbols)
+
+
+def test_memory_of_a_shard():
+    rng = np.random.default_rng(5)
+    words = [b"word%x" % i for i in np.minimum(rng.zipf(1.3, 200_000), 19_999)]
+    shard = phrases._Shard()
+    for i in range(0, len(words), 50_000):
+        data = np.frombuffer(b" ".join(words[i : i + 50_000]), np.uint8)
+        shard.add(data, np.array([0, len(data)]), np.zeros(1, np.int32), np.zeros(1, np.uint64))
+    tracemalloc.start()
+    row = shard.row(0, ["en"], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = dict(zip(row.column("words")[0].as_py(), row.column("counts")[0].as_py()))
+    assert counts == {k.decode(): v for k, v in Counter(words).items()}
+    assert peak < 75 * len(words), peak / len(words)
+
+
+def test_distinct_hashes():
+    hashes = np.random.default_rng(6).integers(0, 50, 400).astype(np.uint64)
+    expected = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    for one, two in zip(phrases.distinct(hashes), expected):
+        assert one.tolist() == two.tolist()
+    assert [x.tolist() for x in phrases.distinct(hashes[:0])] == [[], [], [], []]
+
+
+def test_a_worker_gives_memory_back_around_groups(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append("back"))
+    assert common.released_group(lambda key, table: calls.append((key, table)) or 7)(1, 2) == 7
+    assert calls == ["back", (1, 2), "back"]

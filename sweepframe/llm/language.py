@@ -23,6 +23,8 @@ DIMENSIONS = 16
 #: Rows that a model is fitted on, evenly from the languages.
 SAMPLE_ROWS = 2_400
 EPOCHS = 4
+#: Bytes of text that are scored at once; what is held meanwhile takes some 100 times as much.
+SCORED_BYTES = 1 << 17
 UNKNOWN = "und"
 
 
@@ -143,7 +145,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", rows: int =
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, object)
-        for batch in chunks(batches, "_content"):
+        for batch in chunks(batches, "_content", SCORED_BYTES):
             chance = model.scores(*binary(batch.column("_content")))
             lettered = np.array(batch.column("_lettered"), bool)
             score = np.where(lettered, chance.max(axis=1), 0.0)

@@ -3,10 +3,12 @@ from __future__ import annotations
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sweepframe.llm import common, language, language_model, toxicity
@@ -133,6 +135,21 @@ def test_a_text_is_judged_alone():
         assert codes[bounds[i] : bounds[i + 1]].tolist() == own[: own_bounds[-1]].tolist()
 
 
+def test_memory_of_scoring_many_texts():
+    words = "the house der hund und le chat est grand une maison".split()
+    texts = [" ".join(words[(i + j) % 11] for j in range(300)).encode() for i in range(600)]
+    table = np.random.default_rng(2).random((language.BUCKETS, 3)).astype(np.float32)
+    model = language.Model(["a", "b", "c"], table, np.zeros(3), 1.0, 0.0)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts))], ["_content", "_lettered"])
+    tracemalloc.start()
+    found = [x for out in language._predict(model)(iter([batch])) for x in out.column("score").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = [model.scores(np.frombuffer(x, np.uint8), np.array([0, len(x)])).max() for x in texts[::50]]
+    assert found[::50] == alone and len(found) == len(texts)
+    assert peak < 30e6, peak
+
+
 def plain_nearest(vectors, query, k):
     values = [(round(sum(w * v.get(t, 0) for t, w in query.items()), 9), i) for i, v in enumerate(vectors)]
     return [(s, i) for s, i in sorted(values, key=lambda x: (-x[0], x[1])) if s > 0][:k]

@@ -33,6 +33,44 @@ def test_encoder_is_the_library(path, texts):
         assert own.encode(batch) == library(path, batch)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_plain_characters_split_as_in_the_library(path):
+    rng = random.Random(8)
+    plain = [chr(x) for x in [9, 10, 13, *range(32, 127), *range(0xA1, 0x130), *range(0x131, 0x17F)]]
+    made = [f"{x}a {x} {x}{x}1{x}" for x in plain] + ["".join(rng.choices(plain, k=40)) for _ in range(2000)]
+    assert Encoder(Path(path).read_text("utf-8")).encode(made) == library(path, made)
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **more)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_new_parts_share_calls_and_parts_in_use_stay_known(path):
+    rng = random.Random(9)
+    made = [" ".join("".join(rng.choices("abcdeé", k=9)) for _ in range(500)) for _ in range(10)]
+    own = Encoder(Path(path).read_text("utf-8"), limit=2000)
+    counted = {name: Counted(getattr(own, name)) for name in ("library", "model") if hasattr(own, name)}
+    vars(own).update(counted)
+    want = library(path, made)
+    assert own.encode(made) == want
+    # 5,000 new words in a few calls, not a text for each.
+    assert sum(x.texts for x in counted.values()) < 50
+    # A part that every batch uses outlives the limit.
+    for _ in range(6):
+        before = sum(x.texts for x in counted.values())
+        assert own.encode(made[:2]) == want[:2]
+        assert sum(x.texts for x in counted.values()) == before
+        own.encode([" ".join("".join(rng.choices("fghij", k=9)) for _ in range(1500))])
+
+
 @pytest.mark.parametrize("lengths", [[], [0], [1], [5, 0, 300, 300, 17], [2048, 2047]])
 def test_range_coder_round_trip(lengths):
     rng = np.random.default_rng(3)

@@ -8,8 +8,9 @@ whatever the number of blocks. A step codes one of
   their weights;
 * a literal by order 0: the high byte by its frequency in the block so far, the low byte evenly.
 
-Counts change with every id; the rates and frequencies made from them are renewed every 64 ids. Decoder and
-encoder keep the same state and use integers only, so decoding is exact.
+The rates and frequencies made from what was seen are renewed every 64 ids. The coder's
+interval has 48 bits, of which the top 16 leave as a word; a carry is added to the words before when all are there.
+Decoder and encoder keep the same state and hold integers only, if in doubles (all below 2^53), so decoding is exact.
 """
 
 from __future__ import annotations
@@ -20,63 +21,74 @@ BLOCK = 2048
 IDS = 1 << 16
 _SLOT_BITS = 9
 _UNIT = 1 << 12
+#: What no prediction can have of ``_UNIT``, so that a literal has room for its steps.
+_REST = 256
 _GAIN = 12
 _RENEW = 64
-_TOP = np.uint64(1 << 48)
-_BOTTOM = np.uint64(1 << 40)
-_REST = np.uint64((1 << 40) - 1)
-_WORD = np.uint64(16)
-_UNIT_BITS = np.uint64(12)
+_BOTTOM = float(1 << 32)
+_FULL = float(1 << 48)
+_WORD = float(1 << 16)
 
 
 class _Model:
-    """What ``lanes`` blocks have learned; blocks are ordered so that the first ``k`` are still running."""
+    """What ``lanes`` blocks have learned; blocks are ordered so that the first ``k`` are still running.
+
+    Arrays of two rows hold order 2, then order 1.
+    """
 
     def __init__(self, lanes: int):
+        self.lanes = lanes
         self.lane = np.arange(lanes)
-        # A context holds its id, and its confidence (0 to 3) above the id's 16 bits.
-        self.kept = [np.zeros(lanes << _SLOT_BITS, np.int32) for _ in range(2)]
-        # Tries in the low and successes in the high half, for every block and confidence.
-        self.seen = [np.full(lanes * 4, 4 + (1 << 16), np.int32) for _ in range(2)]
-        self.high = np.ones((lanes, 256), np.int32)
-        self.sums = np.zeros((lanes, 257), np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        # A context holds its id, and its confidence (0 to 3) above the id's 16 bits. A slot's contexts of all blocks lie
+        # side by side, as many blocks meet the same common ids.
+        self.kept = np.zeros((2 * lanes) << _SLOT_BITS, np.int32)
+        self.slots = np.stack([self.lane, self.lane + (lanes << _SLOT_BITS)])
+        # Failures, then successes, for every order, block and confidence; and those since the rates were renewed.
+        self.seen = np.repeat(np.array([3, 1]), 2 * lanes * 4)
+        self.levels = (np.arange(2 * lanes) << 2).reshape(2, lanes)
+        self.recent: list[np.ndarray] = []
+        # Of high bytes, one row each; all of a block are below 2^16.
+        self.high = np.ones((256, lanes), np.uint16)
+        self.sums = np.zeros((257, lanes), np.uint16)
+        self.hashes = np.zeros((2, lanes), np.uint32)
+        self.before = np.zeros(lanes, np.uint32)
 
     def predict(self, step: int, k: int):
-        """The two predicted ids and their shares of ``_UNIT``; what is left is for literals."""
+        """The ends of both predictions' shares of ``_UNIT``; what is left is for literals."""
         if step % _RENEW == 0:
-            self.rate = [((x >> 16) * (_UNIT - 64) // (x & 0xFFFF)).astype(np.int32) for x in self.seen]
-            np.cumsum(self.high, axis=1, out=self.sums[:, 1:])
+            if self.recent:
+                self.seen += np.bincount(np.concatenate(self.recent), minlength=len(self.seen))
+                self.recent.clear()
+            failed, right = self.seen.reshape(2, -1)
+            self.rate = np.floor(right * float(_UNIT - _REST) / (failed + right))
+            for count, below, sum_ in zip(self.high, self.sums, self.sums[1:]):
+                np.add(count, below, out=sum_)
+            self.total = self.sums[256].astype(np.float64)
         self.k = k
-        lane, last, before = self.lane[:k], self.last[:k], self.before[:k]
-        mixed = last * 0x9E3779B1
-        shift, base = 32 - _SLOT_BITS, lane << _SLOT_BITS
-        self.at = [
-            base + (((mixed + before * 0x85EBCA6B) & 0xFFFFFFFF) >> shift),
-            base + ((mixed & 0xFFFFFFFF) >> shift),
-        ]
-        self.entry = [kept.take(at) for kept, at in zip(self.kept, self.at)]
-        self.level = [(lane << 2) + (entry >> 16) for entry in self.entry]
-        self.ids = [entry & 0xFFFF for entry in self.entry]
-        a = self.rate[0].take(self.level[0])
-        b = ((_UNIT - a) * self.rate[1].take(self.level[1])) >> 12
-        rest = _UNIT - a - b
-        same = self.ids[0] == self.ids[1]
-        both = b * same
-        return a + both, b - both, rest
-
-    def learn(self, ids: np.ndarray, literal: np.ndarray) -> None:
-        for order in range(2):
-            entry = self.entry[order]
-            right = self.ids[order] == ids
-            self.seen[order][self.level[order]] += 1 + (right.astype(np.int32) << 16)
-            sure = entry >> 16
-            wrong = np.where(sure > 0, self.ids[order] + ((sure >> 1) << 16), ids)
-            self.kept[order][self.at[order]] = np.where(right, entry + ((sure < 3).astype(np.int32) << 16), wrong)
-        self.high[self.lane[: self.k], ids >> 8] += literal * np.int32(_GAIN)
-        self.before[: self.k] = self.last[: self.k]
-        self.last[: self.k] = ids
+        self.at = (self.hashes[:, :k] >> np.uint32(32 - _SLOT_BITS)) * np.int64(self.lanes)
+        self.at += self.slots[:, :k]
+        self.entry = self.kept.take(self.at, mode="clip")
+        self.sure = self.entry >> 16
+        self.level = self.levels[:, :k] + self.sure
+        self.ids = self.entry & 0xFFFF
+        a, b = self.rate.take(self.level, mode="clip")
+        both = a + np.floor((_UNIT - a) * b * (1 / _UNIT))
+        return np.where(self.ids[0] == self.ids[1], both, a), both
+
+    def learn(self, ids: np.ndarray, literal: np.ndarray, place: np.ndarray) -> None:
+        """``place`` holds the places of the ids' high bytes in ``high``."""
+        k = self.k
+        right = self.ids == ids
+        self.recent.append((self.level + right * np.int64(8 * self.lanes)).ravel())
+        sure = np.where(right, np.minimum(self.sure + 1, 3), self.sure >> 1)
+        sure <<= 16
+        sure += np.where(right | (self.sure > 0), self.ids, ids)
+        self.kept[self.at] = sure
+        np.add.at(self.high.reshape(-1), place, literal * np.uint16(_GAIN))
+        last = ids.astype(np.uint32)
+        np.multiply(last, np.uint32(0x9E3779B1), out=self.hashes[1, :k])
+        np.add(self.hashes[1, :k], self.before[:k], out=self.hashes[0, :k])
+        np.multiply(last, np.uint32(0x85EBCA6B), out=self.before[:k])
 
 
 def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,63 +98,74 @@ def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, len(lengths) - np.searchsorted(np.sort(lengths), steps, side="right")
 
 
-def _due(low: np.ndarray, span: np.ndarray):
-    """Where the top 16 bits of ``low`` are final; where they never will be, ``span`` is cut so that they are."""
-    settled = (low ^ (low + span)) < _TOP
-    due = settled | (span < _BOTTOM)
-    short = np.flatnonzero(due & ~settled)
-    if len(short):
-        span[short] = (np.uint64(0) - low[short]) & _REST
-    return np.flatnonzero(due)
-
-
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The bytes of every block of ids, each below 65,536."""
     lengths = np.array([len(b) for b in blocks], np.int64)
     order, running = _order(lengths)
     n, steps = len(blocks), len(running)
-    ids = np.zeros((steps, n), np.int32)
+    if not steps:
+        return [b""] * n
+    if max(int(b.max(initial=0)) for b in blocks) >= IDS:
+        raise ValueError(f"ids must be below {IDS}")
+    ids = np.zeros((steps, n), np.uint16)
     for lane, b in enumerate(order):
         ids[: lengths[b], lane] = blocks[b]
-    if ids.size and int(ids.max()) >= IDS:
-        raise ValueError(f"ids must be below {IDS}")
     model = _Model(n)
-    all_low, all_span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    out, used = np.zeros((n, 3 * steps + 8), np.uint16), np.zeros(n, np.int64)
+    all_low, all_span = np.zeros(n), np.full(n, _FULL)
+    # An id takes 12 bits and 23 more at most, or less than two words and a quarter.
+    width = 2 * steps + steps // 4 + 8
+    out, used = np.zeros(n * width, np.uint32), np.arange(n) * width
+    sums = model.sums.reshape(-1)
     for step, k in enumerate(running):
-        x, lane, low, span = ids[step, :k], model.lane[:k], all_low[:k], all_span[:k]
-        a, b, rest = model.predict(step, k)
-        is_two, is_one = (model.ids[0] == x) & (a > 0), (model.ids[1] == x) & (b > 0)
-        literal = ~(is_two | is_one)
-        width = np.where(is_two, a, np.where(is_one, b, rest))
-        start = a * ~is_two + b * literal
-        span >>= _UNIT_BITS
-        low += span * start.astype(np.uint64)
-        span *= width.astype(np.uint64)
+        x, low, span = ids[step, :k].astype(np.int32), all_low[:k], all_span[:k]
+        two, both = model.predict(step, k)
+        is_two = model.ids[0] == x
+        literal = ~(is_two | ((model.ids[1] == x) & (both > two)))
+        unit = np.floor(span * (1 / _UNIT))
+        start = np.where(literal, both, two)
+        start[is_two] = 0
+        part = np.where(is_two, two, np.where(literal, _UNIT, both)) - start
         high = x >> 8
-        before = model.sums[lane, high]
-        size = model.sums[lane, high + 1] - before
-        total = np.where(literal, model.sums[:k, 256] << 8, 1)
-        start = ((before << 8) + (x & 255) * size) * literal
-        span //= total.astype(np.uint64)
-        low += span * start.astype(np.uint64)
-        span *= np.where(literal, size, 1).astype(np.uint64)
-        model.learn(x, literal)
-        go = _due(low, span)
+        place = high * np.int64(n) + model.lane[:k]
+        before = sums.take(place, mode="clip")
+        size = sums.take(place + n, mode="clip") - before
+        low += unit * start
+        part *= unit
+        unit = np.floor(part / (model.total[:k] * 256))
+        low += unit * ((before * 256.0 + (x & 255) * size) * literal)
+        np.copyto(span, np.where(literal, unit * size, part))
+        model.learn(x, literal, place)
+        due = span < _BOTTOM
+        word = np.floor(low * (1 / _BOTTOM))
+        # Where no word is due, the next one takes this one's place.
+        out[used[:k]] = word
+        used[:k] += due
+        wider = np.where(due, _WORD, 1)
+        low -= word * _BOTTOM * due
+        low *= wider
+        span *= wider
+        go = np.flatnonzero(span < _BOTTOM)
         while len(go):
-            some = low[go]
-            out[go, used[go]] = some >> np.uint64(48)
+            word = np.floor(low[go] * (1 / _BOTTOM))
+            out[used[go]] = word
             used[go] += 1
-            low[go] = some = some << _WORD
-            span[go] = rest = span[go] << _WORD
-            again = _due(some, rest)
-            span[go] = rest
-            go = go[again]
+            low[go] = (low[go] - word * _BOTTOM) * _WORD
+            span[go] *= _WORD
+            go = go[span[go] < _BOTTOM]
+    some = np.flatnonzero(lengths[order])
+    out[used[some]] = np.ceil(all_low[some] * (1 / _BOTTOM))
+    used = used - np.arange(n) * width + 1
+    out = out.reshape(n, width)[:, : int(used.max())].copy()
+    flat = out.reshape(-1)
+    over = np.flatnonzero(flat >= _WORD)
+    while len(over):
+        flat[over] -= 1 << 16
+        flat[over - 1] += 1
+        over = over[flat[over - 1] >= _WORD] - 1
     coded: list[bytes] = [b""] * n
     for lane, b in enumerate(order):
         if lengths[b]:
-            tail = [(int(all_low[lane]) >> shift) & 0xFFFF for shift in (48, 32, 16, 0)]
-            coded[b] = out[lane, : used[lane]].astype("<u2").tobytes() + np.array(tail, "<u2").tobytes()
+            coded[b] = out[lane, : used[lane]].astype("<u2").tobytes()
     return coded
 
 
@@ -151,56 +174,60 @@ def decode(coded: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     lengths = np.asarray(lengths, np.int64)
     order, running = _order(lengths)
     n, steps = len(coded), len(running)
-    widest = max((len(x) for x in coded), default=0) // 2
-    words = np.zeros((n, widest + 8), np.uint16)
+    width = max((len(x) for x in coded), default=0) // 2 + 8
+    words = np.zeros((n, width), np.uint16)
     for lane, b in enumerate(order):
         part = np.frombuffer(coded[b], "<u2")
         words[lane, : len(part)] = part
     model = _Model(n)
-    all_low, all_span = np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
-    all_code = np.zeros(n, np.uint64)
-    for i in range(4):
-        all_code = (all_code << _WORD) | words[:, i]
-    used = np.full(n, 4, np.int64)
+    all_span = np.full(n, _FULL)
+    all_code = words[:, :3] @ np.array([_BOTTOM, _WORD, 1])
+    words, used = words.reshape(-1), np.arange(n) * width + 3
     ids = np.zeros((steps, n), np.uint16)
-    fine = np.arange(1, 17)
+    sums = model.sums.reshape(-1)
     for step, k in enumerate(running):
-        lane, low, span, code = model.lane[:k], all_low[:k], all_span[:k], all_code[:k]
-        a, b, rest = model.predict(step, k)
-        span >>= _UNIT_BITS
-        value = np.minimum((code - low) // span, np.uint64(_UNIT - 1)).astype(np.int32)
-        is_two, literal = value < a, value >= a + b
-        width = np.where(is_two, a, np.where(literal, rest, b))
-        start = a * ~is_two + b * literal
-        low += span * start.astype(np.uint64)
-        span *= width.astype(np.uint64)
-        sums = model.sums
-        total = np.where(literal, sums[:k, 256] << 8, 1)
-        span //= total.astype(np.uint64)
-        value = np.minimum(((code - low) // span).astype(np.int64), total - 1)
-        place = (value >> 8)[:, None]
-        group = np.count_nonzero(sums[:k, 16:256:16] <= place, axis=1)
-        at = (lane * 257 + (group << 4))[:, None]
-        high = (group << 4) + np.count_nonzero(sums.take(at + fine[:15]) <= place, axis=1)
-        before = sums[lane, high]
-        size = sums[lane, high + 1] - before
-        byte = (value - (before << 8)) // size
-        x = np.where(literal, (high << 8) + byte, np.where(is_two, model.ids[0], model.ids[1])).astype(np.int32)
-        start = ((before << 8) + byte * size) * literal
-        low += span * start.astype(np.uint64)
-        span *= np.where(literal, size, 1).astype(np.uint64)
+        span, code = all_span[:k], all_code[:k]
+        two, both = model.predict(step, k)
+        unit = np.floor(span * (1 / _UNIT))
+        two *= unit
+        both *= unit
+        is_two, literal = code < two, code >= both
+        start = np.where(literal, both, two)
+        start[is_two] = 0
+        part = np.where(is_two, two, np.where(literal, unit * _UNIT, both)) - start
+        code -= start
+        total = model.total[:k] * 256
+        unit = np.floor(part / total)
+        value = np.minimum(np.floor(code / unit), total - 1)
+        byte = (value * (1 / 256)).astype(np.uint16)
+        high = np.add.reduce((model.sums[8:256:8, :k] <= byte).view(np.uint8), axis=0, dtype=np.uint8)
+        place = high * np.int64(8 * n) + model.lane[:k]
+        for rows in (4 * n, 2 * n, n):
+            place += (sums.take(place + rows, mode="clip") <= byte) * np.int64(rows)
+        before = sums.take(place, mode="clip")
+        size = sums.take(place + n, mode="clip") - before
+        before = before * 256.0
+        byte = ((value - before) / size).astype(np.int32)
+        x = np.where(literal, (place // n << 8) + byte, np.where(is_two, model.ids[0], model.ids[1]))
+        code -= unit * ((before + byte * size) * literal)
+        np.copyto(span, np.where(literal, unit * size, part))
         ids[step, :k] = x
-        model.learn(x, literal)
-        go = _due(low, span)
+        # Counts of a high byte change with literals only, whose place this is.
+        model.learn(x, literal, place)
+        due = span < _BOTTOM
+        wider = np.where(due, _WORD, 1)
+        code *= wider
+        code += words.take(used[:k], mode="clip") * due
+        span *= wider
+        used[:k] += due
+        go = np.flatnonzero(span < _BOTTOM)
         while len(go):
-            low[go] = some = low[go] << _WORD
-            code[go] = (code[go] << _WORD) | words[go, np.minimum(used[go], words.shape[1] - 1)]
+            code[go] = code[go] * _WORD + words.take(used[go], mode="clip")
+            span[go] *= _WORD
             used[go] += 1
-            rest = span[go] << _WORD
-            again = _due(some, rest)
-            span[go] = rest
-            go = go[again]
+            go = go[span[go] < _BOTTOM]
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
+    ids = np.ascontiguousarray(ids.T)
     for lane, b in enumerate(order):
-        out[b] = np.ascontiguousarray(ids[: lengths[b], lane])
+        out[b] = ids[lane, : lengths[b]].copy()
     return out

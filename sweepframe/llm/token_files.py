@@ -2,12 +2,12 @@
 
 A file holds documents in ascending order of id. Its parts, all integers little-endian:
 
-* 8 bytes ``SWTOKEN1``;
+* 8 bytes ``SWTOKEN2``;
 * groups of blocks: the number of blocks, then for each block its number of ids, its bytes and the CRC-32 of
   its ids (unsigned 32 bits each), then the bytes of the blocks (:mod:`.range_coder`; every block starts anew);
 * the index: for each document its id (64 bits), a byte that is 1 where the id is null, its number of ids
   (64 bits);
-* the place of the index, the numbers of documents and ids (64 bits each), the index's CRC-32 (32 bits), ``SWTOKEN1``.
+* the place of the index, the numbers of documents and ids (64 bits each), the index's CRC-32 (32 bits), ``SWTOKEN2``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from . import range_coder
 from .common import chunks, map_arrow, stored, text_bytes
 from .tokens import encoder
 
-MAGIC = b"SWTOKEN1"
+MAGIC = b"SWTOKEN2"
 #: Ids that are coded side by side. With what the coder holds of them a worker needs about 25 bytes for each.
 GROUP = 4 << 20
 #: The same, and pieces that a writing worker knows, where memory is short; smaller groups take more time for each id.
@@ -49,13 +49,12 @@ def _write(spec: str, root: str, end: int, group: int, known: int):
         with system.open_output_stream(part) as out:
             place = out.write(MAGIC)
 
-            def put(whole: bool) -> None:
+            def put(most: int) -> None:
                 nonlocal waiting, held, place
                 ids = np.frombuffer(b"".join(waiting), "<u4")
                 waiting.clear()
-                cut = len(ids) if whole else len(ids) - len(ids) % range_coder.BLOCK
-                blocks = [ids[i : i + range_coder.BLOCK] for i in range(0, cut, range_coder.BLOCK)]
-                blocks[-1:] = [blocks[-1][: cut - (len(blocks) - 1) * range_coder.BLOCK]] if blocks else []
+                cut = min(len(ids), -(-most // range_coder.BLOCK) * range_coder.BLOCK)
+                blocks = [ids[i : min(i + range_coder.BLOCK, cut)] for i in range(0, cut, range_coder.BLOCK)]
                 coded = range_coder.encode(blocks)
                 heads = [(len(b), len(c), zlib.crc32(b.tobytes())) for b, c in zip(blocks, coded)]
                 place += out.write(struct.pack("<I", len(blocks)) + np.array(heads, "<u4").tobytes() + b"".join(coded))
@@ -69,10 +68,13 @@ def _write(spec: str, root: str, end: int, group: int, known: int):
                     sizes.append(len(ids) // 4 + 1)
                     waiting += [ids, closing]
                     held += sizes[-1]
-                    if held >= group:
-                        put(False)
+                    # A group of few blocks takes nearly as long as a full one, so none is left for the end.
+                    while held >= group + group // 2:
+                        put(group)
+            if held > group:
+                put(held // 2)
             if held:
-                put(True)
+                put(held)
             index = np.array(doc_ids, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(sizes, "<i8").tobytes()
             total = sum(sizes)
             tail = struct.pack("<QQQI", place, len(sizes), total, zlib.crc32(index))

@@ -101,6 +101,31 @@ def test_a_group_of_ids_takes_little_memory():
     assert most < 32e6, most
 
 
+def test_carries_reach_the_words_before():
+    # Long runs of sure predictions keep the interval narrow just below a word's end; every length ends elsewhere.
+    rng = np.random.default_rng(6)
+    made = [np.where(rng.random(n) < 0.02, rng.integers(0, 65_536, n), 65_535 - i % 3).astype("<u4") for i, n in enumerate(range(1, 2049, 8))]
+    back = range_coder.decode(range_coder.encode(made), [len(x) for x in made])
+    assert all(np.array_equal(a, b) for a, b in zip(made, back))
+
+
+def test_no_group_is_larger_than_asked_or_far_smaller(spark, scratch, monkeypatch):
+    block = range_coder.BLOCK
+    # In one file: a text beyond several groups, then some that end a little after a group's end.
+    rows = [(1, "a b " * 13 * block)] + [(i, "a b " * (block // 2)) for i in range(2, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        manifest = write_token_files(docs, BYTES, f"{scratch}/groups", group=8 * block).collect()
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    decode, sizes = range_coder.decode, []
+    monkeypatch.setattr(token_files.range_coder, "decode", lambda coded, lengths: sizes.append(int(lengths.sum())) or decode(coded, lengths))
+    found = {d: ids.tolist() for r in manifest for d, ids in documents_of(r["path"])}
+    assert found == {d: ids.tolist() for d, ids in expected(rows)}
+    assert len(manifest) == 1 and max(sizes) <= 8 * block and min(sizes) >= 3 * block, sizes
+
+
 def expected(pairs, path=BYTES):
     ids = library(path, [t or "" for _, t in pairs])
     return [(d, np.frombuffer(x + b"\0\0\0\0", "<u4")) for (d, _), x in zip(pairs, ids)]

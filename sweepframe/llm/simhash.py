@@ -1,9 +1,13 @@
-"""Near copies by SimHash: 64-bit fingerprints of word shingles, compared exactly tile by tile."""
+"""Near copies by SimHash: 64-bit fingerprints of word shingles, compared exactly tile by tile.
+
+A tile holds the fingerprints that are equal in some parts of their bits; of any two within the radius, enough parts are
+equal. Within a tile, and between the pieces of a large one, pairs are skipped by their population counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product, repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, text_bytes
+from .blocks import BLOCK, DEALT, HELD, dealt, forest, meeting
+from .common import map_arrow, mixed, stored, text_bytes
 from .components import components
 
-#: Most fingerprints of a tile, but for the spread of a hash.
+#: Most fingerprints of a tile that is compared whole; a larger one is cut into pieces of about so many.
 TILE = 16_384
-#: From so many fingerprints on, quarters are counted in place of halves: fewer pairs of tiles, but smaller tiles.
+#: From so many fingerprints on, three parts of the bits are equal within a tile in place of two: more tiles, but smaller ones.
 QUARTERED = 1 << 21
 SEED = 42
 
@@ -40,34 +45,30 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, more=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(x.as_py(), width) for x in batch.column("_content")]
             signed = pa.array(np.array(values, np.uint64).view(np.int64))
             names = [name for name in batch.schema.names if name != "_content"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), signed], [*names, "_fp"])
+            found = [*(batch.column(name) for name in names), signed]
+            if more:
+                found.append(more[2](batch.column("_content")))
+            yield pa.RecordBatch.from_arrays(found, [*names, "_fp", *(more or ())[:1]])
 
     return run
 
 
-def fingerprints(rows: DataFrame, width: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``_fp`` of every row; A-Z count as a-z, words are split at ASCII white space."""
+def fingerprints(rows: DataFrame, width: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",), more=None) -> DataFrame:
+    """Columns ``keep`` and ``_fp`` of every row; A-Z count as a-z, words are split at ASCII white space.
+
+    ``more`` is the name, type and function of a further column; the function takes a column of texts as bytes.
+    """
     plain = rows.select(*keep)
     schema = plain.schema.add("_fp", "long")
-    return map_arrow(rows.select(*keep, text_bytes(text).alias("_content")), _fingerprints(width), schema)
-
-
-def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """The least member of every node's component, for links ``u - v`` among ``n`` nodes."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[u], label[v])
-        np.minimum.at(label, label[u], least)
-        np.minimum.at(label, label[v], least)
-        label = np.minimum(label, label[label])
-        if np.array_equal(label[u], label[v]):
-            return label
+    if more:
+        schema = schema.add(more[0], more[1])
+    return map_arrow(rows.select(*keep, text_bytes(text).alias("_content")), _fingerprints(width, more), schema)
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,43 +106,64 @@ def _compare(radius: int):
     return run
 
 
+def masks(radius: int, equal: int) -> np.ndarray:
+    """Bits of which any two fingerprints within ``radius`` bits have those of at least one mask equal."""
+    cuts = [64 * i // (radius + equal) for i in range(radius + equal + 1)]
+    parts = [(1 << stop) - (1 << start) for start, stop in zip(cuts, cuts[1:])]
+    return np.array([sum(some) for some in combinations(parts, equal)], np.uint64)
+
+
+def _dealt(tiles: np.ndarray, blocks: int):
+    kind = mixed(np.arange(1, len(tiles) + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, HELD // len(tiles))
+        for batch in batches:
+            values = batch.column("fp").to_numpy().view(np.uint64)
+            for i in range(0, len(values), rows):
+                fps = values[i : i + rows]
+                keys = mixed(fps[:, None] & tiles) ^ kind
+                yield from dealt(keys.ravel(), np.repeat(fps, len(tiles)), blocks)
+
+    return run
+
+
+def _given(block, keys, u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links as they are; of tiles that are too large, their number and every fingerprint."""
+    if len(u):
+        signed = [pa.array(x.view(np.int64)) for x in (u, v)]
+        tile = pa.nulls(len(u), pa.int64()) if keys is None else pa.array((np.int64(block) << 32) + keys)
+        yield pa.RecordBatch.from_arrays([*signed, tile], ["u", "v", "tile"])
+
+
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect all pairs within ``radius`` bits.
 
-    Fingerprints are sorted into classes by the population counts of their two halves (of their quarters, from
-    ``QUARTERED`` on). Two fingerprints within the radius have counts that differ by no more than it in sum, so
-    only such pairs of tiles meet; each pair is compared whole with exclusive-or and bit counts.
+    The bits are cut into two parts (three, from ``QUARTERED`` on) more than the radius, of which any pair within it has
+    that many equal. So it meets in the tile of those, and is compared there with exclusive-or and bit counts. A tile of
+    over ``TILE`` fingerprints is cut by population counts into pieces that meet pair by pair, where these allow a link.
     """
-    parts = 2 if nodes.count() < QUARTERED else 4
-    width = 64 // parts
-    base = width + 1
-    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)]
-    key = sum((count * F.lit(base**i) for i, count in enumerate(counts)), F.lit(0)).cast("long")
-    classed = nodes.select("fp", key.alias("class"))
-    # At most 33 x 33 or 17^4 classes, so this table is small however many fingerprints there are.
-    sized = stored(classed.groupBy("class").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "classes")
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-    tiles = classed.join(F.broadcast(sized), "class").groupBy("class", tile.alias("tile")).agg(F.collect_list("fp").alias("fps"))
-    tiles = stored(tiles, "tiles")
-    # Steps from a class to those within the radius, each pair of classes once.
-    steps = [step for step in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, step)) <= radius]
-    moves = [[sum(d * base**i for i, d in enumerate(step)), *step] for step in steps]
-    around = sized.repartition(nodes.sparkSession.sparkContext.defaultParallelism).select(
-        F.col("class").alias("a"), F.col("tiles").alias("a_tiles"), F.explode(F.lit([m for m in moves if m[0] >= 0])).alias("move")
-    )
-    digits = [F.pmod(F.floor(F.col("a") / base**i), F.lit(base)) + F.col("move")[i + 1] for i in range(parts)]
-    for digit in digits:
-        around = around.where(digit.between(0, width))
-    other = F.broadcast(sized.select(F.col("class").alias("b"), F.col("tiles").alias("b_tiles")))
-    near = around.withColumn("b", F.col("a") + F.col("move")[0]).join(other, "b")
-    pairs = near.select("a", "b", "b_tiles", F.explode(F.sequence(F.lit(0), F.col("a_tiles") - 1)).alias("s"))
-    pairs = pairs.select("a", "s", "b", F.explode(F.sequence(F.lit(0), F.col("b_tiles") - 1)).alias("t"))
-    pairs = pairs.where("a != b or s <= t")
-    both = pairs.join(tiles.select(F.col("class").alias("a"), F.col("tile").alias("s"), F.col("fps").alias("left_fps")), ["a", "s"])
-    both = both.join(tiles.select(F.col("class").alias("b"), F.col("tile").alias("t"), F.col("fps").alias("right_fps")), ["b", "t"])
-    # Spread evenly: a pair of full tiles is as much work as any other.
-    dealt = both.repartition("a", "s", "b", "t").select("left_fps", "right_fps")
-    return map_arrow(dealt, _compare(radius), "u long, v long")
+    n = nodes.count()
+    tiles = masks(radius, 2 if n < QUARTERED else 3)
+    blocks = -(-n * len(tiles) // BLOCK) or 1
+    rows = map_arrow(nodes.select("fp"), _dealt(tiles, blocks), DEALT)
+    found = stored(meeting(rows, blocks, radius, TILE, _given, "u long, v long, tile long"), "tiles")
+    small = found.where("tile is null").select("u", "v")
+    large = found.where("tile is not null").select("tile", F.col("u").alias("fp"))
+    if large.isEmpty():
+        return small
+    counted = large.withColumn("ones", F.bit_count("fp").cast("int"))
+    sized = counted.groupBy("tile", "ones").agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces"))
+    piece = F.pmod(F.xxhash64("fp"), F.col("pieces").cast("long")).cast("int")
+    filled = counted.join(sized, ["tile", "ones"]).groupBy("tile", "ones", piece.alias("piece")).agg(F.collect_list("fp").alias("fps"))
+    filled = stored(filled, "pieces")
+    near = filled.select("tile", "ones", "piece", F.col("fps").alias("left_fps"), F.explode(F.lit(list(range(radius + 1)))).alias("more"))
+    near = near.withColumn("other", F.col("ones") + F.col("more"))
+    right = filled.select("tile", F.col("ones").alias("other"), F.col("piece").alias("with"), F.col("fps").alias("right_fps"))
+    both = near.join(right, ["tile", "other"]).where("more > 0 or piece <= with")
+    # Spread evenly: a pair of full pieces is as much work as any other.
+    both = both.repartition("tile", "ones", "piece", "other", "with").select("left_fps", "right_fps")
+    return small.union(map_arrow(both, _compare(radius), "u long, v long"))
 
 
 def _classes(docs: DataFrame, radius: int, width: int, text: str) -> DataFrame:

@@ -94,3 +94,31 @@ def test_repeated_ids_lose_no_text(spark):
     rows = [(3, one), (5, one), (5, two), (5, two), (9, two), (9, "a third text that nobody else has written so far")]
     kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
     assert sorted(map(tuple, kept.collect())) == [(3, one), (5, two), (9, rows[5][1])]
+
+
+@pytest.mark.parametrize("equal", [2, 3])
+def test_links_grow_with_the_fingerprints(equal):
+    # Pairs within the radius share a tile, others hardly any: so no fingerprint is compared with all others.
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    near = values.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(values), dtype=np.uint64)
+    masks = simhash.masks(3, equal)
+    assert ((values[:, None] & masks) == (near[:, None] & masks)).any(axis=1).all()
+    met = sum(int((n * (n - 1) // 2).sum()) for mask in masks for n in [np.unique(values & mask, return_counts=True)[1]])
+    assert met < len(values) * (len(values) - 1) // 2 / 100_000
+
+
+def test_a_large_tile_is_cut(spark, monkeypatch):
+    # Nearly all bits are equal, so that all fingerprints are in some tiles together.
+    monkeypatch.setattr(simhash, "TILE", 8)
+    rng = np.random.default_rng(6)
+    values = np.unique((np.uint64(0xF0F << 50) ^ (rng.integers(0, 2**22, 150, dtype=np.uint64) << np.uint64(3))))
+    nodes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(nodes)).collect()}
+    label = plain_classes(list(range(len(values))), values)
+    groups = {}
+    for v, c in zip(values.view(np.int64).tolist(), label):
+        groups.setdefault(c, set()).add(roots.get(v, v))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups) > 1
